@@ -1,0 +1,844 @@
+"""Batch queries. Each takes ``(spark, sf_dir)`` and returns a DataFrame."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from roundscope.functions.hashing import key_text, uniform
+from roundscope.functions.numeric import half_even, is_false, numeric_or_null, safe_div
+from roundscope.functions.tables import parameter_table
+from roundscope.operators import correlate, inactivity, mask, profile, rounds, score, sketch, summary
+from roundscope.operators.schedule import episodes, in_episode, schedule
+from roundscope.plans import settings as S
+from roundscope.session import materialize, work_path
+from roundscope.sources import bindings, results
+
+ROUND, WORKER, PAIR = rounds.ROUND, rounds.WORKER, correlate.PAIR
+
+
+# --- bindings ------------------------------------------------------------------------------
+
+def events(spark: SparkSession, sf: str) -> DataFrame:
+    return bindings.event_messages(bindings.load(spark, sf, "events"))
+
+
+def lines(spark: SparkSession, sf: str) -> DataFrame:
+    return bindings.line_messages(bindings.load(spark, sf, "lineitem"))
+
+
+def counts(spark: SparkSession, sf: str) -> DataFrame:
+    """Worker counts of the events with their sketch key."""
+    return rounds.worker_counts(events(spark, sf)).withColumn("key", key_text(*map(F.col, WORKER)))
+
+
+def event_schedule(observed: DataFrame, timeout_us: int = S.TIMEOUT_US) -> DataFrame:
+    """Schedule of the jobs seen in ``observed`` (``job_id, round_id``), two rounds ahead."""
+    return schedule(
+        bindings.event_jobs(observed), timeout_us, F.lit(S.EXPECTED_ROUND)
+    ).withColumn("timeout_us", F.lit(timeout_us).cast("bigint"))
+
+
+def round_end_us() -> Column:
+    return F.lit(S.EVENT_START_US) + (F.col("round_id").cast("bigint") + 1) * F.lit(S.DAY_US)
+
+
+def seed_table(spark: SparkSession) -> DataFrame:
+    return parameter_table(spark, "seed int", [(s,) for s in S.SEEDS])
+
+
+def every(values: tuple, name: str) -> Column:
+    return F.explode(F.array(*[F.lit(v) for v in values])).alias(name)
+
+
+# --- scans and sinks -----------------------------------------------------------------------
+
+def scan_events(spark: SparkSession, sf: str) -> DataFrame:
+    return events(spark, sf)
+
+
+def results_csv_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
+    """Two result tables with different columns, appended, written as CSV and read back."""
+    messages = events(spark, sf)
+    latency = rounds.round_latency(messages).select(
+        F.lit("Q1").alias("query"), *ROUND, "latency_us"
+    )
+    low = rounds.lossy_worker(rounds.worker_counts(messages), worker_jobs(messages)).select(
+        F.lit("Q2").alias("query"), *ROUND, "worker_id", "cnt"
+    )
+    rows = results.append_rows([latency, low])
+    path = work_path(spark, "results-csv")
+    results.write_csv(rows, path)
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema)
+    return results.read_csv(spark, path, schema)
+
+
+def merge_ordered(spark: SparkSession, sf: str) -> DataFrame:
+    columns = ["ts_us", *WORKER, "chunk_id", "seq"]
+    return rounds.merge_ordered(
+        [events(spark, sf).select(*columns), lines(spark, sf).select(*columns)]
+    )
+
+
+def q2_from_counts(spark: SparkSession, sf: str) -> DataFrame:
+    """Worker counts from a stored, already compressed table (one row per chunk)."""
+    compressed = lines(spark, sf).groupBy(*WORKER, "chunk_id").agg(F.count(F.lit(1)).alias("n"))
+    return rounds.worker_counts(materialize(compressed, "compressed-counts"), weight="n")
+
+
+def round_tail(spark: SparkSession, sf: str) -> DataFrame:
+    return rounds.worker_tail(events(spark, sf))
+
+
+# --- projections and filters ---------------------------------------------------------------
+
+def flt_events(spark: SparkSession, sf: str) -> DataFrame:
+    stored = bindings.load(spark, sf, "events")
+    return bindings.event_messages(
+        stored.filter((F.col("value") > 20.0) & F.col("event_type").isin("click", "view"))
+    )
+
+
+def map_events(spark: SparkSession, sf: str) -> DataFrame:
+    """Key and value of every message."""
+    return events(spark, sf).select(
+        key_text(F.col("job_id"), F.col("round_id")).alias("key"),
+        F.col("ts_us").alias("value"),
+    )
+
+
+def round_schedule(spark: SparkSession, sf: str) -> DataFrame:
+    return event_schedule(events(spark, sf)).drop("timeout_us")
+
+
+def rounds_in_episode(spark: SparkSession, sf: str) -> DataFrame:
+    """Observed rounds inside a shifted activity episode, with a drawn activity flag."""
+    observed = events(spark, sf).select(*ROUND).distinct()
+    jobs = bindings.event_jobs(observed)
+    shift = mask.seeded_worker(F.col("seed"), "shift", 5) - 2
+    shifted = (
+        episodes(jobs)
+        .join(jobs.select("job_id", "n_rounds"), "job_id")
+        .select("*", every(S.SEEDS, "seed"))
+        .select(
+            "job_id",
+            "seed",
+            F.greatest(F.lit(0), F.col("start_round") + shift).alias("start_round"),
+            F.least(F.col("n_rounds"), F.col("end_round") + shift).alias("end_round"),
+        )
+    )
+    per_seed = observed.select("*", every(S.SEEDS, "seed"))
+    draw = uniform(F.lit("active"), F.col("job_id"), F.col("round_id"), F.col("seed"))
+    return in_episode(per_seed, shifted, ["job_id", "seed"]).select(
+        "seed", *ROUND, (draw < S.EPISODE_ACTIVE_PROB).alias("active")
+    )
+
+
+def safe_numeric(spark: SparkSession, sf: str) -> DataFrame:
+    """Text that may or may not be a number, and text that may or may not mean false."""
+    digits = F.regexp_replace("props", "[^0-9]", "")
+    text = (
+        F.when(F.col("event_type") == "error", F.lit(""))
+        .when(F.col("event_type") == "view", F.col("props"))
+        .when(F.col("event_type") == "signup", F.concat(F.lit("-"), digits, F.lit(".5e1")))
+        .when(F.col("event_type") == "purchase", F.concat(digits, F.lit("d")))
+        .otherwise(digits)
+    )
+    flag = (
+        F.when(F.col("user_id") % 3 == 0, F.lit("False"))
+        .when(F.col("user_id") % 3 == 1, F.lit("FALSE "))
+        .otherwise(F.col("user_id").cast("string"))
+    )
+    return bindings.load(spark, sf, "events").select(
+        "event_id", numeric_or_null(text).alias("num"), is_false(flag).alias("is_false")
+    )
+
+
+# --- per-round questions -------------------------------------------------------------------
+
+def worker_jobs(observed: DataFrame) -> DataFrame:
+    return bindings.event_jobs(observed).withColumn("expected_chunks", F.lit(S.EXPECTED_WORKER))
+
+
+def q1_round_latency(spark: SparkSession, sf: str) -> DataFrame:
+    return rounds.round_latency(events(spark, sf))
+
+
+def q2_worker_counts(spark: SparkSession, sf: str) -> DataFrame:
+    return rounds.worker_counts(lines(spark, sf))
+
+
+def q2_lossy_worker(spark: SparkSession, sf: str) -> DataFrame:
+    per_worker = rounds.worker_counts(events(spark, sf))
+    return rounds.lossy_worker(per_worker, worker_jobs(per_worker))
+
+
+def q2_gap_rounds(spark: SparkSession, sf: str) -> DataFrame:
+    return rounds.gap_rounds(rounds.worker_counts(lines(spark, sf)), worker=7, min_gap=2)
+
+
+def q3_straggler(spark: SparkSession, sf: str) -> DataFrame:
+    return rounds.straggler(events(spark, sf))
+
+
+def q3_tail_gap(spark: SparkSession, sf: str) -> DataFrame:
+    return rounds.tail_gap(events(spark, sf), S.TAIL_GAP_US)
+
+
+def q4_incomplete_rounds(spark: SparkSession, sf: str) -> DataFrame:
+    """Completeness of both bindings; only observed rounds appear."""
+    of_events = rounds.incomplete_rounds(events(spark, sf), S.EVENT_PAIRS)
+    of_lines = rounds.incomplete_rounds(lines(spark, sf), S.LINE_PAIRS)
+    return of_events.withColumn("source", F.lit("events")).unionByName(
+        of_lines.withColumn("source", F.lit("lineitem"))
+    )
+
+
+def q4_conversation_gaps(spark: SparkSession, sf: str) -> DataFrame:
+    """Conversations whose turns do not run from 0 to the last one without a hole."""
+    turns = bindings.conversation_messages(bindings.load(spark, sf, "conversations"))
+    return (
+        turns.groupBy("round_id", "chunk_id").agg(F.lit(1).alias("_one"))
+        .groupBy("round_id")
+        .agg(
+            F.count(F.lit(1)).alias("turns"),
+            (F.max("chunk_id") + 1).alias("expected"),
+        )
+        .withColumn("incomplete", F.col("turns") < F.col("expected"))
+    )
+
+
+def distinct_first(spark: SparkSession, sf: str) -> DataFrame:
+    return rounds.distinct_first(events(spark, sf), [*WORKER, "chunk_id"])
+
+
+def reduce_by_key_fold(spark: SparkSession, sf: str) -> DataFrame:
+    """Caller-supplied fold for first and last time per round; equals the built-in aggregate."""
+    both = F.struct(F.col("ts_us").alias("lo"), F.col("ts_us").alias("hi"))
+    return rounds.fold_by_key(
+        events(spark, sf), ROUND, "seq", both,
+        merge=lambda a, b: F.struct(
+            F.least(a["lo"], b["lo"]).alias("lo"), F.greatest(a["hi"], b["hi"]).alias("hi")
+        ),
+        finish=lambda acc: acc["hi"] - acc["lo"],
+    ).withColumnRenamed("value", "latency_us")
+
+
+# --- expected schedule ---------------------------------------------------------------------
+
+def q4_failures_from_counts(spark: SparkSession, sf: str) -> DataFrame:
+    totals = events(spark, sf).groupBy(*ROUND).agg(F.count(F.lit(1)).alias("observed"))
+    return inactivity.deadline_alerts(totals, event_schedule(totals))
+
+
+def q4_inactivity_alerts(spark: SparkSession, sf: str) -> DataFrame:
+    buckets = inactivity.activity_buckets(events(spark, sf), S.TIMEOUT_US)
+    return inactivity.inactivity_alerts(buckets, event_schedule(buckets))
+
+
+def q4_inactivity_default_time(spark: SparkSession, sf: str) -> DataFrame:
+    """As above, with the afternoon messages of odd workers arriving without a time."""
+    untimed = (F.col("chunk_id") == 1) & (F.col("worker_id") % 2 == 1)
+    messages = events(spark, sf).withColumn("ts_us", F.when(~untimed, F.col("ts_us")))
+    buckets = inactivity.activity_buckets(messages, S.TIMEOUT_US)
+    return inactivity.inactivity_alerts(buckets, event_schedule(buckets))
+
+
+def timeout_sweep(spark: SparkSession, sf: str) -> DataFrame:
+    """Detection lag of short rounds against false alarms on complete ones, per timeout."""
+    buckets = inactivity.activity_buckets(events(spark, sf), min(S.SWEEP_TIMEOUTS_US))
+    grid = event_schedule(buckets).drop("timeout_us").select(
+        "*", every(S.SWEEP_TIMEOUTS_US, "timeout_us")
+    )
+    keys = [*ROUND, "timeout_us"]
+    spread = buckets.select("*", every(S.SWEEP_TIMEOUTS_US, "timeout_us"))
+    states = inactivity.inactivity_states(spread, grid, keys)
+    fired, short = F.col("detected_us").isNotNull(), F.col("total") < F.col("expected")
+    lag = F.when(fired & short, F.col("detected_us") - F.col("start_us"))
+    return (
+        states.groupBy("timeout_us")
+        .agg(
+            score.count_if(fired).alias("alerts"),
+            *[
+                score.count_if(F.coalesce(F.col("reason") == name, F.lit(False))).alias(
+                    name.replace("-", "_")
+                )
+                for name in ("missing-round", "premature-timeout", "missing-pairs")
+            ],
+            score.count_if(~short).alias("healthy_rounds"),
+            score.count_if(fired & ~short).alias("false_positives"),
+            score.average_delay_ms(lag).alias("lag_ms"),
+        )
+        .withColumn(
+            "false_positive_rate",
+            score.false_positive_rate(F.col("false_positives"), F.col("healthy_rounds")),
+        )
+    )
+
+
+# --- correlation ---------------------------------------------------------------------------
+
+def round_metrics(spark: SparkSession, sf: str) -> DataFrame:
+    return events(spark, sf).groupBy(*ROUND).agg(
+        (F.max("ts_us") - F.min("ts_us")).alias("latency_us"), F.count(F.lit(1)).alias("n")
+    )
+
+
+def paired_metrics(metrics: DataFrame) -> DataFrame:
+    """Latency of job_a beside the activity of job_b, with the round end as detection time."""
+    return correlate.pair_rounds(
+        metrics.select(*ROUND, "latency_us"), metrics.select(*ROUND, "n")
+    ).select(
+        *PAIR, "round_id", "latency_us", (F.col("n") > S.ACTIVE_ABOVE).alias("active"),
+        round_end_us().alias("detected_us"),
+    )
+
+
+def sliding(pairs: DataFrame, by: list[str] | None = None) -> DataFrame:
+    return correlate.sliding_corr(
+        pairs, F.col("latency_us") / 1e6, F.col("active").cast("int"), S.CORR_WINDOW, by
+    )
+
+
+def q5_pairwise_corr(spark: SparkSession, sf: str) -> DataFrame:
+    return correlate.pairwise_corr(rounds.round_latency(events(spark, sf)))
+
+
+def q5_sliding_corr(spark: SparkSession, sf: str) -> DataFrame:
+    return sliding(paired_metrics(round_metrics(spark, sf))).select(*PAIR, "round_id", "score")
+
+
+def q5_sliding_corr_lossy(spark: SparkSession, sf: str) -> DataFrame:
+    """Some per-round metrics never reach the correlator; windows close over the rest."""
+    draw = uniform(F.lit("export"), F.col("job_a"), F.col("job_b"), F.col("round_id"))
+    pairs = paired_metrics(round_metrics(spark, sf)).filter(draw >= S.EXPORT_DROP_PROB)
+    return sliding(pairs).select(*PAIR, "round_id", "score")
+
+
+def q5_corr_alerts(spark: SparkSession, sf: str) -> DataFrame:
+    scores = sliding(paired_metrics(round_metrics(spark, sf)))
+    return correlate.correlation_alerts(scores, S.CORR_THRESHOLD, S.EXPORT_LATENCY_US).select(
+        *PAIR, "round_id", "detected_us", "score"
+    )
+
+
+def episode_first_detection(spark: SparkSession, sf: str) -> DataFrame:
+    """First alert of each pair in each activity episode of job_a, and its delay."""
+    metrics = round_metrics(spark, sf)
+    alerts = correlate.correlation_alerts(
+        sliding(paired_metrics(metrics)), S.CORR_THRESHOLD, S.EXPORT_LATENCY_US
+    )
+    intervals = episodes(bindings.event_jobs(metrics)).withColumnRenamed("job_id", "job_a")
+    first = correlate.first_detections(alerts, intervals, S.CORR_WINDOW, ["job_a"], PAIR)
+    start = F.lit(S.EVENT_START_US) + F.col("start_round").cast("bigint") * F.lit(S.DAY_US)
+    return first.withColumn("ttd_ms", (F.col("detected_us") - start) / 1000.0)
+
+
+# --- sketches ------------------------------------------------------------------------------
+
+def sketch_table(spark: SparkSession, sf: str) -> DataFrame:
+    return sketch.sketch_table(counts(spark, sf), width=S.SKETCH_WIDTH)
+
+
+def estimated(spark: SparkSession, sf: str) -> DataFrame:
+    keyed = counts(spark, sf)
+    table = sketch.sketch_table(keyed, width=S.SKETCH_WIDTH)
+    return sketch.point_estimates(keyed, table, [*WORKER, "cnt"], width=S.SKETCH_WIDTH)
+
+
+def sketch_point_estimate(spark: SparkSession, sf: str) -> DataFrame:
+    return estimated(spark, sf)
+
+
+def sketch_heavy_hitters(spark: SparkSession, sf: str) -> DataFrame:
+    return sketch.heavy_hitters(estimated(spark, sf), S.HEAVY_THRESHOLD).select(*WORKER, "est")
+
+
+def sketch_levels(spark: SparkSession, sf: str) -> DataFrame:
+    keyed = (
+        rounds.worker_counts(events(spark, sf))
+        .groupBy("job_id", "worker_id").agg(F.sum("cnt").cast("bigint").alias("cnt"))
+        .withColumn("key", key_text(F.col("job_id"), F.col("worker_id")))
+    )
+    return sketch.level_tables(keyed, S.SKETCH_LEVELS, width=S.SKETCH_WIDTH)
+
+
+def sketch_key_modes(spark: SparkSession, sf: str) -> DataFrame:
+    """Estimates under coarser keys, shared back to the fine keys; plus the exact chunk key."""
+    per_worker = rounds.worker_counts(events(spark, sf))
+    projections = {
+        "worker": ["worker_id"],
+        "job_worker": ["job_id", "worker_id"],
+        "job_round_worker": WORKER,
+    }
+    parts = None
+    for position, mode in enumerate(S.KEY_MODES):
+        projected = projections[mode]
+        part = sketch.shared_estimates(
+            per_worker, WORKER, projected, key_text(*map(F.col, projected)), S.SKETCH_WIDTH
+        ).select(F.lit(mode).alias("key_mode"), F.lit(position).alias("mode_order"), "*")
+        parts = part if parts is None else parts.unionByName(part)
+    return parts
+
+
+def sketch_width_sweep(spark: SparkSession, sf: str) -> DataFrame:
+    """Lowest-worker agreement and error per width, beside the exact value."""
+    estimates = sketch.width_sweep(counts(spark, sf), WORKER, list(S.SKETCH_WIDTHS))
+    error = F.abs(F.col("est") - F.col("cnt"))
+    per_round = estimates.groupBy("sketch_width", *ROUND).agg(
+        F.min(F.struct("cnt", "worker_id"))["worker_id"].alias("truth"),
+        F.min(F.struct("est", "worker_id"))["worker_id"].alias("pred"),
+        F.sum(error).alias("abs_error"),
+        F.max(error).alias("max_error"),
+    )
+    swept = per_round.groupBy("sketch_width").agg(
+        F.count(F.lit(1)).alias("rounds"),
+        score.count_if(F.col("truth") == F.col("pred")).alias("agreeing"),
+        F.sum("abs_error").cast("bigint").alias("abs_error"),
+        F.max("max_error").cast("bigint").alias("max_error"),
+    )
+    return swept.select(
+        "*",
+        half_even(safe_div(F.col("agreeing"), F.col("rounds")), 3).alias("recall"),
+        F.lit(1.0).alias("exact_recall"),
+        (F.col("sketch_width") * S.SKETCH_DEPTH).cast("bigint").alias("state_entries"),
+    )
+
+
+# --- masks ---------------------------------------------------------------------------------
+
+def mask_drop(spark: SparkSession, sf: str) -> DataFrame:
+    losses = parameter_table(spark, "worker_id int, prob double", [(3, 0.2), (5, 0.05)])
+    return mask.drop_rows(events(spark, sf), losses, seed=0, baseline=0.02).select("seq", *WORKER)
+
+
+def mask_skip(spark: SparkSession, sf: str) -> DataFrame:
+    skips = parameter_table(spark, "worker_id int, chunk_id int", [(3, 0), (5, 1), (6, 1)])
+    return mask.skip_chunks(events(spark, sf), skips).select("seq", *WORKER, "chunk_id")
+
+
+def sampled_rounds(spark: SparkSession, sf: str, fraction: float) -> DataFrame:
+    observed = events(spark, sf).select(*ROUND).distinct()
+    return mask.sample_rounds(
+        observed.select("*", every(S.SEEDS, "seed")), fraction, ["seed", "job_id"], F.col("seed")
+    )
+
+
+def sample_rounds(spark: SparkSession, sf: str) -> DataFrame:
+    return sampled_rounds(spark, sf, S.FAULT_FRACTION)
+
+
+def mask_rounds(spark: SparkSession, sf: str) -> DataFrame:
+    failed = sampled_rounds(spark, sf, S.FAULT_FRACTION).filter(F.col("seed") == 0)
+    failed = materialize(failed, "failed-rounds")
+    return mask.remove_rounds(events(spark, sf), failed).select("seq", *WORKER)
+
+
+def mask_delay(spark: SparkSession, sf: str) -> DataFrame:
+    delays = parameter_table(
+        spark, "worker_id int, delay_us bigint", [(2, S.HOUR_US), (7, 90_000_000)]
+    )
+    return mask.delay_workers(events(spark, sf), delays).select("seq", *WORKER, "ts_us")
+
+
+def mask_intermittent(spark: SparkSession, sf: str) -> DataFrame:
+    """Worker counts after intermittent loss of one worker, with the truth flag per round."""
+    messages = events(spark, sf)
+    faults = sampled_rounds(spark, sf, S.INTERMITTENT_FRACTION).filter(F.col("seed") == 0)
+    faults = materialize(faults, "fault-rounds")
+    kept = mask.intermittent_drops(messages, faults, F.lit(7), prob=0.3, seed=0)
+    truth = faults.select(*ROUND, F.lit(True).alias("_fault"))
+    return (
+        rounds.worker_counts(kept)
+        .join(truth, ROUND, "left")
+        .select(*WORKER, "cnt", F.coalesce("_fault", F.lit(False)).alias("fault_round"))
+    )
+
+
+# --- scoring -------------------------------------------------------------------------------
+
+def loss_counts(spark: SparkSession, sf: str) -> DataFrame:
+    """Worker counts under every (seed, loss probability), each seed with its own lossy worker.
+
+    One draw per message and seed serves all probabilities. Workers that lost everything keep a
+    row with count 0.
+    """
+    drawn = (
+        events(spark, sf)
+        .select(*WORKER, "seq", every(S.SEEDS, "seed"))
+        .withColumn("u", uniform(F.col("seq"), F.col("seed")))
+        .withColumn("lossy_worker", mask.seeded_worker(F.col("seed"), "lossy", S.N_WORKERS))
+    )
+    kept = []
+    for i, p in enumerate(S.LOSS_PROBS):
+        own = F.when(F.col("worker_id") == F.col("lossy_worker"), F.lit(p)).otherwise(F.lit(0.0))
+        loss = mask.compound_loss(own, F.lit(p * S.BASELINE_FRACTION))
+        kept.append(score.count_if(F.col("u") >= loss).alias(f"_k{i}"))
+    pairs = F.array(*[
+        F.struct(F.lit(p).alias("loss_prob"), F.col(f"_k{i}").alias("cnt"))
+        for i, p in enumerate(S.LOSS_PROBS)
+    ])
+    return (
+        drawn.groupBy("seed", "lossy_worker", *WORKER)
+        .agg(*kept)
+        .select("seed", "lossy_worker", *WORKER, F.inline(pairs))
+    )
+
+
+def loss_scores(spark: SparkSession, sf: str) -> DataFrame:
+    """Lossy-worker scores of the exact, schedule-aware and sketch models."""
+    masked = loss_counts(spark, sf).withColumn("key", key_text(*map(F.col, WORKER)))
+    table = sketch.sketch_table(masked, width=S.SKETCH_WIDTH, by=["seed", "loss_prob"])
+    rows = sketch.point_estimates(
+        masked, table, ["seed", "loss_prob", "lossy_worker", *WORKER, "cnt"],
+        width=S.SKETCH_WIDTH, by=["seed", "loss_prob"],
+        sketches=len(S.SEEDS) * len(S.LOSS_PROBS),
+    )
+    below = F.when(F.col("cnt") < S.EXPECTED_WORKER, F.col("cnt"))
+    return score.lowest_worker_scores(
+        rows, ["seed", "loss_prob"], "lossy_worker", "cnt",
+        {"dataflow": F.col("cnt"), "schedule_aware": below, "sketch": F.col("est")},
+    )
+
+
+SCORE_COLUMNS = ["system", "seed", "loss_prob", "lossy_worker", "tp", "pp", "ap",
+                 "precision", "recall"]
+
+
+def score_lossy_worker(spark: SparkSession, sf: str) -> DataFrame:
+    return loss_scores(spark, sf).filter(F.col("system") != "schedule_aware").select(
+        *SCORE_COLUMNS
+    )
+
+
+def score_lossy_expected(spark: SparkSession, sf: str) -> DataFrame:
+    return loss_scores(spark, sf).filter(F.col("system") == "schedule_aware").select(
+        *SCORE_COLUMNS
+    )
+
+
+def straggler_scores(spark: SparkSession, sf: str) -> DataFrame:
+    """Straggler scores under delays of one worker per seed.
+
+    A delay moves all messages of a worker alike, so the last message per worker is found once
+    and the delays are applied to those few rows.
+    """
+    last = events(spark, sf).groupBy(*WORKER).agg(F.max(rounds.arrival_rank()).alias("_last"))
+    tails = last.select(*WORKER, "_last.ts_us", "_last.arrival")
+    grid = tails.select("*", every(S.SEEDS, "seed")).select(
+        "*", every(S.DELAYS_MS, "delay_ms")
+    ).withColumn("straggler", mask.seeded_worker(F.col("seed"), "straggler", S.N_WORKERS))
+    own = F.col("worker_id") == F.col("straggler")
+    delayed = F.col("ts_us") + F.when(own, F.col("delay_ms").cast("bigint") * 1000).otherwise(0)
+    per_round = grid.groupBy("seed", "delay_ms", "straggler", *ROUND).agg(
+        F.max_by("worker_id", F.struct(delayed, "arrival")).alias("last_worker"),
+        F.max(own.cast("int")).alias("_present"),
+    )
+    hit = F.col("last_worker") == F.col("straggler")
+    scored = per_round.groupBy("seed", "delay_ms", "straggler").agg(
+        F.count(F.lit(1)).alias("observed_rounds"),
+        score.count_if(hit).alias("tp"),
+        score.count_if(hit).alias("pp"),
+        score.count_if(hit).alias("ap"),
+        score.count_if(F.col("_present") == 1).alias("injected"),
+    )
+    return score.with_precision_recall(scored).withColumn(
+        "injected_recall", half_even(safe_div(F.col("tp"), F.col("injected")), 3)
+    )
+
+
+def score_straggler(spark: SparkSession, sf: str) -> DataFrame:
+    return straggler_scores(spark, sf)
+
+
+def fault_states(spark: SparkSession, sf: str) -> DataFrame:
+    """Inactivity outcome of every scheduled round under every seed and fault type.
+
+    Faults remove whole rounds or whole chunks, so they commute with the bucket aggregation:
+    messages are read and combined once and the faults are applied to buckets.
+    """
+    keys = ["seed", "fault_type", *ROUND]
+    buckets = inactivity.activity_buckets(
+        events(spark, sf), S.TIMEOUT_US, by=[*ROUND, "chunk_id"]
+    )
+    observed = buckets.select(*ROUND).distinct()
+    sampled = mask.sample_rounds(
+        observed.select("*", every(S.SEEDS, "seed")), S.FAULT_FRACTION, ["seed", "job_id"],
+        F.col("seed"),
+    ).withColumn("sampled", F.lit(True))
+
+    def with_truth(df: DataFrame) -> DataFrame:
+        grid = df.select("*", every(S.SEEDS, "seed")).join(
+            sampled, ["seed", *ROUND], "left"
+        ).select("*", every(S.FAULT_TYPES, "fault_type"))
+        return grid.withColumn(
+            "actual",
+            F.coalesce("sampled", F.lit(False)) & (F.col("fault_type") != "healthy"),
+        ).drop("sampled")
+
+    failed = F.col("actual") & (F.col("fault_type") == "failed_round")
+    silent = F.col("actual") & (F.col("fault_type") == "missing_chunks") & (F.col("chunk_id") == 1)
+    left = with_truth(buckets).filter(~failed & ~silent).drop("actual", "chunk_id")
+    planned = with_truth(event_schedule(buckets))
+    states = inactivity.inactivity_states(left, planned.drop("actual"), keys)
+    return states.join(planned.select(*keys, "actual"), keys).withColumn(
+        "predicted", F.col("detected_us").isNotNull()
+    )
+
+
+def score_sets(spark: SparkSession, sf: str) -> DataFrame:
+    states = fault_states(spark, sf)
+    keys = ["seed", "fault_type", *ROUND]
+    flags = score.set_flags(states.filter("predicted"), states.filter("actual"), keys)
+    return score.set_score(flags, ["seed", "fault_type"])
+
+
+def score_fpr(spark: SparkSession, sf: str) -> DataFrame:
+    p, a = F.col("predicted"), F.col("actual")
+    return (
+        fault_states(spark, sf)
+        .groupBy("seed", "fault_type")
+        .agg(score.count_if(p & ~a).alias("fp"), score.count_if(~a).alias("healthy_rounds"))
+        .withColumn(
+            "false_positive_rate",
+            score.false_positive_rate(F.col("fp"), F.col("healthy_rounds")),
+        )
+    )
+
+
+def score_ttd(spark: SparkSession, sf: str) -> DataFrame:
+    """Mean time from round start to detection over true positives, with their number."""
+    hit = F.col("predicted") & F.col("actual")
+    return (
+        fault_states(spark, sf)
+        .groupBy("seed", "fault_type")
+        .agg(
+            score.count_if(hit).alias("detections"),
+            score.average_delay_ms(F.when(hit, F.col("detected_us") - F.col("start_us"))).alias(
+                "time_to_detection_ms"
+            ),
+        )
+    )
+
+
+def negative_controls(spark: SparkSession, sf: str) -> DataFrame:
+    """False-positive rate per control and job, on data without the fault in question."""
+    messages = events(spark, sf)
+    complete = rounds.incomplete_rounds(messages, S.EVENT_PAIRS).filter(~F.col("incomplete"))
+    clean = complete.select(*ROUND)
+    per_worker = rounds.worker_counts(messages)
+    # Q2, equal contributions on the expected grid: no gap, so no alert.
+    grid = event_schedule(per_worker).select(
+        *ROUND, F.explode(F.sequence(F.lit(0), F.lit(S.N_WORKERS - 1))).alias("worker_id"),
+        F.lit(S.N_CHUNKS).cast("bigint").alias("cnt"),
+    )
+    planned = event_schedule(per_worker).select(*ROUND)
+    q2_grid = rounds.gap_rounds(grid, 0, S.CONTROL_GAP)
+    q2_clean = rounds.gap_rounds(per_worker, 0, S.CONTROL_GAP).join(clean, ROUND, "left_semi")
+    q3_clean = rounds.tail_gap(messages, S.TAIL_GAP_US).join(clean, ROUND, "left_semi").filter(
+        "alert"
+    )
+    # Q5, activity drawn independently of the latency it is compared with.
+    metrics = messages.groupBy(*ROUND).agg(
+        (F.max("ts_us") - F.min("ts_us")).alias("latency_us")
+    )
+    drawn = uniform(F.lit("background"), F.col("job_id"), F.col("round_id"))
+    uncoupled = metrics.select(
+        *ROUND, "latency_us",
+        F.inline(F.array(
+            F.struct(
+                F.lit("staggered_starts").alias("control_type"),
+                (F.col("round_id") % 4).isin(1, 2).alias("active"),
+            ),
+            F.struct(
+                F.lit("background_traffic").alias("control_type"),
+                (drawn < S.BACKGROUND_ACTIVE_PROB).alias("active"),
+            ),
+        )),
+    )
+    q5 = sliding(uncoupled, ["control_type", "job_id"]).filter(F.col("score") >= S.CORR_THRESHOLD)
+    q5_rounds = uncoupled.select("control_type", *ROUND)
+
+    def tally(query: str, control: Column, base: DataFrame, alerts: DataFrame) -> DataFrame:
+        label = F.concat(F.lit(f"{query} "), control)
+        one = base.select(label.alias("control"), "job_id", F.lit(1).alias("r"),
+                          F.lit(0).alias("a"))
+        return one.unionByName(
+            alerts.select(label.alias("control"), "job_id", F.lit(0).alias("r"),
+                          F.lit(1).alias("a"))
+        )
+
+    rows = (
+        tally("Q2", F.lit("expected_grid"), planned, q2_grid)
+        .unionByName(tally("Q2", F.lit("complete_rounds"), clean, q2_clean))
+        .unionByName(tally("Q3", F.lit("complete_rounds"), clean, q3_clean))
+        .unionByName(tally("Q5", F.col("control_type"), q5_rounds, q5))
+    )
+    jobs = list(range(S.N_JOBS))
+    rates = rows.groupBy("control", "job_id").agg(F.sum("r").alias("r"), F.sum("a").alias("a"))
+    rate = score.false_positive_rate(F.col("a"), F.col("r"))
+    matrix = rates.groupBy("control").pivot("job_id", jobs).agg(F.first(rate))
+    named = matrix.select("control", *[F.col(str(j)).alias(f"job_{j}") for j in jobs])
+    return named.fillna(0.0)
+
+
+# --- state, summaries, series --------------------------------------------------------------
+
+def state_profile(spark: SparkSession, sf: str) -> DataFrame:
+    """State of each query model: observed keys for exact models, arithmetic for the others."""
+    pairs = events(spark, sf).groupBy(*WORKER, "chunk_id").agg(F.lit(1).alias("_one"))
+    per_worker = pairs.groupBy(*WORKER).agg(F.count(F.lit(1)).alias("pairs"))
+    per_round = per_worker.groupBy(*ROUND).agg(
+        F.count(F.lit(1)).alias("workers"), F.sum("pairs").alias("pairs")
+    )
+    per_job = per_round.groupBy("job_id").agg(
+        F.count(F.lit(1)).alias("rounds"), F.sum("workers").alias("worker_keys"),
+        F.sum("pairs").alias("pair_keys"),
+    )
+    measured = per_job.agg(
+        F.count(F.lit(1)).cast("int").alias("n_jobs"),
+        F.max("rounds").cast("int").alias("n_rounds"),
+        F.sum("rounds").alias("round_keys"),
+        F.sum("worker_keys").alias("worker_keys"),
+        F.sum("pair_keys").alias("pair_keys"),
+    ).select(
+        "*", F.lit(S.N_WORKERS).alias("n_workers"), F.lit(S.N_CHUNKS).alias("n_chunks")
+    )
+    grid = F.col("n_workers") * F.col("n_chunks")
+    cells = F.lit(S.SKETCH_WIDTH * S.SKETCH_DEPTH)
+    none = F.lit(None)
+
+    def model(query: str, system: str, state: Column, key_mode: str | None = None,
+              expressible: bool = True, window: bool = False) -> Column:
+        return F.struct(
+            F.lit("profile").alias("workload"), F.lit(query).alias("query"),
+            F.lit(system).alias("system"), F.lit(expressible).alias("expressible"),
+            F.lit(key_mode).cast("string").alias("key_mode"),
+            (F.lit(S.CORR_WINDOW) if window else none).cast("int").alias("window_size"),
+            state.cast("bigint").alias("state_entries"),
+        )
+
+    models = F.array(
+        model("Q1", "dataflow", F.col("round_keys")),
+        model("Q2", "dataflow", F.col("worker_keys")),
+        model("Q2", "schedule_aware", F.col("n_workers") + 1),
+        *[model("Q2", "sketch", cells, mode) for mode in (*S.KEY_MODES, "job_round_worker_chunk")],
+        model("Q2", "sketch_levels", cells * S.SKETCH_LEVELS),
+        model("Q3", "dataflow", F.col("round_keys")),
+        model("Q3", "schedule_aware", F.lit(1)),
+        model("Q3", "sketch", none, expressible=False),
+        model("Q4", "dataflow", F.col("round_keys")),
+        model("Q4", "dataflow_pairs", F.col("pair_keys")),
+        model("Q4", "dataflow_windowed", F.greatest(grid, F.lit(S.EXPECTED_ROUND))),
+        model("Q4", "schedule_aware", F.col("n_workers") + F.col("n_chunks")),
+        model("Q5", "dataflow_external_windowed", F.lit(2 * S.CORR_WINDOW), window=True),
+        model("Q5", "schedule_aware", F.lit(2 * S.CORR_WINDOW), window=True),
+    )
+    rows = measured.select("n_jobs", "n_rounds", "n_workers", "n_chunks", F.inline(models))
+    return profile.state_cost(rows).withColumn("packets", profile.modelled_messages()).drop(
+        "expressible", "workload"
+    )
+
+
+def state_by_jobs(spark: SparkSession, sf: str) -> DataFrame:
+    """Exact state grows with the number of jobs, sketch state does not."""
+    keys = rounds.worker_counts(events(spark, sf)).groupBy("job_id").agg(
+        F.count(F.lit(1)).alias("keys")
+    )
+    within = keys.select("*", every(S.JOB_COUNTS, "n_jobs")).filter("job_id < n_jobs")
+    sizes = within.groupBy("n_jobs").agg(F.sum("keys").alias("keys"))
+    models = F.array(
+        F.struct(F.lit("dataflow").alias("system"), F.col("keys").alias("state_entries")),
+        F.struct(
+            F.lit("sketch").alias("system"),
+            F.lit(S.SKETCH_WIDTH * S.SKETCH_DEPTH).cast("bigint").alias("state_entries"),
+        ),
+    )
+    rows = sizes.select(
+        F.lit("multitenant").alias("workload"), F.lit("Q2").alias("query"),
+        F.lit(True).alias("expressible"), "n_jobs", F.lit(S.N_ROUNDS).alias("n_rounds"),
+        F.lit(S.N_WORKERS).alias("n_workers"), F.lit(S.N_CHUNKS).alias("n_chunks"),
+        F.lit(None).cast("string").alias("key_mode"),
+        F.lit(None).cast("int").alias("window_size"), F.inline(models),
+    )
+    return profile.state_cost(rows).select(
+        "system", "n_jobs", "state_entries", "counter_bits", "register_bytes", "keys_tracked",
+        "per_packet_ops", "scaling_model",
+    )
+
+
+def run_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """Per-seed result rows of the loss and straggler experiments."""
+    config = [
+        F.lit(S.N_WORKERS).alias("n_workers"), F.lit(S.N_CHUNKS).alias("n_chunks"),
+        F.lit(S.N_ROUNDS).alias("n_rounds"), F.lit(1).alias("n_jobs"),
+        F.lit(None).cast("string").alias("key_mode"), F.lit(None).cast("int").alias("window_size"),
+    ]
+    loss_state = (
+        F.when(F.col("system") == "dataflow", F.col("keys"))
+        .when(F.col("system") == "schedule_aware", F.lit(S.N_WORKERS + 1))
+        .otherwise(F.lit(S.SKETCH_WIDTH * S.SKETCH_DEPTH))
+    )
+    loss = loss_scores(spark, sf).select(
+        F.lit("packet_loss").alias("workload"), F.lit("Q2").alias("query"), "system",
+        F.lit(True).alias("expressible"), *config, "seed", "loss_prob", "precision", "recall",
+        loss_state.cast("bigint").alias("state_entries"),
+    )
+    def variant(system: str, expressible: bool, state: Column, reason: str | None) -> Column:
+        def shown(name: str) -> Column:
+            return F.col(name) if expressible else F.lit(None).cast("double")
+
+        return F.struct(
+            F.lit(system).alias("system"), F.lit(expressible).alias("expressible"),
+            shown("precision").alias("precision"), shown("recall").alias("recall"),
+            state.cast("bigint").alias("state_entries"),
+            F.lit(reason).cast("string").alias("reason"),
+        )
+
+    systems = F.array(
+        variant("dataflow", True, F.col("observed_rounds"), None),
+        variant("schedule_aware", True, F.lit(1), None),
+        variant("sketch", False, F.lit(None), "a sketch keeps no argmax over keys"),
+    )
+    lag = straggler_scores(spark, sf).select(
+        F.lit("straggler").alias("workload"), F.lit("Q3").alias("query"), *config, "seed",
+        F.col("delay_ms").cast("double").alias("delay_ms"), "observed_rounds", F.inline(systems),
+    )
+    rows = loss.unionByName(lag, allowMissingColumns=True)
+    return summary.result_rows(
+        profile.state_cost(rows).withColumn("packets", profile.modelled_messages())
+    )
+
+
+def summary_ci95(spark: SparkSession, sf: str) -> DataFrame:
+    return summary.sorted_summary(summary.summarize(run_rows(spark, sf)))
+
+
+def metric_series(spark: SparkSession, sf: str) -> DataFrame:
+    """Precision and recall by loss probability, and state as bytes or else entries."""
+    rows = run_rows(spark, sf).filter(F.col("workload") == "packet_loss").withColumn(
+        "state", F.coalesce("register_bytes", "state_entries")
+    )
+    return summary.metric_points(rows, "loss_prob", ["precision", "recall", "state"])
+
+
+def na_systems(spark: SparkSession, sf: str) -> DataFrame:
+    return summary.not_applicable(run_rows(spark, sf))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        scan_events, results_csv_roundtrip, merge_ordered, q2_from_counts, round_tail, flt_events,
+        map_events, round_schedule, sketch_key_modes, rounds_in_episode, safe_numeric,
+        q4_failures_from_counts, q2_lossy_worker, q5_pairwise_corr, score_lossy_worker, score_sets,
+        episode_first_detection, sketch_point_estimate, timeout_sweep, sketch_width_sweep,
+        reduce_by_key_fold, q1_round_latency, q2_worker_counts, q3_straggler,
+        q4_incomplete_rounds, q4_conversation_gaps, q2_gap_rounds, score_ttd, summary_ci95,
+        state_profile, q3_tail_gap, q5_sliding_corr, q5_corr_alerts, q4_inactivity_alerts,
+        distinct_first, q5_sliding_corr_lossy, sketch_heavy_hitters, sample_rounds, metric_series,
+        sketch_levels, q4_inactivity_default_time, sketch_table, score_straggler, score_fpr,
+        score_lossy_expected, negative_controls, state_by_jobs, na_systems, mask_drop, mask_skip,
+        mask_rounds, mask_delay, mask_intermittent,
+    )
+}
