@@ -8,7 +8,7 @@ then sees at most one row per bucket, however many messages a round has.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 ROUND = ["job_id", "round_id"]
@@ -35,20 +35,33 @@ def activity_buckets(
 
 
 def inactivity_states(
-    buckets: DataFrame, schedule: DataFrame, by: list[str] | None = None
+    buckets: DataFrame,
+    schedule: DataFrame,
+    by: list[str] | None = None,
+    hidden: Column | None = None,
+    carry: tuple[str, ...] = (),
 ) -> DataFrame:
     """One row per scheduled round, ``detected_us`` being null where nothing fires.
 
-    ``schedule`` carries ``start_us, end_us, expected, timeout_us`` for each key of ``by``.
-    Activity without a time counts as arriving at the scheduled end. Buckets may overlap that
-    arrival, so the last activity is a running maximum instead of the previous row.
+    ``schedule`` carries ``start_us, end_us, expected, timeout_us`` for each key of ``by``; it
+    may hold several variants of a round (timeouts, faults), which all share the round's
+    buckets. ``hidden`` marks buckets that a variant does not get to see, and ``carry`` names
+    schedule columns to keep. Activity without a time counts as arriving at the scheduled end.
+    Buckets may overlap that arrival, so the last activity is a running maximum instead of the
+    previous row.
     """
     keys = by or ROUND
+    rows = schedule.join(buckets, ROUND, "left")
+    if hidden is not None:
+        shown = F.coalesce(~hidden, F.lit(True))
+        for name in ("first_us", "last_us", "n"):
+            rows = rows.withColumn(name, F.when(shown, F.col(name)))
     rows = (
-        schedule.join(buckets, keys, "left")
-        .withColumn("n", F.coalesce("n", F.lit(0)))
-        .withColumn("first_us", F.when(F.col("bucket").isNull() & (F.col("n") > 0), F.col("end_us"))
-                    .otherwise(F.col("first_us")))
+        rows.withColumn("n", F.coalesce("n", F.lit(0)))
+        .withColumn(
+            "first_us",
+            F.coalesce("first_us", F.when(F.col("n") > 0, F.col("end_us"))),
+        )
         .withColumn("last_us", F.coalesce("last_us", "first_us"))
     )
     before = (
@@ -64,10 +77,9 @@ def inactivity_states(
             "fires", (F.col("seen") < F.col("expected")) & (F.col("first_us") > F.col("fires_at"))
         )
     )
+    kept = [c for c in ("start_us", "expected", "timeout_us", *carry) if c not in keys]
     per_round = gaps.groupBy(*keys).agg(
-        F.first("start_us").alias("start_us"),
-        F.first("expected").alias("expected"),
-        F.first("timeout_us").alias("timeout_us"),
+        *[F.first(c).alias(c) for c in kept],
         F.min(F.when(F.col("fires"), F.col("fires_at"))).alias("fired_us"),
         F.min(F.when(F.col("fires"), F.col("seen"))).alias("seen"),
         F.max("last_us").alias("last_us"),
@@ -88,6 +100,7 @@ def inactivity_states(
         .alias("reason"),
         "start_us",
         F.col("total").cast("bigint").alias("total"),
+        *carry,
     )
 
 

@@ -22,9 +22,9 @@ SEED = 42
 
 def _hashed(keys: DataFrame, key: str, depth: int, seed: Column) -> DataFrame:
     """One row per key and sketch row, with the key's hash and sign in that row."""
-    digest = sketch_digest(F.col(key), F.col("row"), seed)
+    digest = sketch_digest(F.col(key), F.col("depth_row"), seed)
     return (
-        keys.withColumn("row", F.explode(F.sequence(F.lit(0), F.lit(depth - 1))))
+        keys.withColumn("depth_row", F.explode(F.sequence(F.lit(0), F.lit(depth - 1))))
         .withColumn("_digest", digest)
         .withColumn("_hash", u32(F.col("_digest")))
         .withColumn("_sign", sign(F.col("_digest")))
@@ -41,13 +41,13 @@ def sketch_table(
     seed: int | Column = SEED,
     by: list[str] | None = None,
 ) -> DataFrame:
-    """Non-zero cells ``(*by, row, idx, v)`` of one sketch per value of ``by``."""
+    """Non-zero cells ``(*by, depth_row, idx, v)`` of one sketch per value of ``by``."""
     by = by or []
     seed_col = F.lit(seed) if isinstance(seed, int) else seed
     idx = (F.col("_hash") % (F.lit(width) if isinstance(width, int) else width)).cast("int")
     return (
         _hashed(weighted, key, depth, seed_col)
-        .groupBy(*by, "row", idx.alias("idx"))
+        .groupBy(*by, "depth_row", idx.alias("idx"))
         .agg(F.sum(F.col("_sign") * F.col(weight)).cast("bigint").alias("v"))
     )
 
@@ -91,9 +91,9 @@ def point_estimates(
         "idx", (F.col("_hash") % width).cast("int")
     )
     signed = F.col("_sign") * F.col("v")
-    per_row = [F.max(F.when(F.col("row") == r, signed)).alias(f"_r{r}") for r in range(depth)]
+    per_row = [F.max(F.when(F.col("depth_row") == r, signed)).alias(f"_r{r}") for r in range(depth)]
     return (
-        probes.join(cells, [*by, "row", "idx"], "left")
+        probes.join(cells, [*by, "depth_row", "idx"], "left")
         .groupBy(*id_columns)
         .agg(*per_row)
         .select(
@@ -114,14 +114,14 @@ def width_sweep(
     by_width = hashed.withColumn(
         "sketch_width", F.explode(F.array(*[F.lit(w) for w in widths]))
     ).withColumn("idx", (F.col("_hash") % F.col("sketch_width")).cast("int"))
-    table = by_width.groupBy("sketch_width", "row", "idx").agg(
+    table = by_width.groupBy("sketch_width", "depth_row", "idx").agg(
         F.sum(F.col("_sign") * F.col(weight)).cast("bigint").alias("v")
     )
     cells = broadcast_if_bounded(table, sum(widths) * depth)
     signed = F.col("_sign") * F.col("v")
-    per_row = [F.max(F.when(F.col("row") == r, signed)).alias(f"_r{r}") for r in range(depth)]
+    per_row = [F.max(F.when(F.col("depth_row") == r, signed)).alias(f"_r{r}") for r in range(depth)]
     return (
-        by_width.join(cells, ["sketch_width", "row", "idx"], "left")
+        by_width.join(cells, ["sketch_width", "depth_row", "idx"], "left")
         .groupBy(*id_columns, weight, "sketch_width")
         .agg(*per_row)
         .select(

@@ -251,8 +251,7 @@ def timeout_sweep(spark: SparkSession, sf: str) -> DataFrame:
         "*", every(S.SWEEP_TIMEOUTS_US, "timeout_us")
     )
     keys = [*ROUND, "timeout_us"]
-    spread = buckets.select("*", every(S.SWEEP_TIMEOUTS_US, "timeout_us"))
-    states = inactivity.inactivity_states(spread, grid, keys)
+    states = inactivity.inactivity_states(buckets, grid, keys)
     fired, short = F.col("detected_us").isNotNull(), F.col("total") < F.col("expected")
     lag = F.when(fired & short, F.col("detected_us") - F.col("start_us"))
     return (
@@ -557,7 +556,6 @@ def fault_states(spark: SparkSession, sf: str) -> DataFrame:
     Faults remove whole rounds or whole chunks, so they commute with the bucket aggregation:
     messages are read and combined once and the faults are applied to buckets.
     """
-    keys = ["seed", "fault_type", *ROUND]
     buckets = inactivity.activity_buckets(
         events(spark, sf), S.TIMEOUT_US, by=[*ROUND, "chunk_id"]
     )
@@ -567,30 +565,35 @@ def fault_states(spark: SparkSession, sf: str) -> DataFrame:
         F.col("seed"),
     ).withColumn("sampled", F.lit(True))
 
-    def with_truth(df: DataFrame) -> DataFrame:
-        grid = df.select("*", every(S.SEEDS, "seed")).join(
-            sampled, ["seed", *ROUND], "left"
-        ).select("*", every(S.FAULT_TYPES, "fault_type"))
-        return grid.withColumn(
-            "actual",
-            F.coalesce("sampled", F.lit(False)) & (F.col("fault_type") != "healthy"),
-        ).drop("sampled")
-
+    planned = (
+        event_schedule(buckets).select("*", every(S.SEEDS, "seed"))
+        .join(sampled, ["seed", *ROUND], "left")
+        .select("*", every(S.FAULT_TYPES, "fault_type"))
+    )
+    faulty = F.coalesce("sampled", F.lit(False)) & (F.col("fault_type") != "healthy")
     failed = F.col("actual") & (F.col("fault_type") == "failed_round")
     silent = F.col("actual") & (F.col("fault_type") == "missing_chunks") & (F.col("chunk_id") == 1)
-    left = with_truth(buckets).filter(~failed & ~silent).drop("actual", "chunk_id")
-    planned = with_truth(event_schedule(buckets))
-    states = inactivity.inactivity_states(left, planned.drop("actual"), keys)
-    return states.join(planned.select(*keys, "actual"), keys).withColumn(
-        "predicted", F.col("detected_us").isNotNull()
+    states = inactivity.inactivity_states(
+        buckets, planned.withColumn("actual", faulty), ["seed", "fault_type", *ROUND],
+        hidden=failed | silent, carry=("actual",),
     )
+    return states.withColumn("predicted", F.col("detected_us").isNotNull())
 
 
 def score_sets(spark: SparkSession, sf: str) -> DataFrame:
-    states = fault_states(spark, sf)
-    keys = ["seed", "fault_type", *ROUND]
-    flags = score.set_flags(states.filter("predicted"), states.filter("actual"), keys)
-    return score.set_score(flags, ["seed", "fault_type"])
+    return score.set_score(fault_states(spark, sf), ["seed", "fault_type"])
+
+
+def score_labels(spark: SparkSession, sf: str) -> DataFrame:
+    """Two separate sets scored against each other: long documents against good labels."""
+    documents = bindings.load(spark, sf, "documents")
+    labels = bindings.load(spark, sf, "labels")
+    flags = score.set_flags(
+        documents.filter(F.col("n_chars") >= S.LONG_CHARS), labels.filter("quality = 1"),
+        ["doc_id"],
+    )
+    scored = flags.join(documents.select("doc_id", "lang"), "doc_id")
+    return score.set_score(scored, ["lang"])
 
 
 def score_fpr(spark: SparkSession, sf: str) -> DataFrame:
@@ -723,7 +726,7 @@ def state_profile(spark: SparkSession, sf: str) -> DataFrame:
         model("Q2", "dataflow", F.col("worker_keys")),
         model("Q2", "schedule_aware", F.col("n_workers") + 1),
         *[model("Q2", "sketch", cells, mode) for mode in (*S.KEY_MODES, "job_round_worker_chunk")],
-        model("Q2", "sketch_levels", cells * S.SKETCH_LEVELS),
+        model("Q2", "sketch", cells * S.SKETCH_LEVELS, "levels"),
         model("Q3", "dataflow", F.col("round_keys")),
         model("Q3", "schedule_aware", F.lit(1)),
         model("Q3", "sketch", none, expressible=False),
@@ -831,7 +834,7 @@ QUERIES = {
     for f in (
         scan_events, results_csv_roundtrip, merge_ordered, q2_from_counts, round_tail, flt_events,
         map_events, round_schedule, sketch_key_modes, rounds_in_episode, safe_numeric,
-        q4_failures_from_counts, q2_lossy_worker, q5_pairwise_corr, score_lossy_worker, score_sets,
+        q4_failures_from_counts, q2_lossy_worker, q5_pairwise_corr, score_lossy_worker, score_sets, score_labels,
         episode_first_detection, sketch_point_estimate, timeout_sweep, sketch_width_sweep,
         reduce_by_key_fold, q1_round_latency, q2_worker_counts, q3_straggler,
         q4_incomplete_rounds, q4_conversation_gaps, q2_gap_rounds, score_ttd, summary_ci95,

@@ -42,4 +42,5 @@ FAULT_TYPES = ("failed_round", "missing_chunks", "healthy")
 
 TAIL_GAP_US = 10 * 60_000_000
 CONTROL_GAP = 1
+LONG_CHARS = 1000
 JOB_COUNTS = (1, 2, 4)
