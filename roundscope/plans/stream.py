@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from roundscope.operators import correlate
 from roundscope.plans import batch
@@ -22,13 +23,11 @@ def replay_events(
 ) -> tuple[Replay, DataFrame]:
     """The events table as a stream of messages with an event time."""
     schema = bindings.load(spark, sf, "events").schema
-    replay = Replay(spark, f"{sf}/events.parquet", schema, max_files)
-    stored = replay.rows
-    messages = bindings.event_messages(stored.select("*")).schema.names
-    columns = bindings.event_messages(stored)
-    return replay, columns.select(
-        *messages, F.timestamp_micros("ts_us").alias("ts")
-    )
+    # A pattern that matches one name: the table may be a single file, which a plain stream
+    # path may not be.
+    replay = Replay(spark, f"{sf}/{{events}}.parquet", schema, max_files)
+    messages = bindings.event_messages(replay.rows)
+    return replay, messages.withColumn("ts", F.timestamp_micros("ts_us"))
 
 
 def stream_scan_events(spark: SparkSession, sf: str) -> DataFrame:
@@ -54,7 +53,7 @@ def stream_q2_counts(spark: SparkSession, sf: str) -> DataFrame:
         changed.write.mode("overwrite").parquet(f"{changes}/batch_id={batch_id}")
 
     replay.for_each_batch(plan, write, "update")
-    log = spark.read.schema(plan.schema.add("batch_id", "bigint")).parquet(changes)
+    log = spark.read.schema(plan.schema.add("batch_id", T.LongType())).parquet(changes)
     latest = log.groupBy(*WORKER).agg(F.max_by("cnt", "batch_id").alias("cnt"))
     return latest.filter(F.col("worker_id").isNotNull())
 
