@@ -25,6 +25,11 @@ def half_even(value: Column, digits: int = 0) -> Column:
     return F.bround(value, digits)
 
 
+def summary_round(value: Column) -> Column:
+    """Six digits, or three from a million on, where further ones are rounding noise."""
+    return F.when(F.abs(value) < 1e6, half_even(value, 6)).otherwise(half_even(value, 3))
+
+
 def clamp_low(value: Column, low: float) -> Column:
     return F.greatest(value, F.lit(low))
 
@@ -70,7 +75,7 @@ def ci95(value: str, unit_interval: bool = False) -> tuple[Column, Column, Colum
     if unit_interval:
         low = F.when(low.isNotNull(), clamp_low(low, 0.0))
         high = F.when(high.isNotNull(), clamp_high(high, 1.0))
-    return half_even(mean, 6), half_even(low, 6), half_even(high, 6)
+    return summary_round(mean), summary_round(low), summary_round(high)
 
 
 def numeric_or_null(text: Column) -> Column:

@@ -22,14 +22,18 @@ def count_if(condition: Column) -> Column:
 
 
 def lowest_worker_scores(
-    rows: DataFrame, by: list[str], worker: str, truth: str, predictions: dict[str, Column]
+    rows: DataFrame, by: list[str], worker: str, truth: str, predictions: dict[str, Column],
+    sums: dict[str, Column] | None = None,
 ) -> DataFrame:
     """Lowest-count-worker scoring of several detectors in one pass over worker counts.
 
     ``rows`` has ``(*by, worker, job_id, round_id, worker_id, truth)``. Each prediction is a
     count column, null where the detector does not consider that worker. Predicted positives
     count only rounds where ``worker`` itself is predicted. Ties go to the lowest worker id.
+    ``sums`` names row values to add up beside the scores.
     """
+    sums = sums or {}
+
     def lowest(cnt: Column) -> Column:
         return F.min(
             F.when(cnt.isNotNull(), F.struct(cnt.alias("cnt"), F.col("worker_id")))
@@ -39,11 +43,13 @@ def lowest_worker_scores(
     per_round = rows.groupBy(*by, worker, "job_id", "round_id").agg(
         lowest(F.col(truth)).alias("_truth"),
         F.count(F.lit(1)).alias("_keys"),
+        *[F.sum(value).alias(name) for name, value in sums.items()],
         *[lowest(predictions[name]).alias(f"_{name}") for name in names],
     )
     actual = F.col("_truth") == F.col(worker)
     scored = per_round.groupBy(*by, worker).agg(
         F.sum("_keys").cast("bigint").alias("keys"),
+        *[F.sum(name).cast("bigint").alias(name) for name in sums],
         count_if(actual).alias("ap"),
         *[count_if(F.col(f"_{n}") == F.col(worker)).alias(f"_pp_{n}") for n in names],
         *[count_if(actual & (F.col(f"_{n}") == F.col(worker))).alias(f"_tp_{n}") for n in names],
@@ -55,7 +61,7 @@ def lowest_worker_scores(
         for n in names
     ])
     return with_precision_recall(
-        scored.select(*by, worker, "keys", "ap", F.inline(systems))
+        scored.select(*by, worker, "keys", *sums, "ap", F.inline(systems))
     )
 
 

@@ -68,6 +68,19 @@ def _median(rows: list[Column]) -> Column:
     return F.sort_array(F.array(*[F.coalesce(r, F.lit(0)) for r in rows]))[len(rows) // 2]
 
 
+def _readout(probed: DataFrame, id_columns: list[str], depth: int) -> DataFrame:
+    """Collect the row estimates of each key side by side and take their median."""
+    signed = F.col("_sign") * F.col("v")
+    names = [f"_r{r}" for r in range(depth)]
+    per_row = [
+        F.max(F.when(F.col("depth_row") == r, signed)).alias(name) for r, name in enumerate(names)
+    ]
+    median = _median([F.col(name) for name in names])
+    return probed.groupBy(*id_columns).agg(*per_row).select(
+        *id_columns, F.greatest(median, F.lit(0)).cast("bigint").alias("est")
+    )
+
+
 def point_estimates(
     keys: DataFrame,
     table: DataFrame,
@@ -90,47 +103,27 @@ def point_estimates(
     probes = _hashed(keys.select(*id_columns, key), key, depth, F.lit(seed)).withColumn(
         "idx", (F.col("_hash") % width).cast("int")
     )
-    signed = F.col("_sign") * F.col("v")
-    per_row = [F.max(F.when(F.col("depth_row") == r, signed)).alias(f"_r{r}") for r in range(depth)]
-    return (
-        probes.join(cells, [*by, "depth_row", "idx"], "left")
-        .groupBy(*id_columns)
-        .agg(*per_row)
-        .select(
-            *id_columns,
-            F.greatest(_median([F.col(f"_r{r}") for r in range(depth)]), F.lit(0))
-            .cast("bigint")
-            .alias("est"),
-        )
-    )
+    return _readout(probes.join(cells, [*by, "depth_row", "idx"], "left"), id_columns, depth)
 
 
 def width_sweep(
     weighted: DataFrame, id_columns: list[str], widths: list[int],
     key: str = "key", weight: str = "cnt", depth: int = DEPTH, seed: int = SEED,
+    by: list[str] | None = None, sketches: int = 1,
 ) -> DataFrame:
     """Estimates of each key for several widths. Keys are hashed once; only the modulus varies."""
-    hashed = _hashed(weighted.select(*id_columns, key, weight), key, depth, F.lit(seed))
+    by = [*(by or []), "sketch_width"]
+    ids = [*by[:-1], *id_columns, weight]
+    hashed = _hashed(weighted.select(*ids, key), key, depth, F.lit(seed))
     by_width = hashed.withColumn(
         "sketch_width", F.explode(F.array(*[F.lit(w) for w in widths]))
     ).withColumn("idx", (F.col("_hash") % F.col("sketch_width")).cast("int"))
-    table = by_width.groupBy("sketch_width", "depth_row", "idx").agg(
+    table = by_width.groupBy(*by, "depth_row", "idx").agg(
         F.sum(F.col("_sign") * F.col(weight)).cast("bigint").alias("v")
     )
-    cells = broadcast_if_bounded(table, sum(widths) * depth)
-    signed = F.col("_sign") * F.col("v")
-    per_row = [F.max(F.when(F.col("depth_row") == r, signed)).alias(f"_r{r}") for r in range(depth)]
-    return (
-        by_width.join(cells, ["sketch_width", "depth_row", "idx"], "left")
-        .groupBy(*id_columns, weight, "sketch_width")
-        .agg(*per_row)
-        .select(
-            *id_columns, weight, "sketch_width",
-            F.greatest(_median([F.col(f"_r{r}") for r in range(depth)]), F.lit(0))
-            .cast("bigint")
-            .alias("est"),
-        )
-    )
+    cells = broadcast_if_bounded(table, sum(widths) * depth * sketches)
+    return _readout(by_width.join(cells, [*by, "depth_row", "idx"], "left"),
+                    [*ids, "sketch_width"], depth)
 
 
 def heavy_hitters(estimates: DataFrame, threshold: int) -> DataFrame:
@@ -140,34 +133,39 @@ def heavy_hitters(estimates: DataFrame, threshold: int) -> DataFrame:
 def shared_estimates(
     counts: DataFrame, id_columns: list[str], projected: list[str], key: Column,
     width: int = WIDTH, depth: int = DEPTH, salts: int = 16,
+    by: list[str] | None = None, sketches: int = 1,
 ) -> DataFrame:
     """Sketch on a coarser key, its estimate shared evenly over the finer keys it covers.
 
     A coarse key may cover a large share of all fine keys, so the join back is salted: fine
     rows are spread over ``salts`` and the coarse table, one row per coarse key, is repeated.
-    When nothing is collapsed the coarse keys are the fine keys and no join is needed.
+    When nothing is collapsed the coarse keys are the fine keys and no salt is needed. ``by``
+    keeps separate sketches, of which there are ``sketches``.
     """
+    by = by or []
+    coarse_ids = [*by, *projected]
     coarse = (
-        counts.groupBy(*projected)
+        counts.groupBy(*coarse_ids)
         .agg(F.sum("cnt").cast("bigint").alias("cnt"), F.count(F.lit(1)).alias("fanout"))
         .withColumn("key", key)
     )
-    table = sketch_table(coarse, width=width, depth=depth)
+    table = sketch_table(coarse, width=width, depth=depth, by=by)
     estimates = point_estimates(
-        coarse, table, [*projected, "fanout"], width=width, depth=depth
+        coarse, table, [*coarse_ids, "fanout"], width=width, depth=depth, by=by,
+        sketches=sketches,
     )
     share = F.greatest(
         F.bround(F.col("est") / F.greatest(F.col("fanout"), F.lit(1)), 0), F.lit(0)
     ).cast("bigint")
+    kept = [*by, *id_columns, "cnt"]
     if set(projected) == set(id_columns):
-        exact = counts.select(*id_columns, "cnt")
-        return exact.join(estimates, id_columns).select(*id_columns, "cnt", share.alias("est"))
-    salt = F.pmod(F.hash(*id_columns), F.lit(salts))
-    repeated = estimates.withColumn(
-        "_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))
-    )
-    return (
-        counts.withColumn("_salt", salt)
-        .join(repeated, [*projected, "_salt"])
-        .select(*id_columns, "cnt", share.alias("est"))
-    )
+        joined = counts.select(*kept).join(estimates, coarse_ids)
+    else:
+        repeated = estimates.withColumn(
+            "_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))
+        )
+        salt = F.pmod(F.hash(*id_columns), F.lit(salts))
+        joined = counts.select(*kept, salt.alias("_salt")).join(
+            repeated, [*coarse_ids, "_salt"]
+        )
+    return joined.select(*kept, share.alias("est"))

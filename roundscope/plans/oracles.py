@@ -261,23 +261,32 @@ def ms(value: str) -> str:
     return half_even(f"coalesce(avg({value} / {d(1000.0)}), 0)", 3)
 
 
-def key_mode(mode: str, order: int, columns: str, key: str) -> tuple[str, str]:
-    name = f"m{order}"
-    on = " AND ".join(f"c.{k.strip()} = e.{k.strip()}" for k in columns.split(","))
-    cte = f"""{name} AS (SELECT {columns}, CAST(sum(cnt) AS BIGINT) AS cnt, count(*) AS fanout FROM cnt GROUP BY {columns}),
+MODES = (
+    ("worker", "worker_id", "'(' || worker_id || ',)'"),
+    ("job_worker", "job_id, worker_id", "'(' || job_id || ', ' || worker_id || ')'"),
+    ("job_round_worker", WORKER, KEY),
+)
+
+
+def key_modes(source: str, by: str = "") -> tuple[list[str], str]:
+    """CTEs and a union giving shared-back estimates of every key mode over ``source``."""
+    ctes, bodies = [], []
+    lead = by + ", " if by else ""
+    for order, (mode, columns, key) in enumerate(MODES):
+        name = f"m{order}"
+        ids = lead + columns
+        on = " AND ".join(f"c.{k.strip()} = e.{k.strip()}" for k in ids.split(","))
+        ctes.append(f"""{name} AS (SELECT {ids}, CAST(sum(cnt) AS BIGINT) AS cnt, count(*) AS fanout FROM {source} GROUP BY {ids}),
 {name}k AS (SELECT *, {key} AS key FROM {name}),
-{sketch(name + 's', name + 'k', S.SKETCH_WIDTH, ident=columns + ', fanout')}"""
-    body = f"""SELECT '{mode}' AS key_mode, {order} AS mode_order, c.job_id, c.round_id, c.worker_id, c.cnt,
+{sketch(name + 's', name + 'k', S.SKETCH_WIDTH, by=by, ident=columns + ', fanout')}""")
+        bodies.append(f"""SELECT '{mode}' AS key_mode, {order} AS mode_order, {'c.' + lead if lead else ''}c.job_id, c.round_id, c.worker_id, c.cnt,
   CAST(greatest(0, round_even(e.est / CAST(e.fanout AS DOUBLE), 0)) AS BIGINT) AS est
-FROM cnt c JOIN {name}s_e e ON {on}"""
-    return cte, body
+FROM {source} c JOIN {name}s_e e ON {on}""")
+    return ctes, "\nUNION ALL\n".join(bodies)
 
 
-_MODES = [
-    key_mode("worker", 0, "worker_id", "'(' || worker_id || ',)'"),
-    key_mode("job_worker", 1, "job_id, worker_id", "'(' || job_id || ', ' || worker_id || ')'"),
-    key_mode("job_round_worker", 2, WORKER, KEY),
-]
+_MODE_CTES, _MODE_BODY = key_modes("cnt")
+_SEED_CTES, _SEED_BODY = key_modes("left_counts", "seed")
 
 CELLS = S.SKETCH_WIDTH * S.SKETCH_DEPTH
 
@@ -340,42 +349,305 @@ def _profile() -> str:
     return with_(PK, measured) + "\nUNION ALL\n".join(selects)
 
 
-def _run_rows() -> str:
-    """CTEs ending in ``run_rows``: the complete result rows of loss and straggler runs."""
-    config = f"{S.N_WORKERS} AS n_workers, {S.N_CHUNKS} AS n_chunks, {S.N_ROUNDS} AS n_rounds, 1 AS n_jobs"
-    round_keys = S.N_ROUNDS * S.N_WORKERS
-    loss = f"""SELECT 'packet_loss' AS workload, 'Q2' AS query, system, true AS expressible, {config},
-    NULL::DOUBLE AS delay_ms, loss_prob, seed, "precision", recall, state_entries,
-    state_entries * 32 AS counter_bits,
-    CASE system WHEN 'sketch' THEN {round_keys} ELSE state_entries END AS keys_tracked,
-    CASE system WHEN 'sketch' THEN 5 ELSE 1 END AS per_packet_ops,
-    CASE system WHEN 'dataflow' THEN 'rounds*workers'
-                WHEN 'schedule_aware' THEN 'active-round worker counters + round metadata'
-                ELSE 'fixed sketch registers; logical keys jobs*rounds*workers' END AS scaling_model,
-    NULL::BIGINT AS observed_rounds
-  FROM (SELECT *, CASE system WHEN 'dataflow' THEN keys WHEN 'schedule_aware' THEN {S.N_WORKERS + 1}
-                  ELSE {CELLS} END AS state_entries FROM loss_scores)"""
-    lag = f"""SELECT 'straggler' AS workload, 'Q3' AS query, system, system <> 'sketch' AS expressible, {config},
-    CAST(delay_ms AS DOUBLE) AS delay_ms, NULL::DOUBLE AS loss_prob, seed,
-    CASE WHEN system <> 'sketch' THEN "precision" END AS "precision",
-    CASE WHEN system <> 'sketch' THEN recall END AS recall,
-    CASE system WHEN 'dataflow' THEN observed_rounds WHEN 'schedule_aware' THEN 1 END AS state_entries,
-    CASE system WHEN 'dataflow' THEN observed_rounds * 67 WHEN 'schedule_aware' THEN 67 END AS counter_bits,
-    CASE system WHEN 'dataflow' THEN observed_rounds WHEN 'schedule_aware' THEN 1 END AS keys_tracked,
-    CASE WHEN system <> 'sketch' THEN 2 END AS per_packet_ops,
-    CASE system WHEN 'dataflow' THEN 'rounds with timestamp+argmax worker'
-                WHEN 'schedule_aware' THEN 'active-round timestamp+argmax worker'
-                ELSE 'not expressible' END AS scaling_model,
-    observed_rounds
-  FROM straggler_scores, {unnested(('dataflow', 'schedule_aware', 'sketch'), 'system')}"""
-    return with_(*LOSS_ALL, STRAGGLER, f"""run_rows AS (
-  SELECT *, ceil(counter_bits / {d(8.0)}) AS register_bytes,
-         CAST(n_workers * n_chunks * n_rounds * n_jobs AS DOUBLE) AS packets,
-         NULL::VARCHAR AS fault_type, NULL::DOUBLE AS timeout_ms, NULL::INTEGER AS window_size,
-         NULL::DOUBLE AS interference_delay_ms, NULL::VARCHAR AS key_mode, NULL::INTEGER AS sketch_width,
-         NULL::VARCHAR AS control_type, NULL::DOUBLE AS false_positive_rate,
-         NULL::DOUBLE AS time_to_detection_ms, NULL::DOUBLE AS alerts
-  FROM ({loss} UNION ALL {lag}))""")
+def _control_ctes() -> list[str]:
+    gap = f"""SELECT job_id, round_id FROM (
+      SELECT job_id, round_id, max(cnt) - min(cnt) AS spread, arg_min(worker_id, cnt * 1000 + worker_id) AS low
+      FROM {{src}} GROUP BY ALL) WHERE spread >= {S.CONTROL_GAP} AND low = 0"""
+    return [
+        PK, JOBS, SCHED, CNT, METRICS,
+        f"""clean AS (SELECT job_id, round_id FROM pk GROUP BY ALL
+  HAVING count(DISTINCT (worker_id, chunk_id)) >= {S.EVENT_PAIRS})""",
+        f"""full_grid AS (SELECT job_id, round_id, w AS worker_id, {S.N_CHUNKS} AS cnt
+  FROM sched, (SELECT unnest(range({S.N_WORKERS})) AS w))""",
+        """tail AS (SELECT job_id, round_id, ts_us, lead(ts_us) OVER o AS before, row_number() OVER o AS rk
+  FROM pk WINDOW o AS (PARTITION BY job_id, round_id ORDER BY ts_us DESC))""",
+        f"""uncoupled AS (
+  SELECT 'staggered_starts' AS control_type, job_id, round_id, latency_us / {d(1e6)} AS x,
+         CASE WHEN round_id % 4 IN (1, 2) THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS y FROM metrics
+  UNION ALL
+  SELECT 'background_traffic', job_id, round_id, latency_us / {d(1e6)},
+         CASE WHEN {uniform("'background'", 'job_id', 'round_id')} < {d(S.BACKGROUND_ACTIVE_PROB)} THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END
+  FROM metrics)""",
+        sliding("uncoupled", "control_type, job_id", ""),
+        f"""marks AS (
+  SELECT 'Q2' AS query, 'expected_grid' AS control_type, job_id, 1 AS r, 0 AS a FROM sched
+  UNION ALL SELECT 'Q2', 'expected_grid', job_id, 0, 1 FROM ({gap.format(src='full_grid')})
+  UNION ALL SELECT 'Q2', 'complete_rounds', job_id, 1, 0 FROM clean
+  UNION ALL SELECT 'Q2', 'complete_rounds', job_id, 0, 1 FROM ({gap.format(src='cnt')}) SEMI JOIN clean USING (job_id, round_id)
+  UNION ALL SELECT 'Q3', 'complete_rounds', job_id, 1, 0 FROM clean
+  UNION ALL SELECT 'Q3', 'complete_rounds', job_id, 0, 1 FROM tail SEMI JOIN clean USING (job_id, round_id)
+    WHERE rk = 1 AND ts_us - before >= {S.TAIL_GAP_US}
+  UNION ALL SELECT 'Q5', control_type, job_id, 1, 0 FROM uncoupled
+  UNION ALL SELECT 'Q5', control_type, job_id, 0, 1 FROM full_scores WHERE score >= {d(S.CORR_THRESHOLD)})""",
+    ]
+
+
+CONTROL_CTES = _control_ctes()
+
+
+def _controls() -> str:
+    jobs = ", ".join(
+        f"coalesce(max(rate) FILTER (WHERE job_id = {j}), 0) AS job_{j}" for j in range(S.N_JOBS)
+    )
+    rate = half_even("CAST(sum(a) AS DOUBLE) / greatest(sum(r), 1)", 6)
+    rates = f"""rates AS (SELECT query || ' ' || control_type AS control, job_id, {rate} AS rate
+  FROM marks GROUP BY ALL)"""
+    return with_(*CONTROL_CTES, rates) + f"SELECT control, {jobs} FROM rates GROUP BY control"
+
+
+FAULT_SCORES = f"""fault_scores AS (
+  SELECT *, {ratio('tp', 'pp')} AS "precision", {ratio('tp', 'ap')} AS recall,
+         {half_even(FPR.format(fp='fp', n='healthy_rounds'), 6)} AS false_positive_rate FROM (
+    SELECT seed, fault_type, count(*) FILTER (WHERE predicted AND actual) AS tp,
+           count(*) FILTER (WHERE predicted) AS pp, count(*) FILTER (WHERE actual) AS ap,
+           count(*) FILTER (WHERE predicted AND NOT actual) AS fp,
+           count(*) FILTER (WHERE NOT actual) AS healthy_rounds,
+           {ms('CASE WHEN predicted AND actual THEN detected_us - start_us END')} AS time_to_detection_ms,
+           max(total) AS largest_round
+    FROM fs GROUP BY seed, fault_type))"""
+
+SHIFTED = f"""shifted AS (
+  SELECT job_id, seed, CAST(greatest(0, start_round + sh) AS INTEGER) AS start_round,
+         CAST(least(n_rounds, end_round + sh) AS INTEGER) AS end_round
+  FROM (SELECT *, {seeded_worker('shift', 5)} - 2 AS sh FROM episodes, seeds))"""
+ACTIVITY = f"""activity AS (
+  SELECT seed, job_id, round_id, {uniform("'active'", 'job_id', 'round_id', 'seed')} < {d(S.EPISODE_ACTIVE_PROB)} AS active
+  FROM (SELECT DISTINCT job_id, round_id FROM pk) o, seeds
+  WHERE EXISTS (SELECT 1 FROM shifted x WHERE x.job_id = o.job_id AND x.seed = seeds.seed
+                AND o.round_id >= x.start_round AND o.round_id < x.end_round))"""
+_EXTERNAL, _AWARE = "dataflow_external_windowed", "schedule_aware"
+INTERFERENCE = f"""base AS (
+  SELECT m.job_id, m.round_id, s.seed, coalesce(a.active, false) AS active,
+         m.latency_us + CASE WHEN a.active THEN {S.INTERFERENCE_DELAY_US} ELSE 0 END AS lat,
+         {EVENT_START_US} + (CAST(m.round_id AS BIGINT) + 1) * {DAY_US} AS end_us
+  FROM metrics m CROSS JOIN seeds s
+  LEFT JOIN activity a ON a.seed = s.seed AND a.job_id = m.job_id AND a.round_id = m.round_id),
+fed AS (
+  SELECT '{_AWARE}' AS system, *, end_us AS detected_us FROM base
+  UNION ALL
+  SELECT '{_EXTERNAL}', *, end_us + {S.EXPORT_LATENCY_US} FROM base
+  WHERE {uniform("'export'", 'job_id', 'round_id', 'seed')} >= {d(S.EXPORT_DROP_PROB)}),
+fed_xy AS (SELECT *, lat / {d(1e6)} AS x, CASE WHEN active THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS y FROM fed),
+{sliding('fed_xy', 'system, seed, job_id')},
+hits AS (SELECT system, seed, job_id, round_id, detected_us FROM full_scores WHERE score >= {d(S.INTERFERENCE_THRESHOLD)}),
+truth AS (SELECT system, seed, job_id, round_id FROM base, {unnested((_EXTERNAL, _AWARE), 'system')} WHERE active),
+both_sides AS (
+  SELECT system, seed, h.detected_us IS NOT NULL AS p, t.is_true IS NOT NULL AS a
+  FROM hits h FULL JOIN (SELECT *, true AS is_true FROM truth) t USING (system, seed, job_id, round_id)),
+firsts AS (
+  SELECT h.system, h.seed, h.job_id, e.start_round, e.end_round, min(h.detected_us) AS first_us
+  FROM hits h JOIN shifted e ON e.seed = h.seed AND e.job_id = h.job_id
+   AND h.round_id >= e.start_round AND h.round_id < e.end_round + {S.CORR_WINDOW}
+  GROUP BY ALL),
+ttd AS (
+  SELECT system, seed, count(*) AS episodes_found,
+         {ms(f'(first_us - ({EVENT_START_US} + CAST(start_round AS BIGINT) * {DAY_US}))')} AS t
+  FROM firsts GROUP BY system, seed),
+interference_scores AS (
+  SELECT s.*, {ratio('tp', 'pp')} AS "precision", {ratio('tp', 'ap')} AS recall,
+         coalesce(ttd.episodes_found, 0) AS episodes_found, coalesce(ttd.t, {d(0.0)}) AS time_to_detection_ms
+  FROM (SELECT system, seed, count(*) FILTER (WHERE p AND a) AS tp, count(*) FILTER (WHERE p) AS pp,
+               count(*) FILTER (WHERE a) AS ap, count(*) FILTER (WHERE p AND NOT a) AS fp
+        FROM both_sides GROUP BY system, seed) s LEFT JOIN ttd USING (system, seed))"""
+INTERFERENCE_ALL = [PK, METRICS, JOBS, BOUNDS, EPISODES, SAMPLE_SEEDS, SHIFTED, ACTIVITY, INTERFERENCE]
+
+WIDTH = f"""mone AS (SELECT * FROM mkeyed WHERE loss_prob = {d(S.SWEEP_LOSS_PROB)}),
+wide AS (SELECT *, CAST(unnest({listed(S.SKETCH_WIDTHS)}) AS INTEGER) AS sketch_width FROM mone),
+{sketch('ws', 'wide', 'sketch_width', by='seed, sketch_width', ident='lossy_worker, ' + WORKER)},
+width_low AS (
+  SELECT seed, sketch_width, lossy_worker, job_id, round_id, count(*) AS keys, sum(abs(est - cnt)) AS ae,
+         arg_min(worker_id, cnt * 1000 + worker_id) AS truth, arg_min(worker_id, est * 1000 + worker_id) AS pred
+  FROM ws_e GROUP BY ALL),
+width_scores AS (
+  SELECT *, {ratio('tp', 'pp')} AS "precision", {ratio('tp', 'ap')} AS recall,
+         {ratio('ap', 'ap')} AS exact_precision, {ratio('ap', 'ap')} AS exact_recall
+  FROM (
+    SELECT seed, sketch_width, CAST(sum(keys) AS BIGINT) AS keys, CAST(sum(ae) AS BIGINT) AS abs_error,
+           count(*) FILTER (WHERE truth = lossy_worker AND pred = lossy_worker) AS tp,
+           count(*) FILTER (WHERE pred = lossy_worker) AS pp,
+           count(*) FILTER (WHERE truth = lossy_worker) AS ap
+    FROM width_low GROUP BY seed, sketch_width))"""
+WIDTH_ALL = [PK, SAMPLE_SEEDS, LOSS, WIDTH]
+
+KEY_MODE = f"""lost AS (
+  SELECT seed, {WORKER}, greatest(1, count(*) FILTER (WHERE {uniform('seq', 'seed')} < {d(S.INTERMITTENT_PROB)})) AS lost
+  FROM pk, seeds WHERE worker_id = {S.FAULT_WORKER} GROUP BY ALL),
+actual AS (SELECT * FROM lost SEMI JOIN sampled USING (seed, job_id, round_id)),
+left_counts AS (
+  SELECT seed, {WORKER}, cnt - coalesce(lost, 0) AS cnt
+  FROM (SELECT * FROM cnt, seeds) LEFT JOIN actual USING (seed, {WORKER})),
+{", ".join(_SEED_CTES)},
+estimates AS ({_SEED_BODY}
+  UNION ALL SELECT 'job_round_worker_chunk', 3, seed, {WORKER}, cnt, cnt FROM left_counts),
+predicted AS (
+  SELECT key_mode, mode_order, seed, job_id, round_id FROM estimates GROUP BY ALL
+  HAVING max(est) - min(est) >= {S.CONTROL_GAP} AND arg_min(worker_id, est * 1000 + worker_id) = {S.FAULT_WORKER}),
+mode_truth AS (
+  SELECT key_mode, mode_order, seed, job_id, round_id FROM actual, (SELECT DISTINCT key_mode, mode_order FROM estimates)),
+mode_scores AS (
+  SELECT *, {ratio('tp', 'pp')} AS "precision", {ratio('tp', 'ap')} AS recall FROM (
+    SELECT key_mode, mode_order, seed, count(*) FILTER (WHERE p AND a) AS tp, count(*) FILTER (WHERE p) AS pp,
+           count(*) FILTER (WHERE a) AS ap, count(*) FILTER (WHERE p AND NOT a) AS fp
+    FROM (SELECT key_mode, mode_order, seed, coalesce(p, false) AS p, coalesce(a, false) AS a
+          FROM (SELECT *, true AS p FROM predicted)
+          FULL JOIN (SELECT *, true AS a FROM mode_truth) USING (key_mode, mode_order, seed, job_id, round_id))
+    GROUP BY ALL))"""
+KEY_MODE_ALL = [PK, CNT, SAMPLE_SEEDS, sample(S.INTERMITTENT_FRACTION), KEY_MODE]
+
+ROUND_KEY_COUNT = S.N_JOBS * S.N_ROUNDS * S.N_WORKERS
+FIXED = "fixed sketch registers; logical keys jobs*rounds*workers"
+WINDOW_BITS = S.CORR_WINDOW * 65
+
+
+def config(workload: str, query: str, n_jobs: int | str = S.N_JOBS) -> str:
+    return (
+        f"'{workload}' AS workload, {query} AS query, {n_jobs} AS n_jobs, {S.N_ROUNDS} AS n_rounds, "
+        f"{S.N_WORKERS} AS n_workers, {S.N_CHUNKS} AS n_chunks"
+    )
+
+
+def _loss_rows() -> str:
+    return with_(*LOSS_ALL) + f"""SELECT {config('packet_loss', "'Q2'")}, system, true AS expressible, loss_prob, seed,
+  "precision", recall, state_entries, state_entries * 32 AS counter_bits,
+  CASE system WHEN 'sketch' THEN {ROUND_KEY_COUNT} ELSE state_entries END AS keys_tracked,
+  CASE system WHEN 'sketch' THEN 5 ELSE 1 END AS per_packet_ops,
+  CASE system WHEN 'dataflow' THEN 'rounds*workers'
+              WHEN 'schedule_aware' THEN 'active-round worker counters + round metadata'
+              ELSE '{FIXED}' END AS scaling_model
+FROM (SELECT *, CASE system WHEN 'dataflow' THEN keys WHEN 'schedule_aware' THEN {S.N_WORKERS + 1}
+                ELSE {CELLS} END AS state_entries FROM loss_scores)"""
+
+
+def _width_rows() -> str:
+    return with_(*WIDTH_ALL) + f"""SELECT {config('sketch_budget', "'Q2'")}, 'sketch' AS system, true AS expressible,
+  {d(S.SWEEP_LOSS_PROB)} AS loss_prob, sketch_width, seed, "precision", recall, sketch_width * 5 AS state_entries,
+  sketch_width * 160 AS counter_bits, {ROUND_KEY_COUNT} AS keys_tracked, 5 AS per_packet_ops, '{FIXED}' AS scaling_model
+FROM width_scores
+UNION ALL
+SELECT {config('sketch_budget', "'Q2'")}, 'dataflow', true, {d(S.SWEEP_LOSS_PROB)}, NULL, seed, exact_precision, exact_recall,
+  keys, keys * 32, keys, 1, 'rounds*workers'
+FROM width_scores WHERE sketch_width = {min(S.SKETCH_WIDTHS)}"""
+
+
+def _key_mode_rows() -> str:
+    return with_(*KEY_MODE_ALL) + f"""SELECT {config('sketch_key_sensitivity', "'Q2'")}, 'sketch' AS system, true AS expressible,
+  {d(S.INTERMITTENT_PROB)} AS loss_prob, key_mode, seed, "precision", recall, pp AS alerts,
+  {CELLS} AS state_entries, {CELLS * 32} AS counter_bits,
+  CASE key_mode WHEN 'worker' THEN {S.N_WORKERS} WHEN 'job_worker' THEN {S.N_JOBS * S.N_WORKERS}
+    WHEN 'job_round_worker' THEN {ROUND_KEY_COUNT} ELSE {ROUND_KEY_COUNT * S.N_CHUNKS} END AS keys_tracked,
+  5 AS per_packet_ops,
+  CASE key_mode WHEN 'worker' THEN 'workers' WHEN 'job_worker' THEN 'jobs*workers'
+    WHEN 'job_round_worker' THEN 'jobs*rounds*workers' ELSE 'jobs*rounds*workers*chunks' END AS scaling_model
+FROM mode_scores"""
+
+
+def _straggler_rows() -> str:
+    return with_(PK, SAMPLE_SEEDS, STRAGGLER) + f"""SELECT {config('straggler', "'Q3'")}, system, system <> 'sketch' AS expressible,
+  CAST(delay_ms AS DOUBLE) AS delay_ms, seed, observed_rounds,
+  CASE WHEN system <> 'sketch' THEN "precision" END AS "precision",
+  CASE WHEN system <> 'sketch' THEN recall END AS recall,
+  CASE system WHEN 'dataflow' THEN observed_rounds WHEN 'schedule_aware' THEN 1 END AS state_entries,
+  CASE system WHEN 'dataflow' THEN observed_rounds * 67 WHEN 'schedule_aware' THEN 67 END AS counter_bits,
+  CASE system WHEN 'dataflow' THEN observed_rounds WHEN 'schedule_aware' THEN 1 END AS keys_tracked,
+  CASE WHEN system <> 'sketch' THEN 2 END AS per_packet_ops,
+  CASE system WHEN 'dataflow' THEN 'rounds with timestamp+argmax worker'
+              WHEN 'schedule_aware' THEN 'active-round timestamp+argmax worker'
+              ELSE 'not expressible' END AS scaling_model,
+  CASE system WHEN 'sketch' THEN 'a sketch keeps no argmax over keys' END AS reason
+FROM straggler_scores, {unnested(('dataflow', 'schedule_aware', 'sketch'), 'system')}"""
+
+
+def _fault_rows() -> str:
+    shown = ", ".join(
+        f'CASE WHEN system <> \'sketch\' THEN "{m}" END AS "{m}"'
+        for m in ("precision", "recall", "false_positive_rate", "time_to_detection_ms")
+    )
+    windowed = f"greatest(largest_round, {max(S.EXPECTED_ROUND, S.N_WORKERS * S.N_CHUNKS)})"
+    own = S.N_WORKERS + S.N_CHUNKS
+    return with_(*FAULT_ALL, FAULT_SCORES) + f"""SELECT {config('round_failure', "'Q4'")}, system, system <> 'sketch' AS expressible,
+  fault_type, {d(S.TIMEOUT_US / 1000.0)} AS timeout_ms, seed, {shown},
+  CASE WHEN system <> 'sketch' THEN pp END AS alerts,
+  CASE system WHEN 'dataflow_windowed' THEN {windowed} WHEN 'schedule_aware' THEN {own} END AS state_entries,
+  CASE system WHEN 'dataflow_windowed' THEN {windowed} WHEN 'schedule_aware' THEN {S.N_WORKERS * 32 + S.N_CHUNKS} END AS counter_bits,
+  CASE system WHEN 'dataflow_windowed' THEN {windowed} WHEN 'schedule_aware' THEN {own} END AS keys_tracked,
+  CASE WHEN system <> 'sketch' THEN 2 END AS per_packet_ops,
+  CASE system WHEN 'dataflow_windowed' THEN 'workers*chunks expected-set bitmap'
+              WHEN 'schedule_aware' THEN 'active-round worker counters + chunk bitmap'
+              ELSE 'not expressible' END AS scaling_model,
+  CASE system WHEN 'sketch' THEN 'a sketch cannot be compared with an expected set' END AS reason
+FROM fault_scores, {unnested(('dataflow_windowed', 'schedule_aware', 'sketch'), 'system')}"""
+
+
+def _interference_rows() -> str:
+    common = f"""{config('interference', "'Q5'", 2)}, {S.CORR_WINDOW} AS window_size,
+  {d(S.INTERFERENCE_DELAY_US / 1000.0)} AS interference_delay_ms, seed"""
+    return with_(*INTERFERENCE_ALL) + f"""SELECT {common}, system, true AS expressible, "precision", recall,
+  time_to_detection_ms, pp AS alerts, {2 * S.CORR_WINDOW} AS state_entries, {WINDOW_BITS} AS counter_bits,
+  {S.CORR_WINDOW} AS keys_tracked, 2 AS per_packet_ops,
+  CASE system WHEN '{_AWARE}' THEN 'job-round correlation window'
+              ELSE 'window_size downstream correlation state' END AS scaling_model, NULL AS reason
+FROM interference_scores
+UNION ALL
+SELECT {common}, s, false, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, 'not expressible',
+  'correlation across jobs is outside the model'
+FROM seeds, {unnested(('dataflow', 'sketch'), 's')}"""
+
+
+def _control_rows() -> str:
+    return with_(*CONTROL_CTES) + f"""SELECT {config('negative_control', 'query')}, control_type, true AS expressible, 0 AS seed,
+  alerts, {half_even(FPR.format(fp='alerts', n='rounds'), 6)} AS false_positive_rate,
+  CASE query WHEN 'Q5' THEN 'dataflow_external_windowed' ELSE 'dataflow_control' END AS system,
+  CASE query WHEN 'Q5' THEN {S.CORR_WINDOW} END AS window_size,
+  CASE query WHEN 'Q5' THEN {2 * S.CORR_WINDOW} WHEN 'Q3' THEN rounds ELSE rounds * {S.N_WORKERS} END AS state_entries,
+  CASE query WHEN 'Q5' THEN {WINDOW_BITS} WHEN 'Q3' THEN rounds * 67 ELSE rounds * {S.N_WORKERS * 32} END AS counter_bits,
+  CASE query WHEN 'Q5' THEN {S.CORR_WINDOW} WHEN 'Q3' THEN rounds ELSE rounds * {S.N_WORKERS} END AS keys_tracked,
+  CASE query WHEN 'Q2' THEN 1 ELSE 2 END AS per_packet_ops,
+  CASE query WHEN 'Q5' THEN 'window_size downstream correlation state' WHEN 'Q3' THEN 'rounds with timestamp+argmax worker'
+             ELSE 'rounds*workers' END AS scaling_model
+FROM (SELECT query, control_type, CAST(sum(r) AS BIGINT) AS rounds, CAST(sum(a) AS BIGINT) AS alerts
+      FROM marks GROUP BY query, control_type)"""
+
+
+JOB_SIZES = f"""sizes AS (
+  SELECT n_jobs, count(*) AS keys FROM cnt, {unnested(S.JOB_COUNTS, 'n_jobs')}
+  WHERE job_id < n_jobs GROUP BY n_jobs)"""
+JOB_STATE = f"""
+SELECT 'dataflow' AS system, n_jobs, keys AS state_entries, keys * 32 AS counter_bits,
+       keys * 4 AS register_bytes, keys AS keys_tracked, 1::BIGINT AS per_packet_ops,
+       'jobs*rounds*workers' AS scaling_model
+FROM sizes UNION ALL
+SELECT 'sketch', n_jobs, {CELLS}, {CELLS * 32}, {CELLS * 4}, n_jobs * {S.N_ROUNDS * S.N_WORKERS}, 5, '{FIXED}'
+FROM sizes"""
+
+
+def _job_rows() -> str:
+    return with_(PK, CNT, JOB_SIZES, f"js AS ({JOB_STATE})") + f"""
+SELECT * EXCLUDE (n_jobs, register_bytes), {config('multitenant', "'Q2'", 'n_jobs')}, true AS expressible, 0 AS seed FROM js"""
+
+
+def _run_rows(*parts: str) -> str:
+    """CTE ``run_rows``: the complete result rows of the given experiments."""
+    fields = ", ".join(f"CAST({name} AS {kind}) AS {name}" for name, kind in GROUP_FIELDS.items())
+    computed = {
+        "register_bytes": f"ceil(counter_bits / {d(8.0)})",
+        "packets": "n_workers * n_chunks * n_rounds * n_jobs",
+    }
+    metrics = ", ".join(
+        f'CAST({computed.get(m, chr(34) + m + chr(34))} AS DOUBLE) AS "{m}"' for m in METRIC_FIELDS
+    )
+    # A part without rows that names every column, so that each one exists in the union.
+    names = [*GROUP_FIELDS, "seed", *(m for m in METRIC_FIELDS if m not in computed), "reason",
+             "counter_bits"]
+    kinds = {**GROUP_FIELDS, "seed": "int", "reason": "string"}
+    blank = ", ".join(
+        f'CAST(NULL AS {kinds.get(n, "double")}) AS "{n}"' for n in dict.fromkeys(names)
+    )
+    union = "\nUNION ALL BY NAME\n".join(
+        f"SELECT * FROM ({sql})" for sql in (f"SELECT {blank} WHERE false", *parts)
+    )
+    return f"""WITH run_rows AS (
+SELECT {fields}, CAST(seed AS INTEGER) AS seed, {metrics}, reason FROM ({union}))
+"""
 
 
 def ci(metric: str, prefix: str, names: tuple[str, str, str], unit: bool) -> str:
@@ -387,7 +659,17 @@ def ci(metric: str, prefix: str, names: tuple[str, str, str], unit: bool) -> str
         low = f"CASE WHEN {mean} IS NOT NULL THEN greatest({low}, {d(0.0)}) END"
         high = f"CASE WHEN {mean} IS NOT NULL THEN least({high}, {d(1.0)}) END"
     values = zip((mean, low, high), names, strict=True)
-    return ", ".join(f'{half_even(v, 6)} AS "{prefix}_{n}"' for v, n in values)
+    return ", ".join(
+        f'CASE WHEN abs({v}) < 1000000 THEN {half_even(v, 6)} ELSE {half_even(v, 3)} END AS "{prefix}_{n}"'
+        for v, n in values
+    )
+
+
+def _all_rows() -> str:
+    return _run_rows(
+        _loss_rows(), _width_rows(), _key_mode_rows(), _straggler_rows(), _fault_rows(),
+        _interference_rows(), _control_rows(), _job_rows(),
+    )
 
 
 def _summary() -> str:
@@ -395,7 +677,7 @@ def _summary() -> str:
         ci(m, m, ("mean", "ci95_low", "ci95_high"), m in UNIT_METRICS) for m in METRIC_FIELDS
     )
     fields = ", ".join(GROUP_FIELDS)
-    return _run_rows() + f"""SELECT {fields}, count(*) AS n_samples, min(seed) AS seed_min, max(seed) AS seed_max,
+    return _all_rows() + f"""SELECT {fields}, count(*) AS n_samples, min(seed) AS seed_min, max(seed) AS seed_max,
   {metrics}
 FROM run_rows GROUP BY {fields}"""
 
@@ -404,49 +686,11 @@ def _series() -> str:
     metrics = ", ".join(
         ci(m, m, ("mean", "low", "high"), m in UNIT_METRICS) for m in ("precision", "recall", "state")
     )
-    return _run_rows() + f"""SELECT system, n_workers AS workers, loss_prob AS x, {metrics}
-FROM (SELECT *, coalesce(register_bytes, state_entries) AS state FROM run_rows WHERE workload = 'packet_loss')
+    return _run_rows(_loss_rows()) + f"""SELECT system, n_workers AS workers, loss_prob AS x, {metrics}
+FROM (SELECT *, coalesce(register_bytes, state_entries) AS state FROM run_rows)
 GROUP BY system, n_workers, loss_prob"""
 
 
-def _controls() -> str:
-    jobs = ", ".join(
-        f"coalesce(max(rate) FILTER (WHERE job_id = {j}), 0) AS job_{j}" for j in range(S.N_JOBS)
-    )
-    gap = f"""SELECT job_id, round_id FROM (
-      SELECT job_id, round_id, max(cnt) - min(cnt) AS spread, arg_min(worker_id, cnt * 1000 + worker_id) AS low
-      FROM {{src}} GROUP BY ALL) WHERE spread >= {S.CONTROL_GAP} AND low = 0"""
-    return with_(
-        PK, JOBS, SCHED, CNT, METRICS,
-        f"""clean AS (SELECT job_id, round_id FROM pk GROUP BY ALL
-  HAVING count(DISTINCT (worker_id, chunk_id)) >= {S.EVENT_PAIRS})""",
-        f"""full_grid AS (SELECT job_id, round_id, w AS worker_id, {S.N_CHUNKS} AS cnt
-  FROM sched, (SELECT unnest(range({S.N_WORKERS})) AS w))""",
-        """tail AS (SELECT job_id, round_id, ts_us, lead(ts_us) OVER o AS before, row_number() OVER o AS rk
-  FROM pk WINDOW o AS (PARTITION BY job_id, round_id ORDER BY ts_us DESC))""",
-        f"""uncoupled AS (
-  SELECT 'staggered_starts' AS control_type, job_id, round_id, latency_us / {d(1e6)} AS x,
-         CASE WHEN round_id % 4 IN (1, 2) THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS y FROM metrics
-  UNION ALL
-  SELECT 'background_traffic', job_id, round_id, latency_us / {d(1e6)},
-         CASE WHEN {uniform("'background'", 'job_id', 'round_id')} < {d(S.BACKGROUND_ACTIVE_PROB)} THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END
-  FROM metrics)""",
-        sliding("uncoupled", "control_type, job_id", ""),
-        f"""marks AS (
-  SELECT 'Q2 expected_grid' AS control, job_id, 1 AS r, 0 AS a FROM sched
-  UNION ALL SELECT 'Q2 expected_grid', job_id, 0, 1 FROM ({gap.format(src='full_grid')})
-  UNION ALL SELECT 'Q2 complete_rounds', job_id, 1, 0 FROM clean
-  UNION ALL SELECT 'Q2 complete_rounds', job_id, 0, 1 FROM ({gap.format(src='cnt')}) SEMI JOIN clean USING (job_id, round_id)
-  UNION ALL SELECT 'Q3 complete_rounds', job_id, 1, 0 FROM clean
-  UNION ALL SELECT 'Q3 complete_rounds', job_id, 0, 1 FROM tail SEMI JOIN clean USING (job_id, round_id)
-    WHERE rk = 1 AND ts_us - before >= {S.TAIL_GAP_US}
-  UNION ALL SELECT 'Q5 ' || control_type, job_id, 1, 0 FROM uncoupled
-  UNION ALL SELECT 'Q5 ' || control_type, job_id, 0, 1 FROM full_scores WHERE score >= {d(S.CORR_THRESHOLD)})""",
-        f"""rates AS (SELECT control, job_id, {half_even('CAST(sum(a) AS DOUBLE) / greatest(sum(r), 1)', 6)} AS rate
-  FROM marks GROUP BY ALL)""",
-    ) + f"SELECT control, {jobs} FROM rates GROUP BY control"
-
-
 PK_SELECT = "SELECT ts_us, job_id, round_id, worker_id, chunk_id, size, seq FROM pk"
 
 ORACLES: dict[str, str] = {
@@ -468,17 +712,9 @@ ORDER BY ts_us, stream_id, seq""",
     "map_events": with_(PK) + "SELECT '(' || job_id || ', ' || round_id || ')' AS key, ts_us AS value FROM pk",
     "round_schedule": with_(PK, JOBS, SCHED)
     + f"SELECT job_id, round_id, start_us, end_us, end_us + {S.TIMEOUT_US} AS deadline_us, expected FROM sched",
-    "sketch_key_modes": with_(PK, CNT, *[cte for cte, _ in _MODES])
-    + "\nUNION ALL\n".join(body for _, body in _MODES),
-    "rounds_in_episode": with_(PK, JOBS, BOUNDS, EPISODES, SAMPLE_SEEDS, f"""shifted AS (
-  SELECT job_id, seed, greatest(0, start_round + sh) AS s, least(n_rounds, end_round + sh) AS e
-  FROM (SELECT *, {seeded_worker('shift', 5)} - 2 AS sh FROM episodes, seeds))""") + f"""
-SELECT seed, job_id, round_id, {uniform("'active'", 'job_id', 'round_id', 'seed')} < {d(S.EPISODE_ACTIVE_PROB)} AS active
-FROM (SELECT DISTINCT job_id, round_id FROM pk), seeds
-WHERE EXISTS (SELECT 1 FROM shifted x WHERE x.job_id = pk.job_id AND x.seed = seeds.seed
-              AND pk.round_id >= x.s AND pk.round_id < x.e)""".replace(
-        "FROM (SELECT DISTINCT job_id, round_id FROM pk), seeds",
-        "FROM (SELECT DISTINCT job_id, round_id FROM pk) pk, seeds"),
+    "sketch_key_modes": with_(PK, CNT, *_MODE_CTES) + _MODE_BODY,
+    "rounds_in_episode": with_(
+        PK, JOBS, BOUNDS, EPISODES, SAMPLE_SEEDS, SHIFTED, ACTIVITY) + "SELECT * FROM activity",
     "safe_numeric": r"""
 SELECT event_id, TRY_CAST(txt AS DOUBLE) AS num, lower(flag) = 'false' AS is_false FROM (
   SELECT event_id,
@@ -502,12 +738,8 @@ SELECT job_a, job_b, count(*) AS rounds, {half_even(FLAT_CORR.format(o=''), 6)}
 FROM p GROUP BY job_a, job_b HAVING count(*) >= 3""",
     "score_lossy_worker": with_(*LOSS_ALL) + SCORE_SELECT + "WHERE system <> 'schedule_aware'",
     "score_lossy_expected": with_(*LOSS_ALL) + SCORE_SELECT + "WHERE system = 'schedule_aware'",
-    "score_sets": with_(*FAULT_ALL) + f"""
-SELECT *, {ratio('tp', 'pp')} AS "precision", {ratio('tp', 'ap')} AS recall FROM (
-  SELECT seed, fault_type, count(*) FILTER (WHERE predicted AND actual) AS tp,
-         count(*) FILTER (WHERE predicted) AS pp, count(*) FILTER (WHERE actual) AS ap,
-         count(*) FILTER (WHERE predicted AND NOT actual) AS fp
-  FROM fs GROUP BY ALL)""",
+    "score_sets": with_(*FAULT_ALL, FAULT_SCORES) + """
+SELECT seed, fault_type, tp, pp, ap, fp, "precision", recall FROM fault_scores""",
     "score_labels": f"""
 SELECT *, {ratio('tp', 'pp')} AS "precision", {ratio('tp', 'ap')} AS recall FROM (
   SELECT lang, count(*) FILTER (WHERE p AND a) AS tp, count(*) FILTER (WHERE p) AS pp,
@@ -516,14 +748,10 @@ SELECT *, {ratio('tp', 'pp')} AS "precision", {ratio('tp', 'ap')} AS recall FROM
                EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = documents.doc_id AND l.quality = 1) AS a
         FROM documents)
   WHERE p OR a GROUP BY lang)""",
-    "score_fpr": with_(*FAULT_ALL) + f"""
-SELECT *, {half_even(FPR.format(fp='fp', n='healthy_rounds'), 6)} AS false_positive_rate FROM (
-  SELECT seed, fault_type, count(*) FILTER (WHERE predicted AND NOT actual) AS fp,
-         count(*) FILTER (WHERE NOT actual) AS healthy_rounds FROM fs GROUP BY ALL)""",
-    "score_ttd": with_(*FAULT_ALL) + f"""
-SELECT seed, fault_type, count(*) FILTER (WHERE predicted AND actual) AS detections,
-  {ms('CASE WHEN predicted AND actual THEN detected_us - start_us END')} AS time_to_detection_ms
-FROM fs GROUP BY seed, fault_type""",
+    "score_fpr": with_(*FAULT_ALL, FAULT_SCORES) + """
+SELECT seed, fault_type, fp, healthy_rounds, false_positive_rate FROM fault_scores""",
+    "score_ttd": with_(*FAULT_ALL, FAULT_SCORES) + """
+SELECT seed, fault_type, tp AS detections, time_to_detection_ms FROM fault_scores""",
     "episode_first_detection": with_(
         PK, METRICS, JOBS, BOUNDS, EPISODES, PAIRS, sliding("pairs"), CORR_ALERTS) + f"""
 SELECT job_a, job_b, start_round, end_round, count(*) AS detections,
@@ -548,17 +776,8 @@ GROUP BY ALL""".replace("GROUP BY ALL", "GROUP BY job_a, job_b, start_round, end
     FROM (SELECT *, {u32('md5(key)')} AS hv FROM jw)))""",
         sketch("s", "leveled", S.SKETCH_WIDTH, by="level", seed="42 + level", ident="job_id, worker_id"))
     + "SELECT * FROM s_t",
-    "sketch_width_sweep": with_(PK, CNT, KEYED, f"""wide AS (
-  SELECT *, CAST(unnest({listed(S.SKETCH_WIDTHS)}) AS INTEGER) AS sketch_width FROM keyed)""",
-        sketch("s", "wide", "sketch_width", by="sketch_width"), """per_round AS (
-  SELECT sketch_width, job_id, round_id, arg_min(worker_id, cnt * 1000 + worker_id) AS truth,
-         arg_min(worker_id, est * 1000 + worker_id) AS pred, sum(abs(est - cnt)) AS ae, max(abs(est - cnt)) AS me
-  FROM s_e GROUP BY ALL)""") + f"""
-SELECT *, {ratio('agreeing', 'rounds')} AS recall, {d(1.0)} AS exact_recall,
-       CAST(sketch_width * {S.SKETCH_DEPTH} AS BIGINT) AS state_entries FROM (
-  SELECT sketch_width, count(*) AS rounds, count(*) FILTER (WHERE truth = pred) AS agreeing,
-         CAST(sum(ae) AS BIGINT) AS abs_error, CAST(max(me) AS BIGINT) AS max_error
-  FROM per_round GROUP BY sketch_width)""",
+    "sketch_width_sweep": with_(*WIDTH_ALL) + f"""SELECT seed, sketch_width, "precision", recall, exact_precision, exact_recall,
+  abs_error, CAST(sketch_width * {S.SKETCH_DEPTH} AS BIGINT) AS state_entries FROM width_scores""",
     "timeout_sweep": with_(
         PK, JOBS, SCHED,
         f"planned AS (SELECT * FROM sched, {unnested(S.SWEEP_TIMEOUTS_US, 'timeout_us')})",
@@ -596,6 +815,11 @@ FROM conversations GROUP BY conv_id""",
 SELECT job_id, round_id, max(cnt) AS max_cnt, min(cnt) AS min_cnt FROM c GROUP BY job_id, round_id
 HAVING max(cnt) - min(cnt) >= 2 AND arg_min(worker_id, cnt * 1000 + worker_id) = 7""",
     "summary_ci95": _summary(),
+    "score_key_modes": with_(*KEY_MODE_ALL) + "SELECT * FROM mode_scores",
+    "score_interference": with_(*INTERFERENCE_ALL) + "SELECT * FROM interference_scores",
+    "result_rows": _all_rows() + "SELECT * FROM run_rows",
+    "state_totals": f"""SELECT system, count(state_entries) AS models, CAST(sum(state_entries) AS BIGINT) AS state_entries,
+  CAST(sum(register_bytes) AS BIGINT) AS register_bytes FROM ({_profile()}) GROUP BY system""",
     "state_profile": _profile(),
     "q3_tail_gap": with_(PK) + f"""
 SELECT job_id, round_id, ts_us - before AS gap_us, ts_us - before >= {S.TAIL_GAP_US} AS alert FROM (
@@ -623,15 +847,8 @@ SELECT job_id, round_id, ts_us - before AS gap_us, ts_us - before >= {S.TAIL_GAP
     "metric_series": _series(),
     "score_straggler": with_(PK, SAMPLE_SEEDS, STRAGGLER) + "SELECT * FROM straggler_scores",
     "negative_controls": _controls(),
-    "state_by_jobs": with_(PK, CNT, f"""sizes AS (
-  SELECT n_jobs, count(*) AS keys FROM cnt, {unnested(S.JOB_COUNTS, 'n_jobs')}
-  WHERE job_id < n_jobs GROUP BY n_jobs)""") + f"""
-SELECT 'dataflow' AS system, n_jobs, keys AS state_entries, keys * 32 AS counter_bits,
-       keys * 4 AS register_bytes, keys AS keys_tracked, 1 AS per_packet_ops, 'jobs*rounds*workers' AS scaling_model
-FROM sizes UNION ALL
-SELECT 'sketch', n_jobs, {CELLS}, {CELLS * 32}, {CELLS * 4}, n_jobs * {S.N_ROUNDS * S.N_WORKERS}, 5,
-       'fixed sketch registers; logical keys jobs*rounds*workers' FROM sizes""",
-    "na_systems": _run_rows() + """
+    "state_by_jobs": with_(PK, CNT, JOB_SIZES) + JOB_STATE,
+    "na_systems": _run_rows(_straggler_rows(), _fault_rows(), _interference_rows()) + """
 SELECT workload, 'N/A: ' || array_to_string(list_sort(list(DISTINCT system)), ', ') || ' not expressible' AS note
 FROM run_rows WHERE NOT expressible GROUP BY workload""",
     "mask_drop": with_(PK) + f"""SELECT seq, {WORKER} FROM pk

@@ -34,12 +34,18 @@ KEY_MODES = ("worker", "job_worker", "job_round_worker")
 
 SEEDS = (0, 1, 2, 3, 4)
 LOSS_PROBS = (0.001, 0.01, 0.05)
+SWEEP_LOSS_PROB = 0.01
 BASELINE_FRACTION = 0.4
 DELAYS_MS = (60_000, 3_600_000, 14_400_000)
 FAULT_FRACTION = 0.10
 INTERMITTENT_FRACTION = 0.20
+INTERMITTENT_PROB = 0.3
+FAULT_WORKER = 7
 FAULT_TYPES = ("failed_round", "missing_chunks", "healthy")
 
+INTERFERENCE_DELAY_US = 30 * 60_000_000
+INTERFERENCE_THRESHOLD = 0.75
+
 TAIL_GAP_US = 10 * 60_000_000
 CONTROL_GAP = 1
 LONG_CHARS = 1000

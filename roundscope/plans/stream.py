@@ -7,13 +7,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from roundscope.operators import correlate
-from roundscope.plans import batch
 from roundscope.plans import settings as S
+from roundscope.plans.base import PAIR, ROUND, WORKER, event_schedule, events, named
+from roundscope.plans.correlation import paired_metrics, sliding
+from roundscope.session import materialize
 from roundscope.sources import bindings
 from roundscope.streaming import monitors
 from roundscope.streaming.replay import Replay, file_stream
 
-ROUND, WORKER = batch.ROUND, batch.WORKER
 #: Length of a round of the event binding.
 LENGTH = "1 day"
 
@@ -76,9 +77,11 @@ def stream_tumbling_counts(spark: SparkSession, sf: str) -> DataFrame:
 def stream_inactivity_alerts(spark: SparkSession, sf: str) -> DataFrame:
     """Alerts from the stream; the reason needs the final total and is joined afterwards."""
     replay, messages = replay_events(spark, sf)
-    totals = batch.events(spark, sf).groupBy(*ROUND).agg(F.count(F.lit(1)).alias("total"))
+    totals = materialize(
+        events(spark, sf).groupBy(*ROUND).agg(F.count(F.lit(1)).alias("total")), "round-totals"
+    )
     path = f"{replay.root}/markers"
-    batch.event_schedule(totals).select(
+    event_schedule(totals).select(
         *ROUND, F.timestamp_micros("start_us").alias("ts"), "expected"
     ).write.parquet(path)
     markers = file_stream(spark, path, spark.read.parquet(path).schema)
@@ -103,22 +106,19 @@ def stream_corr_alerts(
     replay, messages = replay_events(spark, sf, max_files)
 
     def score(rows: DataFrame) -> DataFrame:
-        scores = batch.sliding(rows)
+        scores = sliding(rows)
         return correlate.correlation_alerts(scores, S.CORR_THRESHOLD, S.EXPORT_LATENCY_US)
 
     step = monitors.SlidingCorrelator(
-        replay.root, batch.paired_metrics, score, S.CORR_WINDOW
+        replay.root, paired_metrics, score, S.CORR_WINDOW
     )
     replay.for_each_batch(monitors.round_metrics(messages, LENGTH), step, "append")
     return spark.read.parquet(step.alerts).select(
-        *batch.PAIR, "round_id", "detected_us", "score"
+        *PAIR, "round_id", "detected_us", "score"
     )
 
 
-QUERIES = {
-    f.__name__: f
-    for f in (
-        stream_scan_events, stream_distinct, stream_inactivity_alerts, stream_corr_alerts,
-        stream_q1_latency, stream_q2_counts, stream_tumbling_counts, stream_q3_straggler,
-    )
-}
+QUERIES = named(
+    stream_scan_events, stream_distinct, stream_inactivity_alerts, stream_corr_alerts,
+    stream_q1_latency, stream_q2_counts, stream_tumbling_counts, stream_q3_straggler,
+)

@@ -6,9 +6,9 @@ import pytest
 from conftest import SF_DIR
 
 import __spark_entry__ as entry_points
-from roundscope.plans import batch
+from roundscope.plans import catalog
 
-BATCH = sorted(batch.QUERIES)
+BATCH = sorted(catalog.BATCH)
 
 
 def plan(df) -> str:
@@ -17,33 +17,33 @@ def plan(df) -> str:
 
 @pytest.mark.parametrize("name", BATCH)
 def test_no_python_and_no_cross_join(spark, name):
-    text = plan(batch.QUERIES[name](spark, SF_DIR))
+    text = plan(catalog.BATCH[name](spark, SF_DIR))
     for node in ("Python", "Pandas", "CartesianProduct", "BroadcastNestedLoopJoin"):
         assert node not in text, node
 
 
 def test_filter_and_columns_reach_the_scan(spark):
-    text = plan(batch.flt_events(spark, SF_DIR))
+    text = plan(catalog.BATCH["flt_events"](spark, SF_DIR))
     assert "PushedFilters: [IsNotNull(value)" in text and "GreaterThan(value,20.0)" in text
-    latency = plan(batch.q1_round_latency(spark, SF_DIR))
+    latency = plan(catalog.BATCH["q1_round_latency"](spark, SF_DIR))
     assert "ReadSchema: struct<ts:timestamp_ntz,event_type:string>" in latency
 
 
 @pytest.mark.parametrize("name", ["distinct_first", "round_tail", "q3_tail_gap"])
 def test_ranks_are_limited_before_the_shuffle(spark, name):
-    text = plan(batch.QUERIES[name](spark, SF_DIR))
+    text = plan(catalog.BATCH[name](spark, SF_DIR))
     assert text.index("Final") < text.index("Exchange hashpartitioning") < text.index("Partial")
 
 
 @pytest.mark.parametrize("name", ["q1_round_latency", "q2_worker_counts", "q3_straggler"])
 def test_one_shuffle_with_partial_aggregation(spark, name):
-    text = plan(batch.QUERIES[name](spark, SF_DIR))
+    text = plan(catalog.BATCH[name](spark, SF_DIR))
     assert text.count("Exchange") == 1 and "partial_" in text
 
 
 def test_estimates_need_no_shuffle_of_keys(spark):
     """Keys keep the partitioning of their counts; only the bounded cell table moves."""
-    text = plan(batch.sketch_point_estimate(spark, SF_DIR))
+    text = plan(catalog.BATCH["sketch_point_estimate"](spark, SF_DIR))
     assert "BroadcastHashJoin" in text
     assert text.count("Exchange hashpartitioning(job_id") == 2  # counts, once per use
     assert text.count("Exchange hashpartitioning(depth_row") == 1

@@ -6,7 +6,8 @@ import pytest
 from conftest import SF_DIR
 from pyspark.sql import functions as F
 
-from roundscope.plans import batch, stream
+from roundscope.operators import rounds as round_ops
+from roundscope.plans import base, correlation, per_round, stream
 
 
 @pytest.fixture(scope="module")
@@ -26,17 +27,17 @@ def rows(df):
 
 def test_correlation_state_carries_over_batches(spark, many_files):
     got = stream.stream_corr_alerts(spark, many_files, max_files=1)
-    assert rows(got) == rows(batch.q5_corr_alerts(spark, SF_DIR))
+    assert rows(got) == rows(correlation.q5_corr_alerts(spark, SF_DIR))
 
 
 def test_closed_rounds_over_many_batches(spark, many_files):
     replay, messages = stream.replay_events(spark, many_files, max_files=1)
     got = replay.to_table(stream.monitors.round_latency(messages, stream.LENGTH))
-    assert rows(got) == rows(batch.q1_round_latency(spark, SF_DIR))
+    assert rows(got) == rows(per_round.q1_round_latency(spark, SF_DIR))
 
 
 def test_first_rows_over_many_batches(spark, many_files):
     replay, messages = stream.replay_events(spark, many_files, max_files=2)
-    got = replay.to_table(stream.monitors.distinct_first(messages, batch.WORKER, stream.LENGTH))
-    expected = batch.rounds.distinct_first(batch.events(spark, SF_DIR), batch.WORKER)
+    got = replay.to_table(stream.monitors.distinct_first(messages, base.WORKER, stream.LENGTH))
+    expected = round_ops.distinct_first(base.events(spark, SF_DIR), base.WORKER)
     assert rows(got) == rows(expected)
