@@ -11,6 +11,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from roundscope.session import BROADCAST_ROW_LIMIT, materialize
+
 ROUND = ["job_id", "round_id"]
 WORKER = ["job_id", "round_id", "worker_id"]
 
@@ -34,34 +36,63 @@ def arrival_rank() -> Column:
 
 
 def straggler(messages: DataFrame) -> DataFrame:
-    """Worker of the last message of each round; the first arrival wins ties."""
-    return messages.groupBy(*ROUND).agg(F.max_by("worker_id", arrival_rank()).alias("worker_id"))
-
+    """Worker of the last message of each round; the first arrival wins ties.
 
-def worker_tail(messages: DataFrame) -> DataFrame:
-    """Last message of each worker in each round, as a full row."""
-    order = Window.partitionBy(*WORKER).orderBy(F.col("ts_us").desc(), F.col("seq"))
-    return (
-        messages.withColumn("_rank", F.row_number().over(order))
-        .filter(F.col("_rank") == 1)
-        .drop("_rank")
+    The last time per worker is a hash aggregate over plain numbers, several times cheaper than
+    carrying (time, arrival) pairs through every message. It names the worker unless several
+    share a round's last time; only for such rounds are messages looked at again, by a broadcast
+    of the rounds while those are few, and by the pairs for all messages otherwise.
+    """
+    last = messages.groupBy(*WORKER).agg(F.max("ts_us").alias("ts_us"))
+    leaders = (
+        last.groupBy(*ROUND, "ts_us")
+        .agg(F.count(F.lit(1)).alias("n"), F.min("worker_id").alias("worker_id"))
+        .groupBy(*ROUND)
+        .agg(F.max(F.struct("ts_us", "n", "worker_id")).alias("_last"))
+        .select(*ROUND, "_last.*")
+    )
+    leaders = materialize(leaders, "round-leaders")
+    single = leaders.filter(F.col("n") == 1).select(*ROUND, "worker_id")
+    tied = leaders.filter(F.col("n") > 1).select(*ROUND, "ts_us")
+    ties = tied.limit(BROADCAST_ROW_LIMIT + 1).count()
+    if ties == 0:
+        return single
+    if ties > BROADCAST_ROW_LIMIT:
+        return messages.groupBy(*ROUND).agg(
+            F.max_by("worker_id", arrival_rank()).alias("worker_id")
+        )
+    first = (
+        messages.join(F.broadcast(tied), [*ROUND, "ts_us"])
+        .groupBy(*ROUND)
+        .agg(F.min_by("worker_id", "seq").alias("worker_id"))
     )
+    return single.unionByName(first)
 
 
-def distinct_first(messages: DataFrame, keys: list[str]) -> DataFrame:
-    """First message per key, as a full row.
+def _extreme_row(messages: DataFrame, keys: list[str], pick, order: list[Column]) -> DataFrame:
+    """The row of each key that ``pick`` (min or max) chooses by ``order``, as a full row.
 
-    The rank filter is applied before the shuffle as well (a window group limit), so each task
-    sends at most one row per key.
+    An aggregate over the packed row: each task sends one row per key, whatever the key's size.
     """
-    order = Window.partitionBy(*keys).orderBy("ts_us", "seq")
+    rest = [c for c in messages.columns if c not in keys]
+    packed = F.struct(*[o.alias(f"_o{i}") for i, o in enumerate(order)], *rest)
     return (
-        messages.withColumn("_rank", F.row_number().over(order))
-        .filter(F.col("_rank") == 1)
-        .drop("_rank")
+        messages.groupBy(*keys)
+        .agg(pick(packed).alias("_row"))
+        .select(*[F.col(c) if c in keys else F.col(f"_row.{c}") for c in messages.columns])
     )
 
 
+def worker_tail(messages: DataFrame) -> DataFrame:
+    """Last message of each worker in each round; the first arrival wins ties."""
+    return _extreme_row(messages, WORKER, F.max, [F.col("ts_us"), -F.col("seq")])
+
+
+def distinct_first(messages: DataFrame, keys: list[str]) -> DataFrame:
+    """First message per key."""
+    return _extreme_row(messages, keys, F.min, [F.col("ts_us"), F.col("seq")])
+
+
 def distinct_pairs(messages: DataFrame) -> DataFrame:
     """Distinct (worker, chunk) pairs per round, counted in two levels: pairs, then rounds."""
     return (
@@ -115,7 +146,8 @@ def gap_rounds(
 def tail_gap(messages: DataFrame, threshold_us: int, by: list[str] | None = None) -> DataFrame:
     """Gap between the last two messages of each round, flagged from ``threshold_us`` on.
 
-    Rounds with a single message have no gap and are absent.
+    Rounds with a single message have no gap and are absent. The rank filter is applied before
+    the shuffle as well (a window group limit), so each task sends at most two rows per round.
     """
     keys = by or ROUND
     order = Window.partitionBy(*keys).orderBy(F.col("ts_us").desc())

@@ -29,13 +29,13 @@ def test_filter_and_columns_reach_the_scan(spark):
     assert "ReadSchema: struct<ts:timestamp_ntz,event_type:string>" in latency
 
 
-@pytest.mark.parametrize("name", ["distinct_first", "round_tail", "q3_tail_gap"])
+@pytest.mark.parametrize("name", ["q3_tail_gap"])
 def test_ranks_are_limited_before_the_shuffle(spark, name):
     text = plan(catalog.BATCH[name](spark, SF_DIR))
     assert text.index("Final") < text.index("Exchange hashpartitioning") < text.index("Partial")
 
 
-@pytest.mark.parametrize("name", ["q1_round_latency", "q2_worker_counts", "q3_straggler"])
+@pytest.mark.parametrize("name", ["q1_round_latency", "q2_worker_counts", "distinct_first", "round_tail"])
 def test_one_shuffle_with_partial_aggregation(spark, name):
     text = plan(catalog.BATCH[name](spark, SF_DIR))
     assert text.count("Exchange") == 1 and "partial_" in text
