@@ -37,7 +37,12 @@ def sampling_level(key: Column, n_levels: int) -> Column:
     return F.least(F.bit_count(h.bitwiseAND(-h) - F.lit(1)), F.lit(n_levels - 1)).cast("int")
 
 
+def draw32(*parts: Column) -> Column:
+    """Deterministic 32-bit draw from the given key parts and seed."""
+    text = F.concat_ws("-", *[p.cast("string") for p in parts])
+    return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("bigint")
+
+
 def uniform(*parts: Column) -> Column:
     """Deterministic draw in [0, 1) from the given key parts and seed."""
-    text = F.concat_ws("-", *[p.cast("string") for p in parts])
-    return u32(F.md5(text)) / F.lit(4294967296.0)
+    return draw32(*parts) / F.lit(4294967296.0)

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from roundscope.functions.hashing import u32, uniform
+from roundscope.functions.hashing import draw32, uniform
 from roundscope.session import materialize
 
 ROUND = ["job_id", "round_id"]
@@ -57,9 +57,7 @@ def delay_workers(messages: DataFrame, delays: DataFrame) -> DataFrame:
 
 def seeded_worker(seed: Column, label: str, n_workers: int) -> Column:
     """The worker that a seed picks for a fault."""
-    return (u32(F.md5(F.concat_ws("-", F.lit(label), seed.cast("string")))) % n_workers).cast(
-        "int"
-    )
+    return (draw32(F.lit(label), seed) % n_workers).cast("int")
 
 
 def sample_rounds(

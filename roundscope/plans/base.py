@@ -7,6 +7,8 @@ knows the size of what it joins.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -73,5 +75,15 @@ def every(values: tuple, name: str) -> Column:
     return F.explode(F.array(*[F.lit(v) for v in values])).alias(name)
 
 
+def every_seed(**columns: Callable[[Column], Column]) -> Column:
+    """One row per seed with values that depend on it; all are constants before the query runs."""
+    return F.inline(F.array(*[
+        F.struct(
+            F.lit(seed).alias("seed"), *[f(F.lit(seed)).alias(n) for n, f in columns.items()]
+        )
+        for seed in S.SEEDS
+    ]))
+
+
 def named(*functions) -> dict:
     return {f.__name__: f for f in functions}

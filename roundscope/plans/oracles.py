@@ -24,13 +24,17 @@ def u32(digest: str) -> str:
     return f"CAST(CAST('0x' || {text} AS UBIGINT) AS BIGINT)"
 
 
+def draw32(*parts: str) -> str:
+    digest = "md5(concat_ws('-', " + ", ".join(parts) + "))"
+    return f"CAST(CAST('0x' || substr({digest}, 1, 8) AS UBIGINT) AS BIGINT)"
+
+
 def uniform(*parts: str) -> str:
-    return f"(CAST({u32('md5(concat_ws(' + repr('-') + ', ' + ', '.join(parts) + '))')} AS DOUBLE) / {d(4294967296.0)})"
+    return f"(CAST({draw32(*parts)} AS DOUBLE) / {d(4294967296.0)})"
 
 
 def seeded_worker(label: str, n: int) -> str:
-    digest = f"md5('{label}-' || seed)"
-    return f"CAST({u32(digest)} % {n} AS INTEGER)"
+    return f"CAST({draw32(repr(label), 'seed')} % {n} AS INTEGER)"
 
 
 def listed(values) -> str:

@@ -11,7 +11,7 @@ from roundscope.operators import inactivity, mask, rounds, score
 from roundscope.operators.schedule import episodes, in_episode
 from roundscope.plans import settings as S
 from roundscope.plans.base import (
-    ROUND, WORKER, event_buckets, event_counts, event_schedule, events, every, lines, named,
+    ROUND, WORKER, event_buckets, event_counts, event_schedule, events, every, every_seed, lines, named,
     observed_rounds,
 )
 from roundscope.session import materialize, work_path
@@ -78,11 +78,11 @@ def round_schedule(spark: SparkSession, sf: str) -> DataFrame:
 def shifted_episodes(observed: DataFrame) -> DataFrame:
     """Activity episodes of each job, their boundaries shifted by up to two rounds per seed."""
     jobs = bindings.event_jobs(observed)
-    shift = mask.seeded_worker(F.col("seed"), "shift", 5) - 2
+    shift = F.col("shift")
     return (
         episodes(jobs)
         .join(jobs.select("job_id", "n_rounds"), "job_id")
-        .select("*", every(S.SEEDS, "seed"))
+        .select("*", every_seed(shift=lambda seed: mask.seeded_worker(seed, "shift", 5) - 2))
         .select(
             "job_id",
             "seed",

@@ -156,22 +156,22 @@ def systems(rows: DataFrame, metrics: list[str], models: list[tuple]) -> DataFra
     return rows.select(*rest, F.inline(F.array(*[struct(*m) for m in models])))
 
 
-def loss_rows(spark: SparkSession, sf: str) -> DataFrame:
+def packet_loss_rows(masked: DataFrame) -> DataFrame:
     state = (
         F.when(F.col("system") == "dataflow", F.col("keys"))
         .when(F.col("system") == "schedule_aware", F.lit(S.N_WORKERS + 1))
         .otherwise(F.lit(CELLS))
     )
-    scored = scoring.loss_scores(spark, sf).withColumn("state_entries", state.cast("bigint"))
+    scored = scoring.loss_scores(masked).withColumn("state_entries", state.cast("bigint"))
     return experiment(scored, "packet_loss", "Q2")
 
 
-def width_rows(spark: SparkSession, sf: str) -> DataFrame:
+def budget_rows(masked: DataFrame) -> DataFrame:
     """One row per width for the sketch, and one without a width for the exact model."""
     sketched = F.col("system") == "sketch"
     state = F.when(sketched, F.col("sketch_width") * S.SKETCH_DEPTH).otherwise(F.col("keys"))
     scored = (
-        scoring.width_scores(spark, sf)
+        scoring.width_scores(masked)
         .filter(sketched | (F.col("sketch_width") == min(S.SKETCH_WIDTHS)))
         .withColumn("state_entries", state.cast("bigint"))
         .withColumn("sketch_width", F.when(sketched, F.col("sketch_width")))
@@ -180,6 +180,12 @@ def width_rows(spark: SparkSession, sf: str) -> DataFrame:
     return experiment(scored, "sketch_budget", "Q2")
 
 
+def loss_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """Both experiments on masked counts; the messages are drawn from once."""
+    masked = materialize(scoring.loss_counts(spark, sf), "loss-counts")
+    return packet_loss_rows(masked).unionByName(budget_rows(masked), allowMissingColumns=True)
+
+
 def key_mode_rows(spark: SparkSession, sf: str) -> DataFrame:
     scored = scoring.score_key_modes(spark, sf).withColumns({
         "system": F.lit("sketch"), "loss_prob": F.lit(S.INTERMITTENT_PROB),
@@ -258,7 +264,7 @@ def control_rows(spark: SparkSession, sf: str) -> DataFrame:
 
 
 EXPERIMENTS = (
-    loss_rows, width_rows, key_mode_rows, straggler_rows, round_failure_rows, interference_rows,
+    loss_rows, key_mode_rows, straggler_rows, round_failure_rows, interference_rows,
     control_rows, job_count_rows,
 )
 
@@ -292,14 +298,10 @@ def summary_ci95(spark: SparkSession, sf: str) -> DataFrame:
     return summary.sorted_summary(summary.summarize(run_experiments(spark, sf)))
 
 
-def loss_table(spark: SparkSession, sf: str) -> DataFrame:
-    """Result rows of the loss experiment alone."""
-    return summary.result_rows(profile.state_cost(loss_rows(spark, sf)))
-
-
 def metric_series(spark: SparkSession, sf: str) -> DataFrame:
     """Precision and recall by loss probability, and state as bytes or else entries."""
-    rows = loss_table(spark, sf).withColumn(
+    sized = profile.state_cost(packet_loss_rows(scoring.loss_counts(spark, sf)))
+    rows = summary.result_rows(sized).withColumn(
         "state", F.coalesce("register_bytes", "state_entries")
     )
     return summary.metric_points(rows, "loss_prob", ["precision", "recall", "state"])

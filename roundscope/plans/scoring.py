@@ -10,7 +10,7 @@ from roundscope.functions.numeric import half_even, safe_div
 from roundscope.operators import correlate, inactivity, mask, rounds, score, sketch
 from roundscope.plans import settings as S
 from roundscope.plans.base import (
-    ROUND, WORKER, event_buckets, event_counts, event_schedule, events, every, keyed, named,
+    ROUND, WORKER, event_buckets, event_counts, event_schedule, events, every, every_seed, keyed, named,
     round_metrics, round_start_us,
 )
 from roundscope.plans.correlation import sliding
@@ -31,9 +31,10 @@ def loss_counts(spark: SparkSession, sf: str) -> DataFrame:
     """
     drawn = (
         events(spark, sf)
-        .select(*WORKER, "seq", every(S.SEEDS, "seed"))
+        .select(*WORKER, "seq", every_seed(
+            lossy_worker=lambda seed: mask.seeded_worker(seed, "lossy", S.N_WORKERS)
+        ))
         .withColumn("u", uniform(F.col("seq"), F.col("seed")))
-        .withColumn("lossy_worker", mask.seeded_worker(F.col("seed"), "lossy", S.N_WORKERS))
     )
     kept = []
     for i, p in enumerate(S.LOSS_PROBS):
@@ -51,10 +52,10 @@ def loss_counts(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def loss_scores(spark: SparkSession, sf: str) -> DataFrame:
-    """Lossy-worker scores of the exact, schedule-aware and sketch models."""
+def loss_scores(masked: DataFrame) -> DataFrame:
+    """Lossy-worker scores of the exact, schedule-aware and sketch models on masked counts."""
     by = ["seed", "loss_prob"]
-    masked = keyed(loss_counts(spark, sf))
+    masked = keyed(masked)
     table = sketch.sketch_table(masked, width=S.SKETCH_WIDTH, by=by)
     rows = sketch.point_estimates(
         masked, table, [*by, "lossy_worker", *WORKER, "cnt"], width=S.SKETCH_WIDTH, by=by,
@@ -72,20 +73,20 @@ SCORE_COLUMNS = ["system", "seed", "loss_prob", "lossy_worker", "tp", "pp", "ap"
 
 
 def score_lossy_worker(spark: SparkSession, sf: str) -> DataFrame:
-    return loss_scores(spark, sf).filter(F.col("system") != "schedule_aware").select(
+    return loss_scores(loss_counts(spark, sf)).filter(F.col("system") != "schedule_aware").select(
         *SCORE_COLUMNS
     )
 
 
 def score_lossy_expected(spark: SparkSession, sf: str) -> DataFrame:
-    return loss_scores(spark, sf).filter(F.col("system") == "schedule_aware").select(
+    return loss_scores(loss_counts(spark, sf)).filter(F.col("system") == "schedule_aware").select(
         *SCORE_COLUMNS
     )
 
 
-def width_scores(spark: SparkSession, sf: str) -> DataFrame:
+def width_scores(masked: DataFrame) -> DataFrame:
     """Scores of the sketch per width at one loss probability, with the exact model's."""
-    masked = keyed(loss_counts(spark, sf).filter(F.col("loss_prob") == S.SWEEP_LOSS_PROB))
+    masked = keyed(masked.filter(F.col("loss_prob") == S.SWEEP_LOSS_PROB))
     rows = sketch.width_sweep(
         masked, [*WORKER, "lossy_worker"], list(S.SKETCH_WIDTHS), by=["seed"],
         sketches=len(S.SEEDS),
@@ -103,7 +104,7 @@ def sketch_width_sweep(spark: SparkSession, sf: str) -> DataFrame:
         return F.max(F.when(F.col("system") == system, F.col(name)))
 
     return (
-        width_scores(spark, sf)
+        width_scores(loss_counts(spark, sf))
         .groupBy("seed", "sketch_width")
         .agg(
             of("sketch", "precision").alias("precision"),
@@ -170,9 +171,9 @@ def score_straggler(spark: SparkSession, sf: str) -> DataFrame:
     """
     last = events(spark, sf).groupBy(*WORKER).agg(F.max(rounds.arrival_rank()).alias("_last"))
     tails = last.select(*WORKER, "_last.ts_us", "_last.arrival")
-    grid = tails.select("*", every(S.SEEDS, "seed")).select(
-        "*", every(S.DELAYS_MS, "delay_ms")
-    ).withColumn("straggler", mask.seeded_worker(F.col("seed"), "straggler", S.N_WORKERS))
+    grid = tails.select("*", every_seed(
+        straggler=lambda seed: mask.seeded_worker(seed, "straggler", S.N_WORKERS)
+    )).select("*", every(S.DELAYS_MS, "delay_ms"))
     own = F.col("worker_id") == F.col("straggler")
     delayed = F.col("ts_us") + F.when(own, F.col("delay_ms").cast("bigint") * 1000).otherwise(0)
     per_round = grid.groupBy("seed", "delay_ms", "straggler", *ROUND).agg(

@@ -93,9 +93,9 @@ def inactivity_sessions(messages: DataFrame, markers: DataFrame, timeout: str) -
 class SlidingCorrelator:
     """Sliding correlation over rounds that close in successive micro-batches.
 
-    The last ``window - 1`` rows of each job pair are kept in a table per batch. A batch reads
-    the table of the batch before it and overwrites its own, so repeating a failed batch gives
-    the same result.
+    Each batch writes the pair rows it received, the last ``window - 1`` rows of each pair, and
+    its alerts. It reads the last rows of the batch before it and overwrites only its own tables,
+    so repeating a failed batch gives the same result.
     """
 
     def __init__(
@@ -105,15 +105,17 @@ class SlidingCorrelator:
         score: Callable[[DataFrame], DataFrame],
         window_size: int,
     ) -> None:
-        self.tails, self.alerts = f"{root}/tails", f"{root}/alerts"
+        self.rows, self.tails, self.alerts = f"{root}/rows", f"{root}/tails", f"{root}/alerts"
         self.pair, self.score, self.window_size = pair, score, window_size
 
     def __call__(self, closed: DataFrame, batch_id: int) -> None:
         spark = closed.sparkSession
-        closed.persist()
-        rows = self.pair(closed).withColumn("carried", F.lit(False))
+        paired = self.pair(closed).withColumn("carried", F.lit(False))
+        paired.write.mode("overwrite").parquet(f"{self.rows}/{batch_id}")
+        stored = spark.read.schema(paired.schema)
+        rows = stored.parquet(f"{self.rows}/{batch_id}")
         if batch_id > 0:
-            before = spark.read.schema(rows.schema).parquet(f"{self.tails}/{batch_id - 1}")
+            before = stored.parquet(f"{self.tails}/{batch_id - 1}")
             rows = rows.unionByName(before.withColumn("carried", F.lit(True)))
         last = Window.partitionBy(*correlate.PAIR).orderBy(F.col("round_id").desc())
         tail = (
@@ -124,4 +126,3 @@ class SlidingCorrelator:
         tail.write.mode("overwrite").parquet(f"{self.tails}/{batch_id}")
         fresh = self.score(rows).filter(~F.col("carried")).drop("carried")
         fresh.write.mode("overwrite").parquet(f"{self.alerts}/batch_id={batch_id}")
-        closed.unpersist()

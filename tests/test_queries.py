@@ -24,6 +24,9 @@ def test_query_matches_sql(spark, duck, name):
     rows = frame.collect()
     assert rows, "no rows"
     assert compare(frame.columns, rows, names, cursor.fetchall()) == ""
+    plan = frame._jdf.queryExecution().executedPlan().toString()
+    for node in ("Python", "Pandas", "CartesianProduct", "BroadcastNestedLoopJoin"):
+        assert node not in plan, node
 
 
 def test_entry(spark):

@@ -41,3 +41,24 @@ def test_first_rows_over_many_batches(spark, many_files):
     got = replay.to_table(stream.monitors.distinct_first(messages, base.WORKER, stream.LENGTH))
     expected = round_ops.distinct_first(base.events(spark, SF_DIR), base.WORKER)
     assert rows(got) == rows(expected)
+
+
+def test_repeating_a_batch_changes_nothing(spark, tmp_path):
+    """A correlator step that runs again after a failure overwrites its own tables only."""
+    metrics = base.round_metrics(spark, SF_DIR)
+
+    def score(rows):
+        scores = correlation.sliding(rows)
+        return scores.filter(F.col("score") >= 0.5)
+
+    step = stream.monitors.SlidingCorrelator(
+        str(tmp_path), correlation.paired_metrics, score, 8
+    )
+    bounds = [(0, 4), (4, 5), (5, 18), (18, 30)]
+    for batch_id, (start, end) in enumerate(bounds):
+        part = metrics.filter((F.col("round_id") >= start) & (F.col("round_id") < end))
+        step(part, batch_id)
+        step(part, batch_id)
+    got = spark.read.parquet(step.alerts).select("job_a", "job_b", "round_id", "score")
+    whole = correlation.sliding(correlation.paired_metrics(metrics)).filter("score >= 0.5")
+    assert rows(got) == rows(whole.select("job_a", "job_b", "round_id", "score"))
