@@ -17,7 +17,7 @@ def test_filter_and_columns_reach_the_scan(spark):
     text = plan(catalog.BATCH["flt_events"](spark, SF_DIR))
     assert "PushedFilters: [IsNotNull(value)" in text and "GreaterThan(value,20.0)" in text
     latency = plan(catalog.BATCH["q1_round_latency"](spark, SF_DIR))
-    assert "ReadSchema: struct<ts:timestamp_ntz,event_type:string>" in latency
+    assert "ReadSchema: struct<ts:timestamp,event_type:string>" in latency
 
 
 @pytest.mark.parametrize("name", ["q3_tail_gap"])
