@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from roundscope.sources.bindings import DAY_US, EVENT_START_US
+from roundscope.sources.bindings import DAY_US, EVENT_START_US  # noqa: F401 - read as settings
 
 HOUR_US = 3_600_000_000
 
