@@ -31,8 +31,13 @@ STATS = (
 )
 
 ROUNDS = 200
-#: Pseudo-counts: each rule starts out as rather right than wrong, and no vote is impossible.
-PRIOR_RIGHT, PRIOR_WRONG = 8.0, 2.0
+#: Rules that may also speak for a document; the others vote against it or abstain.
+TWO_SIDED = ("length", "word_length")
+#: What is believed before any document is seen: the chance of a vote against, of none and of one
+#: in favour, on good and on bad documents. It weighs as much as this share of all documents.
+BELIEF_GOOD, BELIEF_BAD = (0.0005, 0.9995, 0.0), (0.3, 0.7, 0.0)
+BELIEF_GOOD_TWO, BELIEF_BAD_TWO = (0.0005, 0.1995, 0.8), (0.3, 0.35, 0.35)
+BELIEF_SHARE = 0.5
 
 
 def _repeated(text: np.ndarray, values: np.ndarray) -> np.ndarray:
@@ -147,6 +152,7 @@ def rules(stat: Callable[[str], Column] = F.col) -> dict[str, Column]:
     words = stat("n_words")
     mean_word = ratio("word_chars", "n_words")
     symbols = ratio("n_symbols", "n_words")
+    marks = ratio("n_symbols", "word_chars")
     dup_lines = ratio("n_dup_lines", "n_lines")
     repeats = ratio("n_repeat_words", "n_words")
     upper = ratio("n_upper", "n_letters")
@@ -155,7 +161,8 @@ def rules(stat: Callable[[str], Column] = F.col) -> dict[str, Column]:
         "length": _vote(words < 10, words >= 30),
         "word_length": _vote((mean_word < 2) | (mean_word > 15), mean_word.between(3, 10)),
         "symbols": _vote(symbols > 0.2),
-        "dup_lines": _vote((stat("n_lines") >= 3) & (dup_lines > 0.3)),
+        "marks": _vote((words >= 10) & (marks > 0.03)),
+        "dup_lines": _vote((stat("n_lines") >= 6) & (dup_lines > 0.4)),
         "repeats": _vote(repeats > 0.2),
         "capitals": _vote((words >= 10) & (upper > 0.4)),
         "variety": _vote((words >= 20) & (distinct < 0.2) & (words < 2000)),
@@ -166,48 +173,52 @@ def _failed(stat: Callable[[str], Column]) -> Column:
     return (stat("n_words") < 10) | (100 * stat("n_repeat_words") > 20 * stat("n_words"))
 
 
-def fit(patterns: np.ndarray, counts: np.ndarray) -> tuple[float, np.ndarray]:
+def fit(
+    patterns: np.ndarray, counts: np.ndarray, two_sided: list[bool]
+) -> tuple[float, np.ndarray]:
     """Share of good documents, and log-odds of each rule's three votes, by EM.
 
     ``patterns`` has a row of votes for each pattern, ``counts`` how many documents show it. The
-    first guess doubts documents with any vote against them: most kinds of junk break one rule or
-    two. Pseudo-counts keep good and bad from changing places.
+    first guess doubts documents with any vote against them, as most kinds of junk break one rule
+    or two. Estimates are maxima a posteriori under the beliefs above; they keep good and bad from
+    changing places and one frequent kind of junk from passing as good. The fit depends on the
+    shares of the patterns only, so it is the same at every size.
     """
     n_rules = patterns.shape[1]
-    if not len(patterns):
+    total = counts.sum()
+    if not total:
         return 0.5, np.zeros((n_rules, 3))
     onehot = np.stack([patterns == v for v in (-1, 0, 1)], axis=2).astype(float)
+    counts = counts / total
+    belief_good = np.array([BELIEF_GOOD_TWO if two else BELIEF_GOOD for two in two_sided])
+    belief_bad = np.array([BELIEF_BAD_TWO if two else BELIEF_BAD for two in two_sided])
     good = np.where((patterns < 0).any(axis=1), 0.1, 0.9)
-    prior_good = np.array([PRIOR_WRONG, 1.0, PRIOR_RIGHT])
-    prior_bad = prior_good[::-1]
     for _ in range(ROUNDS):
-        weight_good, weight_bad = counts * good, counts * (1 - good)
-        share = (weight_good.sum() + 5.0) / (counts.sum() + 10.0)
-        right = np.tensordot(weight_good, onehot, 1) + prior_good
-        wrong = np.tensordot(weight_bad, onehot, 1) + prior_bad
+        share = np.clip((counts * good).sum(), 0.02, 0.98)
+        right = np.tensordot(counts * good, onehot, 1) + BELIEF_SHARE * belief_good
+        wrong = np.tensordot(counts * (1 - good), onehot, 1) + BELIEF_SHARE * belief_bad
         right /= right.sum(axis=1, keepdims=True)
         wrong /= wrong.sum(axis=1, keepdims=True)
-        odds = np.log(right) - np.log(wrong)
-        # A vote for good never counts against a document, nor one for bad in its favour.
-        odds[:, 0], odds[:, 2] = np.minimum(odds[:, 0], 0), np.maximum(odds[:, 2], 0)
-        odds[:, 1] = 0
+        odds = np.log(np.maximum(right, 1e-12)) - np.log(np.maximum(wrong, 1e-12))
         logit = math.log(share / (1 - share)) + np.tensordot(onehot, odds, 2)
-        now = 1 / (1 + np.exp(-np.clip(logit, -50, 50)))
+        now = 1 / (1 + np.exp(-logit))
         if np.abs(now - good).max() < 1e-9:
             break
         good = now
     return share, odds
 
 
-def estimate(stats: DataFrame) -> tuple[float, dict[str, tuple[float, float]]]:
+def estimate(stats: DataFrame) -> tuple[float, dict[str, tuple[float, ...]]]:
     """Fit the model to the votes on all rows of ``stats``: share of good, odds of each vote."""
     votes = rules()
-    # At most 3 ** 7 patterns, whatever the number of documents.
+    # At most 3 ** 8 patterns, whatever the number of documents.
     seen = stats.groupBy(*[v.alias(n) for n, v in votes.items()]).count().collect()
     seen = sorted(tuple(r) for r in seen)
     patterns = np.array([r[:-1] for r in seen], int).reshape(-1, len(votes))
-    share, odds = fit(patterns, np.array([r[-1] for r in seen], float))
-    return share, {n: (o[0], o[2]) for n, o in zip(votes, odds.tolist())}
+    share, odds = fit(
+        patterns, np.array([r[-1] for r in seen], float), [n in TWO_SIDED for n in votes]
+    )
+    return float(share), {n: tuple(o) for n, o in zip(votes, odds.tolist())}
 
 
 def posterior(model: tuple[float, dict], stat: Callable[[str], Column] = F.col) -> Column:
@@ -215,8 +226,8 @@ def posterior(model: tuple[float, dict], stat: Callable[[str], Column] = F.col)
     share, odds = model
     logit = F.lit(math.log(share / (1 - share)))
     for name, vote in rules(stat).items():
-        bad, good = odds[name]
-        logit = logit + F.when(vote < 0, F.lit(bad)).when(vote > 0, F.lit(good)).otherwise(0.0)
+        bad, none, good = odds[name]
+        logit = logit + F.when(vote < 0, bad).when(vote > 0, good).otherwise(none)
     return 1 / (1 + F.exp(-logit))
 
 
