@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from roundscope.llm import bpe, chat, pii, rules, warc
+from roundscope.llm import bpe, chat, phrases, pii, rules, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -87,6 +87,18 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    segments = phrases.build(table(spark, sf_dir, "documents"))
+    found = phrases.search(segments, table(spark, sf_dir, "benchmark"))
+    items = F.array_sort(F.col("items").cast("array<string>"))
+    return found.select(
+        "doc_id", "n_words", phrases.covered().alias("n_hit"),
+        F.size("items").cast("bigint").alias("n_items"),
+        F.sha2(F.array_join(items, ",").cast("binary"), 256).alias("items_sha256"),
+        (F.size("spans") > 0).alias("contaminated"), "spans",
+    )
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.label(table(spark, sf_dir, "documents")).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
@@ -99,5 +111,6 @@ QUERIES = {
     "op4_warc": op4_warc,
     "op5_pii": op5_pii,
     "op6_bpe": op6_bpe,
+    "op8_decontaminate": op8_decontaminate,
     "op10_quality_rules": op10_quality_rules,
 }
