@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from roundscope.llm import bpe, chat, phrases, pii, rules, warc
+from roundscope.llm import bpe, chat, phrases, pii, rules, setsketch, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -87,6 +87,10 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_setsketch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return setsketch.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     segments = phrases.build(table(spark, sf_dir, "documents"))
     found = phrases.search(segments, table(spark, sf_dir, "benchmark"))
@@ -111,6 +115,7 @@ QUERIES = {
     "op4_warc": op4_warc,
     "op5_pii": op5_pii,
     "op6_bpe": op6_bpe,
+    "op7_setsketch": op7_setsketch,
     "op8_decontaminate": op8_decontaminate,
     "op10_quality_rules": op10_quality_rules,
 }
