@@ -22,9 +22,9 @@ from pyspark.sql import DataFrame
 
 from roundscope.llm.blocks import joined
 
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 6 << 20
 #: Words that a task remembers before it starts afresh; memory, not results, depends on it.
-KNOWN_WORDS = 600_000
+KNOWN_WORDS = 200_000
 
 #: Up to so many places of a pair are joined one by one, more as arrays; the result is the same.
 FEW_PLACES = 10
