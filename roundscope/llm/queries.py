@@ -6,7 +6,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from roundscope.llm import bpe, chat, phrases, pii, rules, setsketch, suffixes, warc
+from roundscope.llm import (
+    backoff, bpe, chat, cotrain, phrases, pii, rules, setsketch, suffixes, warc,
+)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -48,6 +50,10 @@ def op2_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return backoff.score(table(spark, sf_dir, "documents"))
+
+
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     records = warc.read(warc.write(table(spark, sf_dir, "pages")))
     header = F.col("header")
@@ -110,6 +116,10 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_cotraining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cotrain.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.label(table(spark, sf_dir, "documents")).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
@@ -120,10 +130,12 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_chat": op2_chat,
+    "op3_backoff": op3_backoff,
     "op4_warc": op4_warc,
     "op5_pii": op5_pii,
     "op6_bpe": op6_bpe,
     "op7_setsketch": op7_setsketch,
     "op8_decontaminate": op8_decontaminate,
+    "op9_cotraining": op9_cotraining,
     "op10_quality_rules": op10_quality_rules,
 }
