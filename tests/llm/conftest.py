@@ -1,0 +1,59 @@
+from __future__ import annotations
+
+import os
+import random
+import sys
+
+import pytest
+
+sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
+
+SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint"
+#: Extra columns whose names clash with those that the operators use inside.
+EXTRA = "n_words int, class string, spans string, mark string, _stats string, group int"
+
+
+def edge_texts() -> list[str | None]:
+    """Null, empty, blank, tiny, periodic, very long, accented, and near-equal texts."""
+    draw = random.Random(5)
+    vocabulary = ["".join(draw.choice("abcdeéß漢") for _ in range(draw.randint(1, 7)))
+                  for _ in range(60)]
+
+    def prose(n: int) -> str:
+        return " ".join(draw.choice(vocabulary) for _ in range(n))
+
+    base = prose(120)
+    shared = prose(70)
+    edits = []
+    for i in range(25):
+        w = base.split()
+        for _ in range(i % 4):
+            w[draw.randrange(len(w))] = f"edit{i}"
+        edits.append(" ".join(w))
+    return [
+        None, "", " \n\t \r\x0b", "one", "one two three four", "ONE two Three four", "a" * 1500,
+        "ab " * 700, "line of a song\n" * 40, base, base, base.upper(), *edits,
+        *[f"{prose(15)} {shared} {prose(15)}" for _ in range(12)], shared[:199], shared[:200],
+        shared, prose(9), prose(9000), "#*$%&|<> " * 30, "WORD!! " * 60,
+        "mail a.b@c-d.example.org, a@b@c.d x@y. @z.q ++1 (555) 123-4567 +123 1.2.3.4.5.6.7.8 "
+        "300.1.1.1 001.02.3.04 4111 1111 1111 1111 4111-1111-1111-1112 http://x.example.com/a?b. "
+        "IBAN: GB82 WEST 1234 5698 7654 32 é@é.fr ü+49 (0) 30 1234567",
+    ]
+
+
+@pytest.fixture(scope="session")
+def edge_rows():
+    rows = [(i, t, ("en", None)[i % 2], f"s{i % 3}", len(t or "")) for i, t in
+            enumerate(edge_texts())]
+    return rows
+
+
+@pytest.fixture(scope="session")
+def edge_docs(spark, edge_rows):
+    schema = f"{SCHEMA}, {EXTRA}"
+    return spark.createDataFrame([(*r, 7, "x", "y", "z", "s", 1) for r in edge_rows], schema)
+
+
+@pytest.fixture(scope="session")
+def no_docs(spark):
+    return spark.createDataFrame([], SCHEMA)
