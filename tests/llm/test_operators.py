@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import os
 import random
 
 import plain
@@ -10,7 +11,6 @@ import public_tokenizers
 import pytest
 import tiktoken
 from compare import compare
-from conftest import SF_DIR
 from pyspark.sql import functions as F
 
 from roundscope.llm import (
@@ -18,6 +18,7 @@ from roundscope.llm import (
     suffixes, warc,
 )
 
+SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.01")
 PATH = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 #: Extra columns whose names clash with those that the operators use inside.
