@@ -256,6 +256,7 @@ def _score_block(block, order, parts, tables, codec, n_total):
     _, single = per_width[0]
     n = block.n
     return (
-        np.bincount(words.text, logs, n).astype(float), np.bincount(words.text, backed, n).astype(np.int64),
+        np.bincount(words.text, logs, n).astype(float),
+        np.bincount(words.text, backed, n).astype(np.int64),
         np.bincount(words.text, single <= 0, n).astype(np.int64), words,
     )

@@ -81,7 +81,8 @@ def block_stats(block: Block) -> dict[str, np.ndarray]:
     start = start[start < len(data)]
     text = np.searchsorted(block.offsets, start, "right") - 1
     end = np.append(start[1:], len(data))
-    end -= (end > start) & (data[np.maximum(end, 1) - 1] == 0x0A)
+    if len(data):
+        end -= (end > start) & (data[np.maximum(end, 1) - 1] == 0x0A)
     filled = np.searchsorted(words.start, end) > np.searchsorted(words.start, start)
     start, end, text = start[filled], end[filled], text[filled]
     again = _later(text, Block.span_hash(prefix, start, end))
