@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import random
+import statistics
 
 import pytest
 from pyspark.sql import functions as F
@@ -64,31 +65,31 @@ def test_inactivity_cases(spark):
     assert found == {i: c[1] for i, c in enumerate(CASES) if c[1] is not None}
 
 
-def walk(line, start, timeout, expected):
-    """Event-by-event inactivity rule."""
-    seen, last = 0, start
-    total = sum(n for _, n in line)
-    for t, n in sorted(line):
-        if seen < expected and t > last + timeout:
-            break
-        seen, last = seen + n, t
-    else:
-        if seen >= expected:
-            return None
-    reason = "missing-round" if seen == 0 else (
-        "premature-timeout" if total >= expected else "missing-pairs")
-    return last + timeout, seen, reason
+def first_silence(line, start, timeout, expected):
+    """By definition: the earliest gap that is too long while too little came before it."""
+    moments = [start, *sorted({t for t, _ in line})]
+    came = [sum(n for t, n in line if t in moments[1 : i + 1]) for i in range(len(moments))]
+    gaps = {
+        (moment, before) for moment, until, before in
+        zip(moments, [*moments[1:], float("inf")], came)
+        if until - moment > timeout and before < expected
+    }
+    if not gaps:
+        return None
+    moment, before = min(gaps, key=lambda gap: moments.index(gap[0]))
+    late = "premature-timeout" if came[-1] >= expected else "missing-pairs"
+    return moment + timeout, before, late if before else "missing-round"
 
 
 @pytest.mark.parametrize("width", [50, 17, 1])
-def test_inactivity_equals_walk_for_any_bucket_width(spark, width):
+def test_inactivity_equals_definition_for_any_bucket_width(spark, width):
     rng = random.Random(width)
     lines = [
         [(rng.randrange(-20, 600), rng.randrange(0, 3)) for _ in range(rng.randrange(0, 14))]
         for _ in range(300)
     ]
     found = alerts_of(spark, lines, 50, 9, width=width)
-    expected = {i: walk(line, 0, 50, 9) for i, line in enumerate(lines)}
+    expected = {i: first_silence(line, 0, 50, 9) for i, line in enumerate(lines)}
     assert found == {i: a for i, a in expected.items() if a is not None}
 
 
@@ -100,7 +101,7 @@ def test_untimed_activity_arrives_at_round_end(spark):
     ]
     found = alerts_of(spark, lines, 40, 5, end=100)
     timed = [[(100 if t is None else t, n) for t, n in line] for line in lines]
-    expected = {i: walk(line, 0, 40, 5) for i, line in enumerate(timed)}
+    expected = {i: first_silence(line, 0, 40, 5) for i, line in enumerate(timed)}
     assert found == {i: a for i, a in expected.items() if a is not None}
 
 
@@ -236,14 +237,9 @@ def test_in_episode_is_half_open(spark):
 
 # --- correlation ---------------------------------------------------------------------------
 
-def pearson(xs, ys):
-    n = len(xs)
-    mx, my = sum(xs) / n, sum(ys) / n
-    dx = sum((x - mx) ** 2 for x in xs) ** 0.5
-    dy = sum((y - my) ** 2 for y in ys) ** 0.5
-    if dx == 0 or dy == 0:
-        return 0.0
-    return sum((x - mx) * (y - my) for x, y in zip(xs, ys, strict=True)) / (dx * dy)
+def correlation(xs, ys):
+    """0.0 for a constant series."""
+    return 0.0 if len(set(xs)) == 1 or len(set(ys)) == 1 else statistics.correlation(xs, ys)
 
 
 def test_safe_corr_of_constant_and_single(spark):
@@ -259,7 +255,7 @@ def test_pairwise_needs_three_common_rounds(spark, tiles):
     lat = parameter_table(spark, "job_id int, round_id int, latency_us bigint", rows)
     got = correlate.pairwise_corr(lat).collect()
     assert [(r.job_a, r.job_b, r.rounds) for r in got] == [(0, 1, 3)]
-    assert got[0]["corr"] == round(pearson([5, 9, 1], [4, 8, 3]), 6)
+    assert got[0]["corr"] == round(correlation([5, 9, 1], [4, 8, 3]), 6)
     pairs = correlate.pair_rounds(lat, lat.withColumnRenamed("latency_us", "other"), tiles)
     assert sorted((r.job_a, r.job_b, r.round_id) for r in pairs.collect()) == sorted(
         (a[0], b[0], a[1]) for a in rows for b in rows if a[1] == b[1] and a[0] < b[0]
@@ -283,7 +279,7 @@ def test_sliding_window_is_exact_across_blocks(spark, block):
         mine = [r for r in rows if r[:2] == pair]
         for i in range(7, len(mine)):
             last = mine[i - 7: i + 1]
-            expected[(*pair, mine[i][2])] = pearson([r[3] for r in last], [r[4] for r in last])
+            expected[(*pair, mine[i][2])] = correlation([r[3] for r in last], [r[4] for r in last])
     assert {(r.job_a, r.job_b, r.round_id) for r in got} == set(expected)
     for r in got:
         assert r.score == pytest.approx(expected[(r.job_a, r.job_b, r.round_id)], abs=2e-6)
@@ -328,18 +324,15 @@ def test_sketch_estimates_and_merge(spark):
     rng = random.Random(1)
     weights = {f"({i},)": rng.randrange(1, 50) for i in range(400)}
     width, depth = 64, 5
-    table = [[0] * width for _ in range(depth)]
-    for key, n in weights.items():
-        for row in range(depth):
-            idx, sign = bucket_and_sign(key, row, 42, width)
-            table[row][idx] += sign * n
-    expected = {}
-    for key in weights:
-        ests = []
-        for row in range(depth):
-            idx, sign = bucket_and_sign(key, row, 42, width)
-            ests.append(sign * table[row][idx])
-        expected[key] = max(0, sorted(ests)[depth // 2])
+    # In each row, a key's estimate is what all keys of its cell weigh, by the signs they share.
+    places = {key: [bucket_and_sign(key, row, 42, width) for row in range(depth)] for key in weights}
+    expected = {
+        key: max(0, statistics.median_high(
+            sum(n * sign * places[k][row][1] for k, n in weights.items() if places[k][row][0] == cell)
+            for row, (cell, sign) in enumerate(own)
+        ))
+        for key, own in places.items()
+    }
     df = spark.createDataFrame(list(weights.items()), "key string, cnt bigint").repartition(8)
     cells = sketch.sketch_table(df, width=width)
     got = sketch.point_estimates(
@@ -449,18 +442,12 @@ def test_scalar_helpers(spark):
 
 
 def test_numeric_or_null(spark):
-    texts = ["", " ", "1", " 2.5 ", "1e3", "-.5", "3.", "1_000", "1__0", "0x1", "7d", "2f",
-             "inf", "-Infinity", "nan", "abc", "1e", None]
-    def reference(text):
-        if text is None or text == "":
-            return None
-        try:
-            return float(text)
-        except ValueError:
-            return None
-    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    values = {"1": "1.0", " 2.5 ": "2.5", "1e3": "1000.0", "-.5": "-0.5", "3.": "3.0",
+              "1_000": "1000.0", "inf": "inf", "-Infinity": "-inf", "nan": "nan"}
+    blanks = ["", " ", "1__0", "0x1", "7d", "2f", "abc", "1e", None]
+    df = spark.createDataFrame(list(enumerate([*values, *blanks])), "i int, t string")
     got = df.select("i", numeric.numeric_or_null(F.col("t")).alias("v")).orderBy("i").collect()
-    assert [repr(r.v) for r in got] == [repr(reference(t)) for t in texts]
+    assert [repr(r.v) for r in got] == [*values.values(), *["None"] * len(blanks)]
 
 
 def test_is_false(spark):
