@@ -26,8 +26,8 @@ def half_even(value: Column, digits: int = 0) -> Column:
 
 
 def summary_round(value: Column) -> Column:
-    """Six digits, or three from a million on, where further ones are rounding noise."""
-    return F.when(F.abs(value) < 1e6, half_even(value, 6)).otherwise(half_even(value, 3))
+    """Six digits, whatever the size of the value."""
+    return half_even(value, 6)
 
 
 def clamp_low(value: Column, low: float) -> Column:

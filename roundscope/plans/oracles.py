@@ -234,13 +234,12 @@ last_rows AS (
          max(CASE WHEN worker_id = straggler THEN 1 ELSE 0 END) OVER (PARTITION BY seed, delay_ms, job_id, round_id) AS present
   FROM delayed),
 straggler_scores AS (
-  SELECT *, {ratio('tp', 'pp')} AS "precision", {ratio('tp', 'ap')} AS recall, {ratio('tp', 'injected')} AS injected_recall
+  SELECT *, {ratio('tp', 'pp')} AS "precision", {ratio('tp', 'ap')} AS recall
   FROM (
     SELECT seed, CAST(delay_ms AS INTEGER) AS delay_ms, straggler, count(*) AS observed_rounds,
            count(*) FILTER (WHERE worker_id = straggler) AS tp,
            count(*) FILTER (WHERE worker_id = straggler) AS pp,
-           count(*) FILTER (WHERE worker_id = straggler) AS ap,
-           count(*) FILTER (WHERE present = 1) AS injected
+           count(*) FILTER (WHERE present = 1) AS ap
     FROM last_rows WHERE rk = 1 GROUP BY ALL))"""
 
 FAULTS = f"""grid AS (SELECT * FROM seeds, {unnested(S.FAULT_TYPES, 'fault_type')}),
@@ -356,33 +355,19 @@ def _profile() -> str:
 def _control_ctes() -> list[str]:
     gap = f"""SELECT job_id, round_id FROM (
       SELECT job_id, round_id, max(cnt) - min(cnt) AS spread, arg_min(worker_id, cnt * 1000 + worker_id) AS low
-      FROM {{src}} GROUP BY ALL) WHERE spread >= {S.CONTROL_GAP} AND low = 0"""
+      FROM cnt GROUP BY ALL) WHERE spread >= {S.CONTROL_GAP} AND low = 0"""
     return [
-        PK, JOBS, SCHED, CNT, METRICS,
+        PK, CNT,
         f"""clean AS (SELECT job_id, round_id FROM pk GROUP BY ALL
   HAVING count(DISTINCT (worker_id, chunk_id)) >= {S.EVENT_PAIRS})""",
-        f"""full_grid AS (SELECT job_id, round_id, w AS worker_id, {S.N_CHUNKS} AS cnt
-  FROM sched, (SELECT unnest(range({S.N_WORKERS})) AS w))""",
         """tail AS (SELECT job_id, round_id, ts_us, lead(ts_us) OVER o AS before, row_number() OVER o AS rk
   FROM pk WINDOW o AS (PARTITION BY job_id, round_id ORDER BY ts_us DESC))""",
-        f"""uncoupled AS (
-  SELECT 'staggered_starts' AS control_type, job_id, round_id, latency_us / {d(1e6)} AS x,
-         CASE WHEN round_id % 4 IN (1, 2) THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS y FROM metrics
-  UNION ALL
-  SELECT 'background_traffic', job_id, round_id, latency_us / {d(1e6)},
-         CASE WHEN {uniform("'background'", 'job_id', 'round_id')} < {d(S.BACKGROUND_ACTIVE_PROB)} THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END
-  FROM metrics)""",
-        sliding("uncoupled", "control_type, job_id", ""),
         f"""marks AS (
-  SELECT 'Q2' AS query, 'expected_grid' AS control_type, job_id, 1 AS r, 0 AS a FROM sched
-  UNION ALL SELECT 'Q2', 'expected_grid', job_id, 0, 1 FROM ({gap.format(src='full_grid')})
-  UNION ALL SELECT 'Q2', 'complete_rounds', job_id, 1, 0 FROM clean
-  UNION ALL SELECT 'Q2', 'complete_rounds', job_id, 0, 1 FROM ({gap.format(src='cnt')}) SEMI JOIN clean USING (job_id, round_id)
+  SELECT 'Q2' AS query, 'complete_rounds' AS control_type, job_id, 1 AS r, 0 AS a FROM clean
+  UNION ALL SELECT 'Q2', 'complete_rounds', job_id, 0, 1 FROM ({gap}) SEMI JOIN clean USING (job_id, round_id)
   UNION ALL SELECT 'Q3', 'complete_rounds', job_id, 1, 0 FROM clean
   UNION ALL SELECT 'Q3', 'complete_rounds', job_id, 0, 1 FROM tail SEMI JOIN clean USING (job_id, round_id)
-    WHERE rk = 1 AND ts_us - before >= {S.TAIL_GAP_US}
-  UNION ALL SELECT 'Q5', control_type, job_id, 1, 0 FROM uncoupled
-  UNION ALL SELECT 'Q5', control_type, job_id, 0, 1 FROM full_scores WHERE score >= {d(S.CORR_THRESHOLD)})""",
+    WHERE rk = 1 AND ts_us - before >= {S.TAIL_GAP_US})""",
     ]
 
 
@@ -390,13 +375,10 @@ CONTROL_CTES = _control_ctes()
 
 
 def _controls() -> str:
-    jobs = ", ".join(
-        f"coalesce(max(rate) FILTER (WHERE job_id = {j}), 0) AS job_{j}" for j in range(S.N_JOBS)
-    )
     rate = half_even("CAST(sum(a) AS DOUBLE) / greatest(sum(r), 1)", 6)
-    rates = f"""rates AS (SELECT query || ' ' || control_type AS control, job_id, {rate} AS rate
-  FROM marks GROUP BY ALL)"""
-    return with_(*CONTROL_CTES, rates) + f"SELECT control, {jobs} FROM rates GROUP BY control"
+    return with_(*CONTROL_CTES) + f"""
+SELECT query || ' ' || control_type AS control, job_id, {rate} AS false_positive_rate
+FROM marks GROUP BY query, control_type, job_id"""
 
 
 FAULT_SCORES = f"""fault_scores AS (
@@ -600,13 +582,12 @@ FROM seeds, {unnested(('dataflow', 'sketch'), 's')}"""
 def _control_rows() -> str:
     return with_(*CONTROL_CTES) + f"""SELECT {config('negative_control', 'query')}, control_type, true AS expressible, 0 AS seed,
   alerts, {half_even(FPR.format(fp='alerts', n='rounds'), 6)} AS false_positive_rate,
-  CASE query WHEN 'Q5' THEN 'dataflow_external_windowed' ELSE 'dataflow_control' END AS system,
-  CASE query WHEN 'Q5' THEN {S.CORR_WINDOW} END AS window_size,
-  CASE query WHEN 'Q5' THEN {2 * S.CORR_WINDOW} WHEN 'Q3' THEN rounds ELSE rounds * {S.N_WORKERS} END AS state_entries,
-  CASE query WHEN 'Q5' THEN {WINDOW_BITS} WHEN 'Q3' THEN rounds * 67 ELSE rounds * {S.N_WORKERS * 32} END AS counter_bits,
-  CASE query WHEN 'Q5' THEN {S.CORR_WINDOW} WHEN 'Q3' THEN rounds ELSE rounds * {S.N_WORKERS} END AS keys_tracked,
+  'dataflow_control' AS system,
+  CASE query WHEN 'Q3' THEN rounds ELSE rounds * {S.N_WORKERS} END AS state_entries,
+  CASE query WHEN 'Q3' THEN rounds * 67 ELSE rounds * {S.N_WORKERS * 32} END AS counter_bits,
+  CASE query WHEN 'Q3' THEN rounds ELSE rounds * {S.N_WORKERS} END AS keys_tracked,
   CASE query WHEN 'Q2' THEN 1 ELSE 2 END AS per_packet_ops,
-  CASE query WHEN 'Q5' THEN 'window_size downstream correlation state' WHEN 'Q3' THEN 'rounds with timestamp+argmax worker'
+  CASE query WHEN 'Q3' THEN 'rounds with timestamp+argmax worker'
              ELSE 'rounds*workers' END AS scaling_model
 FROM (SELECT query, control_type, CAST(sum(r) AS BIGINT) AS rounds, CAST(sum(a) AS BIGINT) AS alerts
       FROM marks GROUP BY query, control_type)"""
@@ -663,10 +644,7 @@ def ci(metric: str, prefix: str, names: tuple[str, str, str], unit: bool) -> str
         low = f"CASE WHEN {mean} IS NOT NULL THEN greatest({low}, {d(0.0)}) END"
         high = f"CASE WHEN {mean} IS NOT NULL THEN least({high}, {d(1.0)}) END"
     values = zip((mean, low, high), names, strict=True)
-    return ", ".join(
-        f'CASE WHEN abs({v}) < 1000000 THEN {half_even(v, 6)} ELSE {half_even(v, 3)} END AS "{prefix}_{n}"'
-        for v, n in values
-    )
+    return ", ".join(f'{half_even(v, 6)} AS "{prefix}_{n}"' for v, n in values)
 
 
 def _all_rows() -> str:
@@ -748,10 +726,9 @@ SELECT seed, fault_type, tp, pp, ap, fp, "precision", recall FROM fault_scores""
 SELECT *, {ratio('tp', 'pp')} AS "precision", {ratio('tp', 'ap')} AS recall FROM (
   SELECT lang, count(*) FILTER (WHERE p AND a) AS tp, count(*) FILTER (WHERE p) AS pp,
          count(*) FILTER (WHERE a) AS ap, count(*) FILTER (WHERE p AND NOT a) AS fp
-  FROM (SELECT lang, n_chars >= {S.LONG_CHARS} AS p,
-               EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = documents.doc_id AND l.quality = 1) AS a
-        FROM documents)
-  WHERE p OR a GROUP BY lang)""",
+  FROM (SELECT lang, n_chars >= {S.LONG_CHARS} AS p, quality = 1 AS a
+        FROM documents JOIN labels USING (doc_id))
+  GROUP BY lang)""",
     "score_fpr": with_(*FAULT_ALL, FAULT_SCORES) + """
 SELECT seed, fault_type, fp, healthy_rounds, false_positive_rate FROM fault_scores""",
     "score_ttd": with_(*FAULT_ALL, FAULT_SCORES) + """

@@ -253,11 +253,8 @@ def control_rows(spark: SparkSession, sf: str) -> DataFrame:
     rates = scoring.control_rates(
         scoring.control_marks(spark, sf), ["query", "control_type"]
     ).withColumns({
-        "system": F.when(F.col("query") == "Q5", F.lit("dataflow_external_windowed"))
-        .otherwise(F.lit("dataflow_control")),
-        "window_size": F.when(F.col("query") == "Q5", F.lit(S.CORR_WINDOW)),
-        "state_entries": F.when(F.col("query") == "Q5", F.lit(2 * S.CORR_WINDOW))
-        .when(F.col("query") == "Q3", F.col("rounds"))
+        "system": F.lit("dataflow_control"),
+        "state_entries": F.when(F.col("query") == "Q3", F.col("rounds"))
         .otherwise(F.col("rounds") * S.N_WORKERS).cast("bigint"),
     })
     return experiment(rates, "negative_control", "")

@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from roundscope.functions.hashing import uniform
-from roundscope.functions.numeric import half_even, safe_div
 from roundscope.operators import correlate, inactivity, mask, rounds, score, sketch
 from roundscope.plans import settings as S
 from roundscope.plans.base import (
@@ -166,7 +165,8 @@ def score_key_modes(spark: SparkSession, sf: str) -> DataFrame:
 def score_straggler(spark: SparkSession, sf: str) -> DataFrame:
     """Straggler scores under delays of one worker per seed.
 
-    A delay moves all messages of a worker alike, so the last message per worker is found once
+    Truth is the delayed worker, in every round in which it sent anything. A delay moves all
+    messages of a worker alike, so the last message per worker is found once
     and the delays are applied to those few rows.
     """
     last = events(spark, sf).groupBy(*WORKER).agg(F.max(rounds.arrival_rank()).alias("_last"))
@@ -185,12 +185,9 @@ def score_straggler(spark: SparkSession, sf: str) -> DataFrame:
         F.count(F.lit(1)).alias("observed_rounds"),
         score.count_if(hit).alias("tp"),
         score.count_if(hit).alias("pp"),
-        score.count_if(hit).alias("ap"),
-        score.count_if(F.col("_present") == 1).alias("injected"),
-    )
-    return score.with_precision_recall(scored).withColumn(
-        "injected_recall", half_even(safe_div(F.col("tp"), F.col("injected")), 3)
+        score.count_if(F.col("_present") == 1).alias("ap"),
     )
+    return score.with_precision_recall(scored)
 
 
 # --- failed and silent rounds --------------------------------------------------------------
@@ -262,15 +259,14 @@ def score_ttd(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def score_labels(spark: SparkSession, sf: str) -> DataFrame:
-    """Two separate sets scored against each other: long documents against good labels."""
-    documents = bindings.load(spark, sf, "documents")
-    labels = bindings.load(spark, sf, "labels")
-    flags = score.set_flags(
-        documents.filter(F.col("n_chars") >= S.LONG_CHARS), labels.filter("quality = 1"),
-        ["doc_id"],
+    """Length as a sign of quality, scored on the labelled documents alone."""
+    documents = bindings.load(spark, sf, "documents").select("doc_id", "lang", "n_chars")
+    labels = bindings.load(spark, sf, "labels").select("doc_id", "quality")
+    flags = documents.join(labels, "doc_id").select(
+        "lang", (F.col("n_chars") >= S.LONG_CHARS).alias("predicted"),
+        (F.col("quality") == 1).alias("actual"),
     )
-    scored = flags.join(documents.select("doc_id", "lang"), "doc_id")
-    return score.set_score(scored, ["lang"])
+    return score.set_score(flags, ["lang"])
 
 
 # --- interference --------------------------------------------------------------------------
@@ -336,70 +332,34 @@ def score_interference(spark: SparkSession, sf: str) -> DataFrame:
 # --- negative controls ---------------------------------------------------------------------
 
 def control_marks(spark: SparkSession, sf: str) -> DataFrame:
-    """Rounds and alerts of each control and job: data without the fault in question.
+    """Rounds and alerts of each control and job: complete rounds, which lack no contribution.
 
-    Counts, pairs and latencies come from one table with a row per (round, worker, chunk).
+    Counts and pairs come from one table with a row per (round, worker, chunk).
     """
     messages = events(spark, sf)
     cells = materialize(
-        messages.groupBy(*WORKER, "chunk_id").agg(
-            F.count(F.lit(1)).alias("n"), F.min("ts_us").alias("first_us"),
-            F.max("ts_us").alias("last_us"),
-        ),
-        "pair-cells",
+        messages.groupBy(*WORKER, "chunk_id").agg(F.count(F.lit(1)).alias("n")), "pair-cells"
     )
     clean = (
         cells.groupBy(*ROUND).agg(F.count(F.lit(1)).alias("pairs"))
         .filter(F.col("pairs") >= S.EVENT_PAIRS).select(*ROUND)
     )
-    # Q2, equal contributions on the expected grid: no gap, so no alert.
-    planned = event_schedule(cells).select(*ROUND)
-    grid = planned.select(
-        *ROUND, F.explode(F.sequence(F.lit(0), F.lit(S.N_WORKERS - 1))).alias("worker_id"),
-        F.lit(S.N_CHUNKS).cast("bigint").alias("cnt"),
-    )
     counts = rounds.worker_counts(cells, weight="n")
-    q2_grid = rounds.gap_rounds(grid, 0, S.CONTROL_GAP)
     q2_clean = rounds.gap_rounds(counts, 0, S.CONTROL_GAP).join(clean, ROUND, "left_semi")
     q3_clean = rounds.tail_gap(messages, S.TAIL_GAP_US).filter("alert").join(
         clean, ROUND, "left_semi"
     )
-    # Q5, activity drawn independently of the latency it is compared with.
-    drawn = uniform(F.lit("background"), F.col("job_id"), F.col("round_id"))
-    uncoupled = (
-        cells.groupBy(*ROUND)
-        .agg((F.max("last_us") - F.min("first_us")).alias("latency_us"))
-        .select(
-            *ROUND, "latency_us",
-            F.inline(F.array(
-                F.struct(
-                    F.lit("staggered_starts").alias("control_type"),
-                    (F.col("round_id") % 4).isin(1, 2).alias("active"),
-                ),
-                F.struct(
-                    F.lit("background_traffic").alias("control_type"),
-                    (drawn < S.BACKGROUND_ACTIVE_PROB).alias("active"),
-                ),
-            )),
-        )
-    )
-    q5 = sliding(uncoupled, ["control_type", "job_id"]).filter(F.col("score") >= S.CORR_THRESHOLD)
 
-    def marks(query: str, control: Column, base: DataFrame, alerts: DataFrame) -> DataFrame:
+    def marks(query: str, alerts: DataFrame) -> DataFrame:
         def mark(df: DataFrame, r: int, a: int) -> DataFrame:
             return df.select(
-                F.lit(query).alias("query"), control.alias("control_type"), "job_id",
-                F.lit(r).alias("r"), F.lit(a).alias("a"),
+                F.lit(query).alias("query"), F.lit("complete_rounds").alias("control_type"),
+                "job_id", F.lit(r).alias("r"), F.lit(a).alias("a"),
             )
 
-        return mark(base, 1, 0).unionByName(mark(alerts, 0, 1))
+        return mark(clean, 1, 0).unionByName(mark(alerts, 0, 1))
 
-    return (
-        marks("Q2", F.lit("expected_grid"), planned, q2_grid)
-        .unionByName(marks("Q2", F.lit("complete_rounds"), clean, q2_clean))
-        .unionByName(marks("Q3", F.lit("complete_rounds"), clean, q3_clean))
-        .unionByName(marks("Q5", F.col("control_type"), uncoupled, q5))
-    )
+    return marks("Q2", q2_clean).unionByName(marks("Q3", q3_clean))
 
 
 def control_rates(marks: DataFrame, by: list[str]) -> DataFrame:
@@ -412,16 +372,12 @@ def control_rates(marks: DataFrame, by: list[str]) -> DataFrame:
 
 
 def negative_controls(spark: SparkSession, sf: str) -> DataFrame:
-    """Matrix of false-positive rates, a row per control and a column per job."""
+    """False-positive rate of each control and job, a row for each that has complete rounds."""
     control = F.concat_ws(" ", "query", "control_type")
     rates = control_rates(
         control_marks(spark, sf).withColumn("control", control), ["control", "job_id"]
     )
-    jobs = list(range(S.N_JOBS))
-    matrix = rates.groupBy("control").pivot("job_id", jobs).agg(F.first("false_positive_rate"))
-    return matrix.select(
-        "control", *[F.col(str(j)).alias(f"job_{j}") for j in jobs]
-    ).fillna(0.0)
+    return rates.select("control", "job_id", "false_positive_rate")
 
 
 QUERIES = named(

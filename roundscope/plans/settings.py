@@ -23,7 +23,6 @@ CORR_THRESHOLD = 0.5
 EXPORT_LATENCY_US = 50_000
 EXPORT_DROP_PROB = 0.25
 EPISODE_ACTIVE_PROB = 0.85
-BACKGROUND_ACTIVE_PROB = 0.35
 
 SKETCH_WIDTH = 512
 SKETCH_DEPTH = 5
