@@ -7,8 +7,11 @@ pair, how many registers are larger on either side gives the likelihood of each
 pairs whose best estimate is hopeless go no further. The rest are compared on their full sets.
 
 Documents with equal shingle sets are one class from the start. Within a bucket each class is
-compared with one centre, and the classes that no link has joined to it yet with all classes of
-other components, so links between components are all found while pairs inside one are not made.
+compared with one centre, the class that meets most others in its buckets: the text that copies were
+made from. Classes that no link has joined yet are compared with the classes of other components,
+but only where a link is possible: a shingle that no other open class has is in no intersection, so
+the rest of the two sets bounds their similarity. Links between components are all found while
+pairs inside one, and pairs that cannot be linked, are not made.
 """
 
 from __future__ import annotations
@@ -240,6 +243,35 @@ def verified(pairs: DataFrame, sets: DataFrame, hundredths: int) -> DataFrame:
     return streamed.mapInArrow(run, "a binary, b binary").distinct()
 
 
+def shared_sizes(sets: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``class, n_shingles, n_shared`` of the wanted classes.
+
+    ``n_shared`` is how many shingles of a class occur in another wanted class too; no intersection
+    of two of them is larger.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for key, shingles in zip(batch.column("key"), batch.column("shingles")):
+                values = np.frombuffer(shingles.as_buffer(), "<i8")
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(values), pa.array(np.full(len(values), key.as_py(), np.int64))],
+                    ["shingle", "key"],
+                )
+
+    key = F.xxhash64("class").alias("key")
+    one_each = sets.join(wanted.select("class"), "class", "left_semi")
+    alone = one_each.select(key, "shingles").mapInArrow(run, "shingle bigint, key bigint").groupBy(
+        "shingle"
+    ).agg(F.min("key").alias("key"), F.max("key").alias("last")).filter("key = last").groupBy(
+        "key"
+    ).agg(F.count(F.lit(1)).alias("alone"))
+    return wanted.withColumn("key", key).join(alone, "key", "left").select(
+        "class", "n_shingles",
+        (F.col("n_shingles") - F.coalesce("alone", F.lit(0))).alias("n_shared"),
+    )
+
+
 def near_duplicates(docs: DataFrame, hundredths: int = 85) -> DataFrame:
     """Per row of ``docs``: ``doc_id, n_shingles, component_id, kept``.
 
@@ -256,14 +288,16 @@ def near_duplicates(docs: DataFrame, hundredths: int = 85) -> DataFrame:
         ), "classes",
     )
     banded = buckets(classes)
-    shared = banded.groupBy("bucket").agg(
-        F.count(F.lit(1)).alias("n"), F.min("class").alias("a")
-    ).filter("n > 1").drop("n")
+    shared = banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     members = materialize(banded.join(shared, "bucket"), "bucket-members")
+    met = members.groupBy("class").agg(F.sum("n").alias("met"))
+    centres = members.join(met, "class").groupBy("bucket").agg(
+        F.max(F.struct("met", "class"))["class"].alias("a")
+    )
     least = hundredths / 100 - SLACK
     first = materialize(estimated(
-        members.filter(F.col("class") != F.col("a")).select("a", F.col("class").alias("b"))
-        .distinct(), classes, least,
+        members.join(centres, "bucket").filter(F.col("class") != F.col("a"))
+        .select("a", F.col("class").alias("b")).distinct(), classes, least,
     ), "candidates")
     wanted = members.select("class").distinct().join(classes.select("class", "doc_id"), "class")
     sets = materialize(full_sets(docs, wanted), "shingle-sets")
@@ -277,11 +311,25 @@ def near_duplicates(docs: DataFrame, hundredths: int = 85) -> DataFrame:
         F.min("root").alias("low"), F.max("root").alias("high")
     ).filter("low != high").select("bucket")
     open_rows = materialize(placed.join(mixed, "bucket"), "open-buckets")
-    x = open_rows.select("bucket", F.col("class").alias("a"), F.col("root").alias("root_a"))
-    y = open_rows.select("bucket", F.col("class").alias("b"), F.col("root").alias("root_b"))
-    across = x.join(y, "bucket").filter(
-        (F.col("a") < F.col("b")) & (F.col("root_a") != F.col("root_b"))
-    ).select("a", "b").distinct().join(first, ["a", "b"], "left_anti")
+    sizes = shared_sizes(
+        sets, open_rows.select("class").distinct().join(classes, "class")
+        .select("class", "n_shingles"),
+    ).filter(100 * F.col("n_shared") >= hundredths * F.col("n_shingles"))
+    possible = materialize(open_rows.join(sizes, "class"), "open-buckets")
+
+    def side(name: str) -> DataFrame:
+        return possible.select("bucket", *[
+            F.col(c).alias(f"{c}_{name}") for c in ("class", "root", "n_shingles", "n_shared")
+        ])
+
+    common = F.least("n_shared_a", "n_shared_b")
+    across = side("a").join(side("b"), "bucket").filter(
+        (F.col("class_a") < F.col("class_b")) & (F.col("root_a") != F.col("root_b"))
+        & (100 * common >= hundredths * (F.col("n_shingles_a") + F.col("n_shingles_b") - common))
+    ).select(F.col("class_a").alias("a"), F.col("class_b").alias("b")).distinct().join(
+        first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")),
+        ["a", "b"], "left_anti",
+    )
     second = materialize(estimated(across, classes, least), "candidates")
     more = verified(second, sets, hundredths)
     joined = materialize(components(links.union(more)), "roots")
