@@ -15,9 +15,12 @@ from roundscope.functions.numeric import half_even, safe_corr
 PAIR = ["job_a", "job_b"]
 
 
-def pair_rounds(left: DataFrame, right: DataFrame, tiles: int = 4) -> DataFrame:
+def pair_rounds(
+    left: DataFrame, right: DataFrame, tiles: int = 4, directed: bool = False
+) -> DataFrame:
     """Rows of ``left`` (job_a) and ``right`` (job_b) of the same round with job_a < job_b.
 
+    ``directed`` keeps both directions of a pair, for metrics that are not the same on both sides.
     Both sides have ``job_id, round_id`` plus their own metric columns. With ``tiles`` = T the
     jobs fall into T groups by hash; every left row goes to the T tiles of its group's row,
     every right row to the T tiles of its group's column, so each pair meets in one tile.
@@ -30,7 +33,7 @@ def pair_rounds(left: DataFrame, right: DataFrame, tiles: int = 4) -> DataFrame:
     b = b.withColumnRenamed("job_id", "job_b")
     return (
         a.join(b, ["round_id", "_row", "_col"])
-        .filter(F.col("job_a") < F.col("job_b"))
+        .filter(F.col("job_a") != F.col("job_b") if directed else F.col("job_a") < F.col("job_b"))
         .drop("_row", "_col")
     )
 

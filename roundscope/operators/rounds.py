@@ -30,6 +30,25 @@ def worker_counts(messages: DataFrame, weight: str | None = None) -> DataFrame:
     return messages.groupBy(*WORKER).agg(cnt.alias("cnt"))
 
 
+def complete_counts(counts: DataFrame, workers: int) -> DataFrame:
+    """Counts of every configured worker in every observed round; a silent worker has 0.
+
+    The zeros are rows that are summed with the counts, so there is no join.
+    """
+    every = F.explode(F.sequence(F.lit(0), F.lit(workers - 1))).alias("worker_id")
+    silent = counts.select(*ROUND).distinct().select(
+        *ROUND, every, F.lit(0).cast("bigint").alias("cnt")
+    )
+    return counts.select(*WORKER, "cnt").unionByName(silent).groupBy(*WORKER).agg(
+        F.sum("cnt").alias("cnt")
+    )
+
+
+def usual(table: DataFrame, value: str) -> DataFrame:
+    """Median of ``value`` for each job, from its distinct values and how often they occur."""
+    return table.groupBy("job_id").agg(F.median(value).alias("usual"))
+
+
 def arrival_rank() -> Column:
     """Orders messages by time; among equal times the earlier arrival ranks higher."""
     return F.struct(F.col("ts_us"), (-F.col("seq")).alias("arrival"))

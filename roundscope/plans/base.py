@@ -55,6 +55,11 @@ def round_metrics(spark: SparkSession, sf: str) -> DataFrame:
     return materialize(metrics, "round-metrics")
 
 
+def usual_counts(metrics: DataFrame) -> DataFrame:
+    """How many messages a round of each job usually has."""
+    return materialize(rounds.usual(metrics, "n"), "usual-counts")
+
+
 def observed_rounds(spark: SparkSession, sf: str) -> DataFrame:
     return materialize(events(spark, sf).select(*ROUND).distinct(), "observed-rounds")
 

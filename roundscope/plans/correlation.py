@@ -9,16 +9,25 @@ from roundscope.functions.hashing import uniform
 from roundscope.operators import correlate
 from roundscope.operators.schedule import episodes
 from roundscope.plans import settings as S
-from roundscope.plans.base import PAIR, ROUND, named, round_metrics, round_start_us
+from roundscope.plans.base import (
+    PAIR, ROUND, named, round_metrics, round_start_us, usual_counts,
+)
 from roundscope.sources import bindings
 
 
-def paired_metrics(metrics: DataFrame) -> DataFrame:
-    """Latency of job_a beside the activity of job_b, with the round end as detection time."""
+def paired_metrics(metrics: DataFrame, usual: DataFrame) -> DataFrame:
+    """Latency of job_a beside the activity of job_b, with the round end as detection time.
+
+    A job is active in a round in which it sends more than it usually does. Latency and activity
+    are different metrics, so each pair of jobs stands in both directions.
+    """
+    activity = metrics.join(usual, "job_id").select(
+        *ROUND, (F.col("n") > F.col("usual")).alias("active")
+    )
     return correlate.pair_rounds(
-        metrics.select(*ROUND, "latency_us"), metrics.select(*ROUND, "n")
+        metrics.select(*ROUND, "latency_us"), activity, directed=True
     ).select(
-        *PAIR, "round_id", "latency_us", (F.col("n") > S.ACTIVE_ABOVE).alias("active"),
+        *PAIR, "round_id", "latency_us", "active",
         (round_start_us() + F.lit(S.DAY_US)).alias("detected_us"),
     )
 
@@ -32,7 +41,7 @@ def sliding(rows: DataFrame, by: list[str] | None = None) -> DataFrame:
 
 def alerts(metrics: DataFrame) -> DataFrame:
     return correlate.correlation_alerts(
-        sliding(paired_metrics(metrics)), S.CORR_THRESHOLD, S.EXPORT_LATENCY_US
+        sliding(paired_metrics(metrics, usual_counts(metrics))), S.CORR_THRESHOLD, S.EXPORT_LATENCY_US
     )
 
 
@@ -41,13 +50,16 @@ def q5_pairwise_corr(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def q5_sliding_corr(spark: SparkSession, sf: str) -> DataFrame:
-    return sliding(paired_metrics(round_metrics(spark, sf))).select(*PAIR, "round_id", "score")
+    metrics = round_metrics(spark, sf)
+    pairs = paired_metrics(metrics, usual_counts(metrics))
+    return sliding(pairs).select(*PAIR, "round_id", "score")
 
 
 def q5_sliding_corr_lossy(spark: SparkSession, sf: str) -> DataFrame:
     """Some per-round metrics never reach the correlator; windows close over the rest."""
     draw = uniform(F.lit("export"), F.col("job_a"), F.col("job_b"), F.col("round_id"))
-    pairs = paired_metrics(round_metrics(spark, sf)).filter(draw >= S.EXPORT_DROP_PROB)
+    metrics = round_metrics(spark, sf)
+    pairs = paired_metrics(metrics, usual_counts(metrics)).filter(draw >= S.EXPORT_DROP_PROB)
     return sliding(pairs).select(*PAIR, "round_id", "score")
 
 

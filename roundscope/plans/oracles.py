@@ -73,6 +73,16 @@ PL = f"""pl AS (
          l_orderkey * 8 + l_linenumber AS seq
   FROM lineitem)"""
 CNT = f"cnt AS (SELECT {WORKER}, count(*) AS cnt FROM pk GROUP BY ALL)"
+def all_counts(messages: str, workers: int) -> str:
+    return f"""c AS (
+  SELECT r.job_id, r.round_id, CAST(w AS INTEGER) AS worker_id, count(m.seq) AS cnt
+  FROM (SELECT DISTINCT job_id, round_id, unnest(range({workers})) AS w FROM {messages}) r
+  LEFT JOIN {messages} m ON m.job_id = r.job_id AND m.round_id = r.round_id AND m.worker_id = r.w
+  GROUP BY ALL)"""
+
+
+#: Workers below the median of their job; the lowest count of a round first.
+BELOW = "below AS (SELECT * FROM c JOIN (SELECT job_id, median(cnt) AS usual FROM c GROUP BY 1) USING (job_id) WHERE cnt < usual)"
 JOBS = """jobs AS (SELECT job_id, CAST(max(round_id) + 3 AS INTEGER) AS n_rounds FROM pk GROUP BY 1)"""
 SCHED = f"""sched AS (
   SELECT job_id, CAST(r AS INTEGER) AS round_id,
@@ -137,9 +147,10 @@ FLAT_CORR = (
 )
 PAIRS = f"""pairs AS (
   SELECT a.job_id AS job_a, b.job_id AS job_b, a.round_id,
-         a.latency_us / {d(1e6)} AS x, CASE WHEN b.n > {S.ACTIVE_ABOVE} THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS y,
+         a.latency_us / {d(1e6)} AS x, CASE WHEN b.n > u.usual THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS y,
          {EVENT_START_US} + (a.round_id + 1) * {DAY_US} AS detected_us
-  FROM metrics a JOIN metrics b ON a.round_id = b.round_id AND a.job_id < b.job_id)"""
+  FROM metrics a JOIN metrics b ON a.round_id = b.round_id AND a.job_id <> b.job_id
+  JOIN (SELECT job_id, median(n) AS usual FROM metrics GROUP BY 1) u ON u.job_id = b.job_id)"""
 
 
 def sliding(source: str, keys: str = "job_a, job_b", extra: str = ", detected_us") -> str:
@@ -677,12 +688,12 @@ PK_SELECT = "SELECT ts_us, job_id, round_id, worker_id, chunk_id, size, seq FROM
 
 ORACLES: dict[str, str] = {
     "scan_events": with_(PK) + PK_SELECT,
-    "results_csv_roundtrip": with_(PK, CNT) + f"""
+    "results_csv_roundtrip": with_(PK, all_counts("pk", S.N_WORKERS), BELOW) + f"""
 SELECT 'Q1' AS query, job_id, round_id, max(ts_us) - min(ts_us) AS latency_us,
        NULL::INTEGER AS worker_id, NULL::BIGINT AS cnt FROM pk GROUP BY job_id, round_id
 UNION ALL
 SELECT 'Q2', job_id, round_id, NULL, arg_min(worker_id, cnt * 1000 + worker_id), min(cnt)
-FROM cnt WHERE cnt < {S.EXPECTED_WORKER} GROUP BY job_id, round_id""",
+FROM below GROUP BY job_id, round_id""",
     "merge_ordered": with_(PK, PL) + """
 SELECT ts_us, job_id, round_id, worker_id, chunk_id, seq, 0 AS stream_id FROM pk
 UNION ALL SELECT ts_us, job_id, round_id, worker_id, chunk_id, seq, 1 FROM pl
@@ -710,9 +721,9 @@ SELECT event_id, TRY_CAST(txt AS DOUBLE) AS num, lower(flag) = 'false' AS is_fal
 SELECT s.job_id, s.round_id, s.end_us + {S.TIMEOUT_US} AS detected_us, coalesce(m.n, 0) AS observed, s.expected,
        CASE WHEN coalesce(m.n, 0) = 0 THEN 'missing-round' ELSE 'missing-pairs' END AS reason
 FROM sched s LEFT JOIN metrics m USING (job_id, round_id) WHERE coalesce(m.n, 0) < s.expected""",
-    "q2_lossy_worker": with_(PK, CNT) + f"""
+    "q2_lossy_worker": with_(PK, all_counts("pk", S.N_WORKERS), BELOW) + f"""
 SELECT job_id, round_id, arg_min(worker_id, cnt * 1000 + worker_id) AS worker_id, min(cnt) AS cnt
-FROM cnt WHERE cnt < {S.EXPECTED_WORKER} GROUP BY job_id, round_id""",
+FROM below GROUP BY job_id, round_id""",
     "q5_pairwise_corr": with_(PK, METRICS, """p AS (
   SELECT a.job_id AS job_a, b.job_id AS job_b, a.latency_us::DOUBLE AS x, b.latency_us::DOUBLE AS y
   FROM metrics a JOIN metrics b ON a.round_id = b.round_id AND a.job_id < b.job_id)""") + f"""
@@ -792,7 +803,7 @@ FROM pl GROUP BY job_id, round_id""",
 SELECT conv_id AS round_id, count(DISTINCT turn) AS turns, max(turn) + 1 AS expected,
        count(DISTINCT turn) < max(turn) + 1 AS incomplete
 FROM conversations GROUP BY conv_id""",
-    "q2_gap_rounds": with_(PL, f"c AS (SELECT {WORKER}, count(*) AS cnt FROM pl GROUP BY ALL)") + """
+    "q2_gap_rounds": with_(PL, all_counts("pl", S.N_LINE_WORKERS)) + """
 SELECT job_id, round_id, max(cnt) AS max_cnt, min(cnt) AS min_cnt FROM c GROUP BY job_id, round_id
 HAVING max(cnt) - min(cnt) >= 2 AND arg_min(worker_id, cnt * 1000 + worker_id) = 7""",
     "summary_ci95": _summary(),

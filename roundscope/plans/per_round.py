@@ -11,7 +11,7 @@ from roundscope.operators import inactivity, mask, rounds, score
 from roundscope.operators.schedule import episodes, in_episode
 from roundscope.plans import settings as S
 from roundscope.plans.base import (
-    ROUND, WORKER, event_buckets, event_counts, event_schedule, events, every, every_seed, lines, named,
+    ROUND, WORKER, event_buckets, event_schedule, events, every, every_seed, lines, named,
     observed_rounds,
 )
 from roundscope.session import materialize, work_path
@@ -136,13 +136,17 @@ def q2_worker_counts(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def q2_lossy_worker(spark: SparkSession, sf: str) -> DataFrame:
-    counts = event_counts(spark, sf)
-    jobs = bindings.event_jobs(counts).withColumn("expected_chunks", F.lit(S.EXPECTED_WORKER))
+    """Silent workers count as well; a worker falls short of what its job's workers usually send."""
+    counts = materialize(
+        rounds.complete_counts(rounds.worker_counts(events(spark, sf)), S.N_WORKERS), "all-counts"
+    )
+    jobs = rounds.usual(counts, "cnt").withColumnRenamed("usual", "expected_chunks")
     return rounds.lossy_worker(counts, jobs)
 
 
 def q2_gap_rounds(spark: SparkSession, sf: str) -> DataFrame:
-    return rounds.gap_rounds(rounds.worker_counts(lines(spark, sf)), worker=7, min_gap=2)
+    counts = rounds.complete_counts(rounds.worker_counts(lines(spark, sf)), S.N_LINE_WORKERS)
+    return rounds.gap_rounds(counts, worker=7, min_gap=2)
 
 
 def q3_straggler(spark: SparkSession, sf: str) -> DataFrame:

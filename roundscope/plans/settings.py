@@ -13,11 +13,11 @@ EXPECTED_WORKER = 8
 EVENT_PAIRS = 16
 LINE_PAIRS = 112
 N_JOBS, N_ROUNDS, N_WORKERS, N_CHUNKS = 5, 30, 8, 2
+N_LINE_WORKERS = 16
 
 TIMEOUT_US = 2 * HOUR_US
 SWEEP_TIMEOUTS_US = (HOUR_US // 2, HOUR_US, 2 * HOUR_US, 3 * HOUR_US)
 
-ACTIVE_ABOVE = 66
 CORR_WINDOW = 8
 CORR_THRESHOLD = 0.5
 EXPORT_LATENCY_US = 50_000

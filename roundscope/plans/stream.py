@@ -8,7 +8,9 @@ from pyspark.sql import types as T
 
 from roundscope.operators import correlate
 from roundscope.plans import settings as S
-from roundscope.plans.base import PAIR, ROUND, WORKER, event_schedule, events, named
+from roundscope.plans.base import (
+    PAIR, ROUND, WORKER, event_schedule, events, named, round_metrics, usual_counts,
+)
 from roundscope.plans.correlation import paired_metrics, sliding
 from roundscope.session import materialize
 from roundscope.sources import bindings
@@ -102,15 +104,19 @@ def stream_inactivity_alerts(spark: SparkSession, sf: str) -> DataFrame:
 def stream_corr_alerts(
     spark: SparkSession, sf: str, max_files: int | None = None
 ) -> DataFrame:
-    """Rounds close by watermark; each batch scores its new rounds against the last ones kept."""
+    """Rounds close by watermark; each batch scores its new rounds against the last ones kept.
+
+    What a job usually sends is known beforehand, from the stored table.
+    """
     replay, messages = replay_events(spark, sf, max_files)
+    usual = usual_counts(round_metrics(spark, sf))
 
     def score(rows: DataFrame) -> DataFrame:
         scores = sliding(rows)
         return correlate.correlation_alerts(scores, S.CORR_THRESHOLD, S.EXPORT_LATENCY_US)
 
     step = monitors.SlidingCorrelator(
-        replay.root, paired_metrics, score, S.CORR_WINDOW
+        replay.root, lambda closed: paired_metrics(closed, usual), score, S.CORR_WINDOW
     )
     replay.for_each_batch(monitors.round_metrics(messages, LENGTH), step, "append")
     return spark.read.parquet(step.alerts).select(

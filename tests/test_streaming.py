@@ -46,13 +46,14 @@ def test_first_rows_over_many_batches(spark, many_files):
 def test_repeating_a_batch_changes_nothing(spark, tmp_path):
     """A correlator step that runs again after a failure overwrites its own tables only."""
     metrics = base.round_metrics(spark, SF_DIR)
+    usual = base.usual_counts(metrics)
 
     def score(rows):
         scores = correlation.sliding(rows)
         return scores.filter(F.col("score") >= 0.5)
 
     step = stream.monitors.SlidingCorrelator(
-        str(tmp_path), correlation.paired_metrics, score, 8
+        str(tmp_path), lambda closed: correlation.paired_metrics(closed, usual), score, 8
     )
     bounds = [(0, 4), (4, 5), (5, 18), (18, 30)]
     for batch_id, (start, end) in enumerate(bounds):
@@ -60,5 +61,5 @@ def test_repeating_a_batch_changes_nothing(spark, tmp_path):
         step(part, batch_id)
         step(part, batch_id)
     got = spark.read.parquet(step.alerts).select("job_a", "job_b", "round_id", "score")
-    whole = correlation.sliding(correlation.paired_metrics(metrics)).filter("score >= 0.5")
+    whole = correlation.sliding(correlation.paired_metrics(metrics, usual)).filter("score >= 0.5")
     assert rows(got) == rows(whole.select("job_a", "job_b", "round_id", "score"))
