@@ -11,6 +11,10 @@ from roundscope.llm import (
 )
 
 
+#: Longest n-gram that op3_backoff counts: a word is scored by up to four words of history.
+BACKOFF_ORDER = 5
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -51,7 +55,7 @@ def op2_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return backoff.score(table(spark, sf_dir, "documents"))
+    return backoff.score(table(spark, sf_dir, "documents"), order=BACKOFF_ORDER)
 
 
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
