@@ -17,6 +17,8 @@ from roundscope.llm.queries import table
 from roundscope.session import materialize
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
+#: Near-duplicates share this many hundredths of their five-word shingles.
+NEAR_HUNDREDTHS = 80
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,7 +28,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the document of the least doc_id of each group of near-duplicates."""
-    return setsketch.representatives(docs)
+    return setsketch.representatives(docs, NEAR_HUNDREDTHS)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

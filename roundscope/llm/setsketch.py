@@ -29,7 +29,10 @@ from roundscope.llm.components import components
 from roundscope.session import materialize
 
 SHINGLE = 5
-BANDS, ROWS = 20, 4
+ROWS = 4
+#: Bands down to a similarity of 0.85, and below it (two texts at 0.8 share no band about once in
+#: 2.6 million pairs, as at 0.85 with the fewer bands).
+BANDS, MORE_BANDS = 20, 28
 REGISTERS = BANDS * ROWS
 #: Base of the logarithmic scale and largest register.
 SCALE, TOP = 1.02, 4095
@@ -40,8 +43,16 @@ SLACK = 0.25
 GROUP = 500
 
 _RANDOM = np.random.Generator(np.random.PCG64(7_2024))
-_FLIP = _RANDOM.integers(0, 2**64, REGISTERS, dtype=np.uint64)
-_SPREAD = _RANDOM.integers(0, 2**63, REGISTERS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_DRAWN = [
+    (_RANDOM.integers(0, 2**64, n, dtype=np.uint64),
+     _RANDOM.integers(0, 2**63, n, dtype=np.uint64) * np.uint64(2) + np.uint64(1))
+    for n in (REGISTERS, (MORE_BANDS - BANDS) * ROWS)
+]
+_FLIP, _SPREAD = (np.concatenate(part) for part in zip(*_DRAWN))
+
+
+def bands_for(hundredths: int) -> int:
+    return BANDS if hundredths >= 85 else MORE_BANDS
 
 
 def shingle_sets(column: pa.Array) -> list[np.ndarray]:
@@ -65,17 +76,17 @@ def shingle_sets(column: pa.Array) -> list[np.ndarray]:
     return out
 
 
-def sketch(sets: list[np.ndarray]) -> np.ndarray:
-    """Registers of each set, a row for each; those of an empty set are 0."""
-    registers = np.zeros((len(sets), REGISTERS), np.uint16)
+def sketch(sets: list[np.ndarray], n: int = REGISTERS) -> np.ndarray:
+    """``n`` registers of each set, a row for each; those of an empty set are 0."""
+    registers = np.zeros((len(sets), n), np.uint16)
     filled = np.array([i for i, s in enumerate(sets) if len(s)], np.int64)
     if not len(filled):
         return registers
     values = np.concatenate(sets)
     sizes = np.array([len(sets[i]) for i in filled])
     starts = np.cumsum(sizes) - sizes
-    least = np.empty((len(filled), REGISTERS), np.uint64)
-    for i in range(REGISTERS):
+    least = np.empty((len(filled), n), np.uint64)
+    for i in range(n):
         spread = values ^ _FLIP[i]
         spread *= _SPREAD[i]
         np.minimum.reduceat(spread, starts, out=least[:, i])
@@ -93,13 +104,13 @@ def digest(values: np.ndarray) -> bytes:
 SKETCH_SCHEMA = "doc_id bigint, n_shingles bigint, class binary, registers binary"
 
 
-def sketches(docs: DataFrame) -> DataFrame:
+def sketches(docs: DataFrame, bands: int = BANDS) -> DataFrame:
     """Per document: size of its shingle set, a digest of the set, and its registers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in slices(batches, "text"):
             sets = shingle_sets(piece.column("text"))
-            registers = sketch(sets)
+            registers = sketch(sets, bands * ROWS)
             yield pa.RecordBatch.from_arrays(
                 [piece.column("doc_id").cast(pa.int64()),
                  pa.array([len(s) for s in sets], pa.int64()),
@@ -111,12 +122,12 @@ def sketches(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, SKETCH_SCHEMA)
 
 
-def buckets(classes: DataFrame) -> DataFrame:
+def buckets(classes: DataFrame, n_bands: int = BANDS) -> DataFrame:
     """``bucket, class`` for each band of a class's registers."""
     size = 2 * ROWS
     bands = F.array(*[
         F.xxhash64(F.lit(band), F.substring("registers", band * size + 1, size))
-        for band in range(BANDS)
+        for band in range(n_bands)
     ])
     return classes.select(F.explode(bands).alias("bucket"), "class")
 
@@ -126,14 +137,16 @@ def _equal_share(x: np.ndarray) -> np.ndarray:
     return -np.log1p(-x * (SCALE - 1) / SCALE) / np.log(SCALE)
 
 
-def likeliest(above: np.ndarray, below: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) -> np.ndarray:
-    """Similarity of the greatest likelihood, given in how many registers a and b are larger.
+def likeliest(
+    above: np.ndarray, below: np.ndarray, n_a: np.ndarray, n_b: np.ndarray, n: int = REGISTERS
+) -> np.ndarray:
+    """Similarity of the greatest likelihood, given in how many of ``n`` registers a and b are larger.
 
     ``n_a`` and ``n_b`` are the sizes of the sets. The logarithm of the likelihood has one top; it
     is closed in on by thirds.
     """
     share_a, share_b = n_a / (n_a + n_b), n_b / (n_a + n_b)
-    equal = REGISTERS - above - below
+    equal = n - above - below
 
     def value(j: np.ndarray) -> np.ndarray:
         over = np.clip(_equal_share(share_a - share_b * j), 1e-12, 1)
@@ -166,13 +179,13 @@ def estimated(pairs: DataFrame, classes: DataFrame, least: float) -> DataFrame:
 
             def registers(name: str) -> np.ndarray:
                 joined = b"".join(batch.column(name).to_pylist())
-                return np.frombuffer(joined, "<u2").reshape(-1, REGISTERS)
+                return np.frombuffer(joined, "<u2").reshape(batch.num_rows, -1)
 
             r_a, r_b = registers("r_a"), registers("r_b")
             n_a, n_b = (
                 batch.column(c).to_numpy(zero_copy_only=False).astype(float) for c in ("n_a", "n_b")
             )
-            best = likeliest((r_a > r_b).sum(1), (r_a < r_b).sum(1), n_a, n_b)
+            best = likeliest((r_a > r_b).sum(1), (r_a < r_b).sum(1), n_a, n_b, r_a.shape[1])
             yield batch.select(["a", "b"]).filter(pa.array(best >= least))
 
     return pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(run, "a binary, b binary")
@@ -280,14 +293,15 @@ def near_duplicates(docs: DataFrame, hundredths: int = 85) -> DataFrame:
     have no shingles and stay alone. Rows that share a doc_id are told apart by their text; equal
     rows get equal results. Other columns are not looked at; an empty table gives an empty result.
     """
-    rows = materialize(sketches(docs), "sketches")
+    bands = bands_for(hundredths)
+    rows = materialize(sketches(docs, bands), "sketches")
     classes = materialize(
         rows.filter("n_shingles > 0").groupBy("class").agg(
             F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles"),
             F.first("registers").alias("registers"),
         ), "classes",
     )
-    banded = buckets(classes)
+    banded = buckets(classes, bands)
     shared = banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     members = materialize(banded.join(shared, "bucket"), "bucket-members")
     met = members.groupBy("class").agg(F.sum("n").alias("met"))

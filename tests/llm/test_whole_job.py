@@ -5,10 +5,13 @@ from __future__ import annotations
 import math
 from collections import Counter
 
+import numpy as np
 import plain
+import pyarrow as pa
 import pytest
 
-from roundscope.llm import queries
+import corpus_pipeline
+from roundscope.llm import queries, setsketch
 
 DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 
@@ -53,3 +56,28 @@ def test_backoff_query_scores_by_four_words_of_history(spark, tmp_path):
     for row, (short, total) in zip(found, backoff_scores(texts, 5), strict=True):
         assert row["n_backoff"] == short
         assert row["log_score"] == pytest.approx(total, abs=1e-6)
+
+
+def test_pipeline_links_near_copies_from_a_similarity_of_80(spark):
+    base = [f"w{i}" for i in range(100)]
+
+    def edited(n):
+        """A copy whose last words are others, so that 96 - n shingles of five words are shared."""
+        return " ".join(base[: 100 - n] + [f"x{n}y{i}" for i in range(n)])
+
+    def similarity(n):
+        a, b = (setsketch.shingle_sets(pa.array([t]))[0] for t in (" ".join(base), edited(n)))
+        return len(np.intersect1d(a, b)) / len(np.union1d(a, b))
+
+    assert 0.80 <= similarity(9) < 0.85 and similarity(12) < 0.80
+    docs = documents(spark, [" ".join(base), edited(9), "another text of more than five words"])
+    left = corpus_pipeline.near_dedup(spark, docs, "")
+    assert sorted(r["doc_id"] for r in left.collect()) == [0, 2]
+    docs = documents(spark, [" ".join(base), edited(12)])
+    assert corpus_pipeline.near_dedup(spark, docs, "").count() == 2
+
+
+def test_bands_suffice_at_the_threshold_of_the_pipeline():
+    bands = setsketch.bands_for(corpus_pipeline.NEAR_HUNDREDTHS)
+    assert (1 - 0.8**setsketch.ROWS) ** bands < 1e-6
+    assert setsketch.bands_for(85) == setsketch.BANDS == 20
