@@ -1,12 +1,14 @@
 """Co-training of a text classifier and a page-metadata classifier for document quality.
 
 Both see the same documents through different features: the text view which words occur, the
-metadata view source, language and length. In each round each classifier labels the unlabelled pool
-where it is confident, and the other one trains on these labels too. The scores of both are
-calibrated on labelled documents that neither was trained on, and combined as independent evidence.
-
-The classifiers are fitted on bounded samples (``LABELLED`` and ``POOL`` documents, chosen by the
-hash of their id); every document is scored, with broadcast weights of fixed size.
+metadata view source, language and length. In each round each classifier labels all documents
+without a sampled label where it is confident, and the other one trains on these labels too. The
+scores of both are calibrated on labelled documents that neither was trained on, and combined as
+independent evidence.
+
+Only the labelled sample is bounded (``LABELLED`` ids, chosen by hash, one row each). All other
+documents are scored in every round by a Spark job with broadcast weights of fixed size; what comes
+back of their pseudo-labels are sums per feature, never rows.
 """
 
 from __future__ import annotations
@@ -19,16 +21,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from roundscope.llm.blocks import ALNUM, Block, mix, slices
+from roundscope.session import materialize
 
-#: Documents of the samples that the classifiers are fitted on.
-LABELLED, POOL = 12_000, 6_000
+#: Labelled documents that are gathered; all documents take part without their labels.
+LABELLED = 12_000
 #: Of this many labelled documents one is held out for calibration.
 HELD_OUT = 5
 TEXT_FEATURES, META_FEATURES = 1 << 16, 1 << 10
 ROUNDS = 3
-#: A pseudo-label needs this probability, and a round gives at most so many of each class.
-CONFIDENT, EXCHANGED = 0.98, 400
+#: A pseudo-label needs this probability, and counts as so much of a label; all of a round together
+#: count as much as the labelled documents at most.
+CONFIDENT, PSEUDO = 0.98, 0.5
 STEPS, RATE, RIDGE = 300, 0.1, 1e-5
+#: Steps of a round, each over all pseudo-labels, that go on from the weights of the round before.
+TAUGHT_STEPS = 20
+#: Residuals are summed as whole numbers of this unit, so that sums do not depend on their order.
+UNIT = 2.0**-20
 #: A feature counts if its share differs between the classes by so many standard errors.
 LEAST_Z = 4.0
 
@@ -108,6 +116,13 @@ def telling(rows: Rows, label: np.ndarray, weight: np.ndarray) -> np.ndarray:
     n_good, n_bad = max(good.sum(), 1.0), max(bad.sum(), 1.0)
     in_good = np.bincount(rows.feature, good[rows.row], rows.width)
     in_bad = np.bincount(rows.feature, bad[rows.row], rows.width)
+    return differing(in_good, in_bad, n_good, n_bad)
+
+
+def differing(
+    in_good: np.ndarray, in_bad: np.ndarray, n_good: float, n_bad: float
+) -> np.ndarray:
+    """:func:`telling` by the sums of each class."""
     share = (in_good + in_bad + 0.5) / (n_good + n_bad + 1)
     error = np.sqrt(share * (1 - share).clip(1e-9) * (1 / n_good + 1 / n_bad))
     return np.abs(in_good / n_good - in_bad / n_bad) >= LEAST_Z * error
@@ -135,32 +150,112 @@ def fit_logistic(rows: Rows, label: np.ndarray, weight: np.ndarray) -> np.ndarra
     return weights
 
 
-def _confident(p: np.ndarray, free: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Places in the pool that are surely good and surely bad, the surest first."""
-    order = np.argsort(-p, kind="stable")
-    good = [i for i in order if free[i] and p[i] >= CONFIDENT][:EXCHANGED]
-    bad = [i for i in order[::-1] if free[i] and p[i] <= 1 - CONFIDENT][:EXCHANGED]
-    return np.array(good, int), np.array(bad, int)
-
-
-def co_train(views: list[Rows], label: np.ndarray, known: np.ndarray) -> list[np.ndarray]:
-    """Weights of one classifier per view; ``known`` marks the labelled rows, the rest is pool."""
-    labels = [np.where(known, label, 0.0) for _ in views]
-    used = [known.astype(float) for _ in views]
-    weights = [fit_logistic(v, y, u) for v, y, u in zip(views, labels, used)]
+class Pool:
+    """Features of all documents without a sampled label, stored by blocks of documents."""
+
+    def __init__(self, docs: DataFrame):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for piece in slices(batches, "text"):
+                text, feature = text_features(piece.column("text"))
+                count = np.bincount(text, minlength=piece.num_rows)
+                packed = (count.astype("<u4"), feature.astype("<u2"),
+                          meta_features(piece)[1].astype("<u2"))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([x.tobytes()], pa.binary()) for x in packed],
+                    ["counts", "words", "meta"],
+                )
+
+        schema = "counts binary, words binary, meta binary"
+        self.blocks = materialize(docs.mapInArrow(run, schema), "pool-features")
+
+    def sums(
+        self, teachers: list[np.ndarray], students: list[np.ndarray | None] | None = None
+    ) -> list[np.ndarray]:
+        """Sums over all documents of which the other view is sure, for each view as a student.
+
+        Without students: a row for surely bad and one for surely good documents, with how many have
+        each feature, and their number last. With them: one row, the gradient of the students' loss.
+        """
+        shared = self.blocks.sparkSession.sparkContext.broadcast((teachers, students))
+        widths = (TEXT_FEATURES, META_FEATURES)
+        rows = 2 if students is None else 1
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            teachers, students = shared.value
+            total = [np.zeros((rows, width + 1)) for width in widths]
+            for batch in batches:
+                for counts, *features in zip(*(c.to_pylist() for c in batch.columns)):
+                    counts = np.frombuffer(counts, "<u4")
+                    n = len(counts)
+                    words, meta = (np.frombuffer(f, "<u2").astype(np.int64) for f in features)
+                    number = np.arange(n)
+                    views = [Rows(np.repeat(number, counts), words, n, TEXT_FEATURES),
+                             Rows(np.repeat(number, 4), meta, n, META_FEATURES)]
+                    for student, view in enumerate(views):
+                        p = _sigmoid(views[1 - student].scores(teachers[1 - student]))
+                        good, bad = p >= CONFIDENT, p <= 1 - CONFIDENT
+                        if students is None:
+                            for row, sure in enumerate((bad, good)):
+                                total[student][row] += view.gradient(sure.astype(float))
+                        elif students[student] is not None:
+                            residual = _sigmoid(view.scores(students[student])) - good
+                            whole = np.rint(np.where(good | bad, residual, 0.0) / UNIT)
+                            total[student][0] += view.gradient(whole)
+            for student, sums in enumerate(total):
+                row, feature = np.nonzero(sums)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(len(row), student)), pa.array(row), pa.array(feature),
+                     pa.array(sums[row, feature].astype(np.int64))],
+                    ["student", "row", "feature", "value"],
+                )
+
+        schema = "student bigint, row bigint, feature bigint, value bigint"
+        found = self.blocks.mapInArrow(run, schema).groupBy("student", "row", "feature").agg(
+            F.sum("value").alias("value")
+        ).toArrow()
+        shared.destroy()
+        out = [np.zeros((rows, width + 1)) for width in widths]
+        student, row, feature, value = (c.to_numpy() for c in found.columns)
+        for i, sums in enumerate(out):
+            own = student == i
+            sums[row[own], feature[own]] = value[own]
+        return out if students is None else [sums * UNIT for sums in out]
+
+
+def co_train(
+    views: list[Rows], label: np.ndarray, known: np.ndarray, pool: Pool
+) -> list[np.ndarray]:
+    """Weights of one classifier per view; ``known`` marks the labelled rows to train on."""
+    label, weight = np.where(known, label, 0.0), known.astype(float)
+    weights = [fit_logistic(v, label, weight) for v in views]
     for _ in range(ROUNDS):
-        taught = False
-        for teacher, student in ((0, 1), (1, 0)):
-            p = _sigmoid(views[teacher].scores(weights[teacher]))
-            good, bad = _confident(p, (used[student] == 0) & ~known)
-            if not len(good) or not len(bad):
-                continue  # A teacher that is sure of one class alone would only shift the share.
-            labels[student][good], labels[student][bad] = 1.0, 0.0
-            used[student][good] = used[student][bad] = 0.5
-            taught = True
+        counts = pool.sums(weights)
+        # A teacher that is sure of one class alone would only shift the share.
+        taught = [i for i in (0, 1) if counts[i][:, -1].min() > 0]
         if not taught:
             break
-        weights = [fit_logistic(v, y, u) for v, y, u in zip(views, labels, used)]
+        each, kept = {}, {}
+        for i in taught:
+            each[i] = min(PSEUDO, weight.sum() / counts[i][:, -1].sum())
+            bad, good = each[i] * counts[i] + np.stack(
+                [views[i].gradient(weight * (1 - label)), views[i].gradient(weight * label)])
+            kept[i] = np.append(
+                differing(good[:-1], bad[:-1], max(good[-1], 1.0), max(bad[-1], 1.0)), True)
+        now = [weights[i] * kept[i] if i in taught else None for i in (0, 1)]
+        moments = {i: (np.zeros_like(weights[i]), np.zeros_like(weights[i])) for i in taught}
+        for step in range(1, TAUGHT_STEPS + 1):
+            slopes = pool.sums(weights, now)
+            for i in taught:
+                own = views[i].gradient(weight * (_sigmoid(views[i].scores(now[i])) - label))
+                all_weight = weight.sum() + each[i] * counts[i][:, -1].sum()
+                slope = (own + each[i] * slopes[i][0]) / all_weight + RIDGE * now[i]
+                slope *= kept[i]
+                mean, square = moments[i]
+                mean, square = 0.9 * mean + 0.1 * slope, 0.999 * square + 0.001 * slope**2
+                moments[i] = mean, square
+                now[i] = now[i] - RATE * (mean / (1 - 0.9**step)) / (
+                    np.sqrt(square / (1 - 0.999**step)) + 1e-8)
+        weights = [w if n is None else n for w, n in zip(weights, now)]
     return weights
 
 
@@ -204,7 +299,7 @@ def _inputs(docs: DataFrame) -> DataFrame:
 
 
 def train(docs: DataFrame, labels: DataFrame) -> Model:
-    """Fit on the samples. A document is good if its quality is 1 and it is not toxic.
+    """Fit on the labelled sample and all other documents. A document is good if its quality is 1 and it is not toxic.
 
     Labels that repeat a document count as the worst of them; labels without a document and null
     labels are left out. Without labels of both classes every document scores the share of good
@@ -215,12 +310,10 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
         good.cast("int").alias("good")
     )
     order = F.xxhash64("doc_id", F.lit("sample"))
-    # Both samples are at most a constant number of ids, so they can be sent to every task.
-    labelled = known.orderBy(order, "doc_id").limit(LABELLED)
-    pool = docs.filter("doc_id is not null").select("doc_id", F.lit(None).cast("int").alias("good"))
-    pool = pool.orderBy(order, "doc_id").limit(LABELLED + POOL)
-    ids = labelled.union(pool).groupBy("doc_id").agg(F.max("good").alias("good"))
-    rows = _inputs(docs).join(F.broadcast(ids), "doc_id")
+    # At most a constant number of ids, so they can be sent to every task.
+    labelled = materialize(known.orderBy(order, "doc_id").limit(LABELLED), "labelled")
+    inputs = _inputs(docs)
+    rows = inputs.join(F.broadcast(labelled), "doc_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in slices(batches, "text"):
@@ -236,24 +329,26 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
             )
 
     schema = "doc_id bigint, good int, words binary, meta binary"
-    sample = sorted(
-        rows.mapInArrow(run, schema).collect(), key=lambda r: (r["doc_id"], r["words"], r["meta"])
-    )
+    # Of the rows that share a doc_id one is taken, so that the bound holds for rows too.
+    one_each = rows.mapInArrow(run, schema).groupBy("doc_id").agg(
+        F.min(F.struct("words", "meta", "good")).alias("row")
+    ).select("doc_id", "row.*")
+    sample = sorted(one_each.collect(), key=lambda r: r["doc_id"])
     views = [
         Rows.of([np.frombuffer(r[c], "<u2") for r in sample], width)
         for c, width in (("words", TEXT_FEATURES), ("meta", META_FEATURES))
     ]
     ids = np.array([r["doc_id"] for r in sample], np.int64)
-    label = np.array([-1 if r["good"] is None else r["good"] for r in sample], float)
+    label = np.array([r["good"] for r in sample], float)
     turn = mix(ids.view(np.uint64)) % np.uint64(HELD_OUT) if len(ids) else ids
-    has = label >= 0
-    held = has & (turn == 0)
-    share = float((label[has].sum() + 1) / (has.sum() + 2))
-    both = len(set(label[has & ~held].tolist())) == 2
+    held = turn == 0
+    share = float((label.sum() + 1) / (len(label) + 2))
+    both = len(set(label[~held].tolist())) == 2
     if not both:
         empty = [np.zeros(v.width + 1) for v in views]
         return Model(empty, [(0.0, np.log(share / (1 - share)))] * 2, share)
-    weights = co_train(views, label, has & ~held)
+    pool = Pool(inputs.join(F.broadcast(labelled), "doc_id", "left_anti"))
+    weights = co_train(views, label, ~held, pool)
     scale = [calibrate(v.scores(w)[held], label[held]) for v, w in zip(views, weights)]
     return Model(weights, scale, share)
 

@@ -11,7 +11,7 @@ import pyarrow as pa
 import pytest
 
 import corpus_pipeline
-from roundscope.llm import queries, setsketch
+from roundscope.llm import cotrain, queries, setsketch
 
 DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 
@@ -81,3 +81,25 @@ def test_bands_suffice_at_the_threshold_of_the_pipeline():
     bands = setsketch.bands_for(corpus_pipeline.NEAR_HUNDREDTHS)
     assert (1 - 0.8**setsketch.ROWS) ** bands < 1e-6
     assert setsketch.bands_for(85) == setsketch.BANDS == 20
+
+
+def test_co_training_learns_from_documents_outside_every_sample(spark, monkeypatch):
+    """A kind of junk that no sampled document holds is known to the text view by its sources."""
+    monkeypatch.setattr(cotrain, "LABELLED", 200)
+    monkeypatch.setattr(cotrain, "POOL", 0, raising=False)
+    rows, labels = [], []
+    for i in range(200):
+        good = i % 2
+        word = "reason" if good else "casino"
+        rows.append((i, f"some common words {word} n{i % 7}", "en", "wiki" if good else "dump"))
+        labels.append((i, good, 0))
+    for i in range(200, 1000):
+        good = i % 2
+        word = "harvest" if good else "lottery"
+        rows.append((i, f"some common words {word} n{i % 7}", "en", "wiki" if good else "dump"))
+    rows += [(5000, "some common words lottery", "en", None),
+             (5001, "some common words harvest", "en", None)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string")
+    known = spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int")
+    out = cotrain.classify(docs, known).filter("doc_id >= 5000").orderBy("doc_id").collect()
+    assert out[0]["text_score"] < 0.2 and out[1]["text_score"] > 0.8
