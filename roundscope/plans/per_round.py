@@ -59,7 +59,8 @@ def round_tail(spark: SparkSession, sf: str) -> DataFrame:
 def flt_events(spark: SparkSession, sf: str) -> DataFrame:
     stored = bindings.load(spark, sf, "events")
     return bindings.event_messages(
-        stored.filter((F.col("value") > 20.0) & F.col("event_type").isin("click", "view"))
+        stored.filter((F.col("value") > 20.0) & F.col("event_type").isin("click", "view")),
+        stored,
     )
 
 

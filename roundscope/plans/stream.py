@@ -25,11 +25,11 @@ def replay_events(
     spark: SparkSession, sf: str, max_files: int | None = None
 ) -> tuple[Replay, DataFrame]:
     """The events table as a stream of messages with an event time."""
-    schema = bindings.load(spark, sf, "events").schema
+    stored = bindings.load(spark, sf, "events")
     # A pattern that matches one name: the table may be a single file, which a plain stream
     # path may not be.
-    replay = Replay(spark, f"{sf}/{{events}}.parquet", schema, max_files)
-    messages = bindings.event_messages(replay.rows)
+    replay = Replay(spark, f"{sf}/{{events}}.parquet", stored.schema, max_files)
+    messages = bindings.event_messages(replay.rows, stored)
     return replay, messages.withColumn("ts", F.timestamp_micros("ts_us"))
 
 

@@ -6,17 +6,20 @@ microseconds and ``seq`` is the arrival order.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from roundscope.session import materialize
+
 DAY_US = 86_400_000_000
 #: Midnight of the first event day, in microseconds.
 EVENT_START_US = 1_704_067_200_000_000
-#: Configured jobs, in id order.
+#: Jobs of the test tables in id order, for the SQL counterparts.
 EVENT_JOBS = ("click", "error", "purchase", "signup", "view")
 LINE_JOBS = ("A", "N", "R")
-ROLES = ("user", "assistant")
+#: Up to so many names are put into the plan, as no join is then needed; more are joined.
+FEW_NAMES = 64
 
 MESSAGE_COLUMNS = ("ts_us", "job_id", "round_id", "worker_id", "chunk_id", "size", "seq")
 
@@ -45,24 +48,37 @@ def whole(value: Column, divisor: int) -> Column:
     return F.call_function("div", value, F.lit(divisor))
 
 
-def position(value: Column, names: tuple[str, ...]) -> Column:
-    """Index of ``value`` in a short configured list, -1 when absent."""
-    chain = F.when(value == names[0], F.lit(0))
-    for index, name in enumerate(names[1:], start=1):
-        chain = chain.when(value == name, F.lit(index))
-    return chain.otherwise(F.lit(-1))
+def ranked_names(table: DataFrame, column: str) -> DataFrame:
+    """Dimension of the distinct names of a column, ``name, number``: their ranks from 0, written once."""
+    names = table.select(F.col(column).alias("name")).filter("name is not null").distinct()
+    rank = F.row_number().over(Window.orderBy("name")) - 1
+    return materialize(names.select("name", rank.cast("int").alias("number")), "names")
+
+
+def numbered(table: DataFrame, column: str, names: DataFrame, number: str) -> DataFrame:
+    """``table`` with the rank of each name; only rows without a name get -1."""
+    few = names.orderBy("number").limit(FEW_NAMES + 1).collect()
+    if len(few) > FEW_NAMES:
+        dimension = names.select(F.col("name").alias("_name"), F.col("number").alias("_number"))
+        joined = table.join(dimension, F.col(column) == F.col("_name"), "left")
+        return joined.withColumn(number, F.coalesce("_number", F.lit(-1))).drop("_name", "_number")
+    chain = F.when(F.col(column).isNull(), F.lit(-1))
+    for row in few:
+        chain = chain.when(F.col(column) == row["name"], F.lit(row["number"]))
+    return table.withColumn(number, chain.otherwise(F.lit(-1)))
 
 
-def event_messages(events: DataFrame) -> DataFrame:
-    """``events``: job = event type, round = day, worker = user mod 8, chunk = half day.
+def event_messages(events: DataFrame, stored: DataFrame | None = None) -> DataFrame:
+    """``events``: job = rank of the event type, round = day, worker = user mod 8, chunk = half day.
 
-    Round and chunk are integer arithmetic on the microseconds since the first event day.
+    Types are ranked over the whole ``stored`` table, of which ``events`` are a part or a stream. Round and chunk are integer arithmetic on the microseconds since the first event day.
     """
     since_start = F.unix_micros("ts") - F.lit(EVENT_START_US)
     in_day = F.pmod(since_start, F.lit(DAY_US))
-    return events.select(
+    names = ranked_names(events if stored is None else stored, "event_type")
+    return numbered(events, "event_type", names, "job_id").select(
         F.unix_micros("ts").alias("ts_us"),
-        position(F.col("event_type"), EVENT_JOBS).alias("job_id"),
+        "job_id",
         whole((since_start - in_day), DAY_US).cast("int").alias("round_id"),
         (F.col("user_id") % 8).cast("int").alias("worker_id"),
         whole(in_day, DAY_US // 2).cast("int").alias("chunk_id"),
@@ -72,11 +88,12 @@ def event_messages(events: DataFrame) -> DataFrame:
 
 
 def line_messages(lineitem: DataFrame) -> DataFrame:
-    """``lineitem``: job = return flag, round = ship month, worker = supplier mod 16."""
+    """``lineitem``: job = rank of the return flag, round = ship month, worker = supplier mod 16."""
     month = (F.year("l_shipdate") - 1995) * 12 + F.month("l_shipdate") - 1
-    return lineitem.select(
+    names = ranked_names(lineitem, "l_returnflag")
+    return numbered(lineitem, "l_returnflag", names, "job_id").select(
         F.unix_micros("l_shipdate").alias("ts_us"),
-        position(F.col("l_returnflag"), LINE_JOBS).alias("job_id"),
+        "job_id",
         month.cast("int").alias("round_id"),
         (F.col("l_suppkey") % 16).cast("int").alias("worker_id"),
         F.col("l_linenumber").alias("chunk_id"),
@@ -86,11 +103,12 @@ def line_messages(lineitem: DataFrame) -> DataFrame:
 
 
 def conversation_messages(conversations: DataFrame) -> DataFrame:
-    """``conversations``: round = conversation, worker = role, chunk = turn."""
-    return conversations.select(
+    """``conversations``: round = conversation, worker = rank of the role, chunk = turn."""
+    names = ranked_names(conversations, "role")
+    return numbered(conversations, "role", names, "worker_id").select(
         F.lit(0).alias("job_id"),
         F.col("conv_id").alias("round_id"),
-        position(F.col("role"), ROLES).alias("worker_id"),
+        "worker_id",
         F.col("turn").alias("chunk_id"),
     )
 
