@@ -28,10 +28,28 @@ _CHAIN = re.compile(r"[0-9]+(?:\.[0-9]+)*")
 _CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _URL = re.compile(r"(?:https?|ftp)://[^\x00-\x20\"'<>\\^`{|}\x7f]+", re.I)
-_ACCOUNT = re.compile(r"[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?")
+#: Where an account number may begin: country and check digits.
+_ACCOUNT = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?=\x20?[A-Z0-9])")
+#: Signs of account numbers by country, as registered; others are tried from the longest on.
+ACCOUNT_SIGNS = {
+    country: size
+    for size, countries in {
+        15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK",
+        21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL",
+        24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR",
+        27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV",
+        29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+    }.items()
+    for country in countries.split()
+}
 
-#: Cue words that stand before an account number.
-ACCOUNT_CUES = ("iban", "IBAN", "Iban")
+#: Words that stand before an account number, in any case.
+ACCOUNT_CUES = (
+    "iban", "account", "acct", "a/c", "konto", "compte", "cuenta", "conto", "conta", "rekening",
+    "rachunek", "beneficiary", "payee",
+)
+#: Signs between such a word and the number ("number", "no.", "of the payee is").
+ACCOUNT_GAP = 40
 
 _NOT_DIGIT = re.compile("[^0-9]")
 
@@ -51,6 +69,25 @@ def iban(text: str) -> bool:
     return int("".join(str(int(c, 36)) for c in turned)) % 97 == 1
 
 
+def account(text: str, start: int) -> int | None:
+    """Where the account number that begins at ``start`` ends, in groups of four or without."""
+    size = ACCOUNT_SIGNS.get(text[start : start + 2])
+    longest, ends, at = size or 34, {}, start
+    for n in range(1, longest + 1):
+        if n % 4 == 1 and n > 1 and text[at : at + 1] == " ":
+            at += 1
+        if text[at : at + 1] not in _SIGNS:
+            break
+        at += 1
+        ends[n] = at
+    if size:
+        return ends[size] if size in ends and iban(text[start : ends[size]]) else None
+    for n in range(max(ends, default=0), 14, -1):
+        if text[ends[n] : ends[n] + 1] not in _SIGNS and iban(text[start : ends[n]]):
+            return ends[n]
+    return None
+
+
 def _valid_ip(parts: tuple[str, ...]) -> bool:
     plain = [p.lstrip("0") or "0" for p in parts]
     return all(len(p) <= 3 and int(p) <= 255 for p in plain)
@@ -121,8 +158,8 @@ _PARSERS = {
     "card": Parser(_DIGITS + " -", _cards),
     "phone": Parser(_DIGITS + " ().-+", _phones),
 }
-#: Characters of an account cue's surroundings that may stand before the number.
-_AFTER_CUE = re.compile(r"[\x20:.#=-]{0,4}")
+_SIGNS = frozenset(_LETTERS + _DIGITS)
+_LOWER = {ord(c): c.lower() for c in _LETTERS}
 
 
 @functools.cache
@@ -148,7 +185,7 @@ def find(text: str) -> dict[str, list[tuple[int, int]]]:
     """Spans of each kind in code points, in order and without overlap within a kind."""
     out: dict[str, list[tuple[int, int]]] = {kind: [] for kind in KINDS}
     done = dict.fromkeys(KINDS, 0)
-    for last, (cue, length) in automaton().iter(text):
+    for last, (cue, length) in automaton().iter(text.translate(_LOWER)):
         at = last + 1 - length
         if cue == "digit":
             for kind in ("ip", "card"):
@@ -171,11 +208,11 @@ def find(text: str) -> dict[str, list[tuple[int, int]]]:
                         done["url"] = end
                     break
         elif at >= done["account"]:
-            begin = _AFTER_CUE.match(text, last + 1).end()
-            m = _ACCOUNT.match(text, begin)
-            if m and iban(m.group()):
-                out["account"].append(m.span())
-                done["account"] = m.end()
+            for m in _ACCOUNT.finditer(text, last + 1, last + 5 + ACCOUNT_GAP):
+                if end := account(text, m.start()):
+                    out["account"].append((m.start(), end))
+                    done["account"] = end
+                    break
     return out
 
 

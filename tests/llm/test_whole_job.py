@@ -11,7 +11,7 @@ import pyarrow as pa
 import pytest
 
 import corpus_pipeline
-from roundscope.llm import cotrain, queries, setsketch
+from roundscope.llm import cotrain, pii, queries, setsketch
 
 DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 
@@ -103,3 +103,22 @@ def test_co_training_learns_from_documents_outside_every_sample(spark, monkeypat
     known = spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int")
     out = cotrain.classify(docs, known).filter("doc_id >= 5000").orderBy("doc_id").collect()
     assert out[0]["text_score"] < 0.2 and out[1]["text_score"] > 0.8
+
+
+@pytest.mark.parametrize(("before", "number", "after"), [
+    ("IBAN ", "ES9121000418450200051332", " BIC CAIXESBB"),
+    ("IBAN: ", "BE68539007547034", " SWIFT"),
+    ("iban ", "BE68 5390 0754 7034", " SWIFT"),
+    ("IBAN number: ", "GB82 WEST 1234 5698 7654 32", "."),
+    ("account no. ", "GB82WEST12345698765432", ""),
+    ("İ iBAN ", "AT611904300234573201", " OR CASH"),
+    ("Bank account of the payee is ", "NO9386011117947", ", thanks"),
+])
+def test_accounts_by_any_cue_and_country_length(before, number, after):
+    text = before + number + after
+    assert pii.find(text)["account"] == [(len(before), len(before) + len(number))]
+    assert number not in pii.mask(text) and "[ACCOUNT]" in pii.mask(text)
+
+
+def test_accounts_need_their_check_digits():
+    assert pii.find("IBAN ES9121000418450200051333 BIC CAIXESBB")["account"] == []
