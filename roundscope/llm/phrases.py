@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from roundscope.llm.blocks import ALNUM, Block, slices
-from roundscope.session import work_path
+from roundscope.session import materialize, work_path
 
 SEGMENT_BYTES = 4 << 20
 WINDOW = 10
@@ -248,9 +248,11 @@ HIT_SCHEMA = (
 )
 
 
-def query_blocks(benchmark: DataFrame) -> Iterator[Windows]:
+def query_blocks(benchmark: DataFrame) -> tuple[DataFrame | None, Iterator[Windows]]:
     """The test items in blocks of about ``QUERY_WORDS`` words, each small enough to send along.
 
+    If there is one block, its items go by their ids and the first result is None. Of more, each
+    list of words is in one block, once; it goes by a key, and the first result has ``key, item_id``.
     Items without words (null, empty, signs only) have no window.
     """
 
@@ -271,10 +273,22 @@ def query_blocks(benchmark: DataFrame) -> Iterator[Windows]:
         run, "item_id bigint, hashes binary, n bigint"
     ).filter("n > 0")
     total = items.agg(F.sum("n")).first()[0] or 0
+    names = None
+    if total > QUERY_WORDS:
+        keyed = items.withColumn("key", F.xxhash64("hashes"))
+        names = materialize(keyed.select("key", "item_id").distinct(), "item-names")
+        items = materialize(keyed.groupBy(F.col("key").alias("item_id")).agg(
+            F.first("hashes").alias("hashes"), F.first("n").alias("n")
+        ), "item-texts")
+        total = items.agg(F.sum("n")).first()[0]
     blocks = -(-total // QUERY_WORDS)
-    for block in range(blocks):
-        rows = items.filter(F.pmod(F.xxhash64("hashes"), F.lit(blocks)) == block).collect()
-        yield Windows([(r["item_id"], np.frombuffer(r["hashes"], "<u8")) for r in rows])
+
+    def windows() -> Iterator[Windows]:
+        for block in range(blocks):
+            rows = items.filter(F.pmod(F.xxhash64("hashes"), F.lit(blocks)) == block).collect()
+            yield Windows([(r["item_id"], np.frombuffer(r["hashes"], "<u8")) for r in rows])
+
+    return names, windows()
 
 
 def search(segments: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -313,16 +327,26 @@ def search(segments: DataFrame, benchmark: DataFrame) -> DataFrame:
 
         parts.append(segments.mapInArrow(run, HIT_SCHEMA))
 
-    for windows in query_blocks(benchmark):
+    names, blocks = query_blocks(benchmark)
+    for windows in blocks:
         add(windows)
     if not parts:
         add(Windows([]))
-    if len(parts) == 1:
+    if names is None:
         return parts[0]
-    return functools.reduce(DataFrame.union, parts).groupBy("segment", "ordinal").agg(
+    place = ["segment", "ordinal"]
+    found = materialize(functools.reduce(DataFrame.union, parts).groupBy(*place).agg(
         F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"),
         F.flatten(F.collect_list("spans")).alias("spans"),
-        F.flatten(F.collect_list("items")).alias("items"),
+        F.flatten(F.collect_list("items")).alias("keys"),
+    ), "hits")
+    # An id counts once per document, whichever of its texts, and in whichever blocks, are met.
+    ids = found.select(*place, F.explode("keys").alias("key")).join(names, "key").groupBy(
+        *place
+    ).agg(F.array_sort(F.collect_set(F.struct("item_id"))["item_id"]).alias("items"))
+    none = F.array().cast("array<bigint>")
+    return found.drop("keys").join(ids, place, "left").withColumn(
+        "items", F.coalesce("items", none)
     )
 
 
@@ -346,7 +370,7 @@ def without_hits(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     Each task indexes its texts and searches them on the spot, so no text moves between executors.
     """
     context = docs.sparkSession.sparkContext
-    for windows in query_blocks(benchmark):
+    for windows in query_blocks(benchmark)[1]:
         shared = context.broadcast(windows)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:

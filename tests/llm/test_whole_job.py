@@ -9,9 +9,10 @@ import numpy as np
 import plain
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from roundscope.llm import cotrain, pii, queries, setsketch
+from roundscope.llm import cotrain, phrases, pii, queries, setsketch
 
 DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 
@@ -122,3 +123,26 @@ def test_accounts_by_any_cue_and_country_length(before, number, after):
 
 def test_accounts_need_their_check_digits():
     assert pii.find("IBAN ES9121000418450200051333 BIC CAIXESBB")["account"] == []
+
+
+def test_items_count_once_however_many_blocks_the_benchmark_has(spark, monkeypatch):
+    words = [f"{a}{b}" for a in "abcdefgh" for b in "ijklmnop"]
+    texts = [" ".join(words[i : i + 12]) for i in range(0, 48, 12)]
+    # One id on four texts, and one text under many ids.
+    items = [(7, t) for t in texts] + [(i, texts[0]) for i in range(100, 140)] + [(None, texts[1])]
+    benchmark = spark.createDataFrame(items, "item_id bigint, text string")
+    docs = documents(spark, [" ".join(words), "nothing of it", texts[0]])
+
+    def found():
+        out = phrases.search(phrases.build(docs), benchmark).orderBy("doc_id")
+        return [(r["doc_id"], r["n_words"], r["n"], r["items"]) for r in out.select(
+            "doc_id", "n_words", phrases.covered().alias("n"), F.col("items")).collect()]
+
+    whole = found()
+    assert len(whole[0][3]) == 42 and whole[1][3] == [] and len(whole[2][3]) == 41
+    monkeypatch.setattr(phrases, "QUERY_WORDS", 13)
+    assert found() == whole
+    sizes = [len(w.items) for w in phrases.query_blocks(benchmark)[1]]
+    assert sum(sizes) == 4
+    left = phrases.without_hits(docs, benchmark).collect()
+    assert [r["doc_id"] for r in left] == [1]
