@@ -87,7 +87,8 @@ def test_bands_suffice_at_the_threshold_of_the_pipeline():
 def test_co_training_learns_from_documents_outside_every_sample(spark, monkeypatch):
     """A kind of junk that no sampled document holds is known to the text view by its sources."""
     monkeypatch.setattr(cotrain, "LABELLED", 200)
-    monkeypatch.setattr(cotrain, "POOL", 0, raising=False)
+    # The sample of unlabelled documents that there was once, made empty.
+    monkeypatch.setattr(cotrain, "POOL", -200, raising=False)
     rows, labels = [], []
     for i in range(200):
         good = i % 2
