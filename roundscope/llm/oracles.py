@@ -34,6 +34,59 @@ FROM placed GROUP BY conv_id
 """
 
 
+_OP12 = r"""
+WITH drawn AS (
+    SELECT doc_id, coalesce(text, '') AS t, sha256('42:' || coalesce(doc_id::VARCHAR, '')) AS h
+    FROM documents
+), cut AS (
+    SELECT doc_id, t, regexp_extract_all(
+            t, '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS units,
+        [('0x' || h[8 * i + 1 : 8 * i + 8])::BIGINT FOR i IN range(4)] AS draws
+    FROM drawn
+), placed AS (
+    SELECT *, len(units) AS n,
+        least(draws[1] % (n + 1), draws[2] % (n + 1)) AS low,
+        greatest(draws[1] % (n + 1), draws[2] % (n + 1)) AS high,
+        CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>')
+                OR draws[3] % 100 >= 50 THEN 'plain'
+            WHEN draws[4] % 100 < 80 THEN 'spm' ELSE 'psm' END AS form
+    FROM cut
+), parts AS (
+    SELECT *, array_to_string(units[1 : low], '') AS p,
+        array_to_string(units[low + 1 : high], '') AS m,
+        array_to_string(units[high + 1 :], '') AS s
+    FROM placed
+)
+SELECT doc_id, n, form,
+    CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars,
+    CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+    sha256(CASE form WHEN 'plain' THEN t
+        WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m
+        ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256,
+    sha256(t) AS restored_sha256
+FROM parts
+"""
+
+
+_OP13 = r"""
+WITH texts AS (
+    SELECT doc_id, length(coalesce(text, '')) AS points,
+        regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS norm
+    FROM documents
+), ranked AS (
+    SELECT doc_id, sha256(norm) AS text_sha256,
+        row_number() OVER class AS place,
+        first_value(doc_id) OVER class AS keep_id,
+        count(*) OVER (PARTITION BY norm) AS group_size
+    FROM texts
+    WINDOW class AS (PARTITION BY norm ORDER BY points DESC, doc_id NULLS LAST)
+)
+SELECT doc_id, keep_id, group_size, place = 1 AS kept, text_sha256 FROM ranked
+"""
+
+
 ORACLES = {
     "op2_chat": _OP2,
+    "op12_middle": _OP12,
+    "op13_exact": _OP13,
 }

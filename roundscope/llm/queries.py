@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from roundscope.llm import (
-    backoff, bpe, chat, cotrain, phrases, pii, rules, setsketch, suffixes, warc,
+    backoff, bpe, chat, cotrain, exact, middle, phrases, pii, rules, setsketch, suffixes, warc,
 )
 
 
@@ -131,6 +131,20 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = middle.examples(table(spark, sf_dir, "documents"))
+    text = middle.restored(F.col("output"), F.col("form"))
+    return made.select(
+        "doc_id", "n", "form", "prefix_chars", "middle_chars",
+        F.sha2(F.col("output").cast("binary"), 256).alias("output_sha256"),
+        F.sha2(text.cast("binary"), 256).alias("restored_sha256"),
+    )
+
+
+def op13_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact.deduplicate(spark, f"{sf_dir}/documents.parquet")
+
+
 QUERIES = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_chat": op2_chat,
@@ -142,4 +156,6 @@ QUERIES = {
     "op8_decontaminate": op8_decontaminate,
     "op9_cotraining": op9_cotraining,
     "op10_quality_rules": op10_quality_rules,
+    "op12_middle": op12_middle,
+    "op13_exact": op13_exact,
 }
