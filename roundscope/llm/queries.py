@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from roundscope.llm import (
-    backoff, bpe, chat, cotrain, exact, middle, phrases, pii, rules, setsketch, suffixes, warc,
+    backoff, bpe, chat, cotrain, exact, middle, phrases, pii, prefixes, rules, setsketch, suffixes, warc,
 )
 
 
@@ -131,6 +131,11 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_prefixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = prefixes.ordered_turns(table(spark, sf_dir, "conversations"))
+    return prefixes.trie(prefixes.rebuilt(turns))
+
+
 def op12_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = middle.examples(table(spark, sf_dir, "documents"))
     text = middle.restored(F.col("output"), F.col("form"))
@@ -156,6 +161,7 @@ QUERIES = {
     "op8_decontaminate": op8_decontaminate,
     "op9_cotraining": op9_cotraining,
     "op10_quality_rules": op10_quality_rules,
+    "op11_prefixes": op11_prefixes,
     "op12_middle": op12_middle,
     "op13_exact": op13_exact,
 }
