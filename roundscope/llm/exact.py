@@ -157,7 +157,8 @@ def deduplicate(
     state = materialize(classes(spark, store), "exact-classes")
     rows = _located(spark.read.parquet(path), digest)
     found = materialize(members(rows, state), "exact-members")
-    wrong = materialize(differing(found).distinct(), "exact-differing")
+    # No grouping here, so that the join of a text that very many share can be split.
+    wrong = materialize(differing(found), "exact-differing")
     result = ["doc_id", "keep_id", F.col("n").alias("group_size"), "kept", "text_sha256"]
     if wrong.isEmpty():
         return found.select(*result)
