@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -11,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 BROADCAST_ROW_LIMIT = 1_000_000
 
 _local_root: str | None = None
+_shipped: set[str] = set()
 
 
 def get_session(app: str = "roundscope", master: str | None = None, **conf: str) -> SparkSession:
@@ -28,7 +31,29 @@ def get_session(app: str = "roundscope", master: str | None = None, **conf: str)
     }
     for key, value in {**defaults, **conf}.items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    spark = builder.getOrCreate()
+    ship_package(spark)
+    return spark
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors, once per application; Spark hands out the archive.
+
+    Functions that run in Python workers import it, wherever the session was started.
+    """
+    context = spark.sparkContext
+    if context.applicationId in _shipped:
+        return
+    home = os.path.dirname(os.path.abspath(__file__))
+    archive = os.path.join(tempfile.mkdtemp(prefix="roundscope-"), "roundscope.zip")
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as out:
+        for folder, _, names in os.walk(home):
+            for name in names:
+                if name.endswith(".py"):
+                    path = os.path.join(folder, name)
+                    out.write(path, os.path.relpath(path, os.path.dirname(home)))
+    context.addPyFile(archive)
+    _shipped.add(context.applicationId)
 
 
 def shared_root(spark: SparkSession) -> str:
