@@ -206,9 +206,23 @@ def full_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             )
 
     rows = docs.select("doc_id", "text").join(wanted.select("doc_id", "class"), "doc_id")
-    sets = rows.select("class", "text").mapInArrow(run, "class binary, shingles binary")
     # A doc_id that repeats with one text gives one set more than once.
-    return sets
+    sets = rows.select("class", "text").mapInArrow(run, "class binary, shingles binary")
+
+    def nameless(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for piece in slices(batches, "text"):
+            found = [s for s in shingle_sets(piece.column("text")) if len(s)]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([digest(s) for s in found], pa.binary()),
+                 pa.array([s.astype("<u8").tobytes() for s in found], pa.binary())],
+                ["class", "shingles"],
+            )
+
+    # Classes that no row with a doc_id is in are found by their digest.
+    without = docs.filter("doc_id is null").select("text").mapInArrow(
+        nameless, "class binary, shingles binary"
+    ).join(wanted.filter("doc_id is null").select("class"), "class", "left_semi")
+    return sets.unionByName(without.groupBy("class").agg(F.first("shingles").alias("shingles")))
 
 
 def verified(pairs: DataFrame, sets: DataFrame, hundredths: int) -> DataFrame:

@@ -119,6 +119,17 @@ def test_near_duplicates(edge_docs, edge_rows):
     assert sorted(r["doc_id"] for r in left.collect()) == sorted(kept)
 
 
+def test_near_duplicates_linked_through_a_row_without_an_id(spark):
+    """The middle one of three texts has no doc_id, and the outer two are linked by it alone."""
+    words = [f"w{i}" for i in range(300)]
+    texts = [" ".join([*(f"a{k}" for k in range(n)), *words[n:]]) for n in (0, 13, 26)]
+    rows = [(1, texts[0]), (None, texts[1]), (2, texts[2]), (None, "nothing like the others at all")]
+    rows = [(*r, "en", "s", len(r[1])) for r in rows]
+    out = setsketch.near_duplicates(spark.createDataFrame(rows, SCHEMA), 88)
+    found = got(out, "doc_id", "component_id")
+    assert found == [(1, 1), (2, 1), (None, 1), (None, None)]
+
+
 def test_sketches_merge_and_estimate():
     import numpy as np
 
