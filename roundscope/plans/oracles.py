@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from roundscope.operators.summary import GROUP_FIELDS, METRIC_FIELDS, UNIT_METRICS
 from roundscope.plans import settings as S
-from roundscope.sources.bindings import DAY_US, EVENT_JOBS, EVENT_START_US, LINE_JOBS
+from roundscope.sources.bindings import DAY_US, EVENT_START_US
 
 
 def d(value: float) -> str:
@@ -56,9 +56,16 @@ def with_(*ctes: str) -> str:
 WORKER = "job_id, round_id, worker_id"
 KEY = "'(' || job_id || ', ' || round_id || ', ' || worker_id || ')'"
 
+
+def job(name: str, table: str) -> str:
+    """Rank of a name among those of its table, from 0; -1 without a name."""
+    names = f"(SELECT list_sort(list(DISTINCT {name})) FROM {table})"
+    return f"CAST(coalesce(list_position({names}, {name}), 0) - 1 AS INTEGER)"
+
+
 PK = f"""pk AS (
   SELECT epoch_us(ts) AS ts_us,
-         CAST(coalesce(list_position({listed(EVENT_JOBS)}, event_type), 0) - 1 AS INTEGER) AS job_id,
+         {job('event_type', 'events')} AS job_id,
          CAST(date_diff('day', DATE '2024-01-01', CAST(ts AS DATE)) AS INTEGER) AS round_id,
          CAST(user_id % 8 AS INTEGER) AS worker_id,
          CAST(hour(ts) // 12 AS INTEGER) AS chunk_id,
@@ -66,7 +73,7 @@ PK = f"""pk AS (
   FROM events)"""
 PL = f"""pl AS (
   SELECT epoch_us(l_shipdate) AS ts_us,
-         CAST(coalesce(list_position({listed(LINE_JOBS)}, l_returnflag), 0) - 1 AS INTEGER) AS job_id,
+         {job('l_returnflag', 'lineitem')} AS job_id,
          CAST((year(l_shipdate) - 1995) * 12 + month(l_shipdate) - 1 AS INTEGER) AS round_id,
          CAST(l_suppkey % 16 AS INTEGER) AS worker_id,
          CAST(l_linenumber AS INTEGER) AS chunk_id,
@@ -605,8 +612,10 @@ FROM (SELECT query, control_type, CAST(sum(r) AS BIGINT) AS rounds, CAST(sum(a)
 
 
 JOB_SIZES = f"""sizes AS (
-  SELECT n_jobs, count(*) AS keys FROM cnt, {unnested(S.JOB_COUNTS, 'n_jobs')}
-  WHERE job_id < n_jobs GROUP BY n_jobs)"""
+  SELECT DISTINCT n_jobs, keys FROM (
+    SELECT CAST(count(DISTINCT job_id) AS INTEGER) AS n_jobs, count(*) AS keys
+    FROM cnt, {unnested((*S.JOB_COUNTS, 2**31), 'first_jobs')}
+    WHERE job_id >= 0 AND job_id < first_jobs GROUP BY first_jobs))"""
 JOB_STATE = f"""
 SELECT 'dataflow' AS system, n_jobs, keys AS state_entries, keys * 32 AS counter_bits,
        keys * 4 AS register_bytes, keys AS keys_tracked, 1::BIGINT AS per_packet_ops,

@@ -94,12 +94,15 @@ def state_totals(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def job_count_rows(spark: SparkSession, sf: str) -> DataFrame:
-    """Exact state grows with the number of jobs, sketch state does not."""
-    keys = rounds.worker_counts(events(spark, sf)).groupBy("job_id").agg(
+    """Exact state grows with the number of jobs, sketch state does not; the last row has all jobs."""
+    keys = rounds.worker_counts(events(spark, sf)).filter("job_id >= 0").groupBy("job_id").agg(
         F.count(F.lit(1)).alias("keys")
     )
-    within = keys.select("*", every(S.JOB_COUNTS, "n_jobs")).filter("job_id < n_jobs")
-    sizes = within.groupBy("n_jobs").agg(F.sum("keys").alias("keys"))
+    present = F.count(F.lit(1)).cast("int").alias("n_jobs"), F.sum("keys").alias("keys")
+    within = keys.select("*", every(S.JOB_COUNTS, "first_jobs")).filter("job_id < first_jobs")
+    sizes = within.groupBy("first_jobs").agg(*present).drop("first_jobs").unionByName(
+        keys.agg(*present).filter("n_jobs > 0")
+    ).groupBy("n_jobs").agg(F.max("keys").alias("keys"))
     models = F.array(
         F.struct(F.lit("dataflow").alias("system"), F.col("keys").alias("state_entries")),
         F.struct(

@@ -6,6 +6,8 @@ microseconds and ``seq`` is the arrival order.
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -15,9 +17,6 @@ from roundscope.session import materialize
 DAY_US = 86_400_000_000
 #: Midnight of the first event day, in microseconds.
 EVENT_START_US = 1_704_067_200_000_000
-#: Jobs of the test tables in id order, for the SQL counterparts.
-EVENT_JOBS = ("click", "error", "purchase", "signup", "view")
-LINE_JOBS = ("A", "N", "R")
 #: Up to so many names are put into the plan, as no join is then needed; more are joined.
 FEW_NAMES = 64
 
@@ -48,23 +47,45 @@ def whole(value: Column, divisor: int) -> Column:
     return F.call_function("div", value, F.lit(divisor))
 
 
-def ranked_names(table: DataFrame, column: str) -> DataFrame:
-    """Dimension of the distinct names of a column, ``name, number``: their ranks from 0, written once."""
-    names = table.select(F.col(column).alias("name")).filter("name is not null").distinct()
-    rank = F.row_number().over(Window.orderBy("name")) - 1
-    return materialize(names.select("name", rank.cast("int").alias("number")), "names")
+class Names(NamedTuple):
+    """Distinct names of a column with their ranks from 0: as a table, and as a list while few."""
+
+    table: DataFrame
+    few: list[tuple[str, int]] | None
+
 
+#: What was ranked before, by application, files and column.
+_ranked: dict[tuple, Names] = {}
 
-def numbered(table: DataFrame, column: str, names: DataFrame, number: str) -> DataFrame:
+
+def ranked_names(table: DataFrame, column: str) -> Names:
+    """Rank the names of a column once per application and stored table, into the shared folder.
+
+    Later calls for the same files neither read nor write anything.
+    """
+    files = tuple(table.inputFiles())
+    key = (table.sparkSession.sparkContext.applicationId, column, FEW_NAMES, files)
+    if not files or key not in _ranked:
+        names = table.select(F.col(column).alias("name")).filter("name is not null").distinct()
+        rank = F.row_number().over(Window.orderBy("name")) - 1
+        ranked = materialize(names.select("name", rank.cast("int").alias("number")), "names")
+        first = ranked.orderBy("number").limit(FEW_NAMES + 1).collect()
+        few = [(r["name"], r["number"]) for r in first] if len(first) <= FEW_NAMES else None
+        if not files:
+            return Names(ranked, few)
+        _ranked[key] = Names(ranked, few)
+    return _ranked[key]
+
+
+def numbered(table: DataFrame, column: str, names: Names, number: str) -> DataFrame:
     """``table`` with the rank of each name; only rows without a name get -1."""
-    few = names.orderBy("number").limit(FEW_NAMES + 1).collect()
-    if len(few) > FEW_NAMES:
-        dimension = names.select(F.col("name").alias("_name"), F.col("number").alias("_number"))
+    if names.few is None:
+        dimension = names.table.select(F.col("name").alias("_name"), F.col("number").alias("_number"))
         joined = table.join(dimension, F.col(column) == F.col("_name"), "left")
         return joined.withColumn(number, F.coalesce("_number", F.lit(-1))).drop("_name", "_number")
     chain = F.when(F.col(column).isNull(), F.lit(-1))
-    for row in few:
-        chain = chain.when(F.col(column) == row["name"], F.lit(row["number"]))
+    for name, rank in names.few:
+        chain = chain.when(F.col(column) == name, F.lit(rank))
     return table.withColumn(number, chain.otherwise(F.lit(-1)))
 
 
