@@ -882,4 +882,8 @@ SELECT {EVENT_START_US} + CAST(round_id AS BIGINT) * {DAY_US} AS start_us, job_i
 FROM pk GROUP BY round_id, job_id""",
     "stream_inactivity_alerts": ORACLES["q4_inactivity_alerts"],
     "stream_corr_alerts": ORACLES["q5_corr_alerts"],
+    "stream_deadline_alerts": ORACLES["q4_failures_from_counts"],
+    "stream_episode_detection": ORACLES["episode_first_detection"],
+    "stream_configured_pair": f"""SELECT * FROM ({ORACLES["q5_corr_alerts"]})
+WHERE job_a = {S.CONFIGURED_PAIR[0]} AND job_b = {S.CONFIGURED_PAIR[1]}""",
 }

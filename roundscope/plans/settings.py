@@ -20,6 +20,10 @@ SWEEP_TIMEOUTS_US = (HOUR_US // 2, HOUR_US, 2 * HOUR_US, 3 * HOUR_US)
 
 CORR_WINDOW = 8
 CORR_THRESHOLD = 0.5
+#: Latency of the first job against activity of the second.
+CONFIGURED_PAIR = (0, 4)
+#: Silence after which a stream forgets a pair of jobs.
+RETIRE_US = 30 * DAY_US
 EXPORT_LATENCY_US = 50_000
 EXPORT_DROP_PROB = 0.25
 EPISODE_ACTIVE_PROB = 0.85

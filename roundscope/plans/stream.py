@@ -6,33 +6,59 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from roundscope.functions.numeric import half_even
 from roundscope.operators import correlate
+from roundscope.operators.schedule import episodes, schedule
 from roundscope.plans import settings as S
 from roundscope.plans.base import (
-    PAIR, ROUND, WORKER, event_schedule, events, named, round_metrics, usual_counts,
+    PAIR, ROUND, WORKER, named, round_metrics, round_start_us, usual_counts,
 )
-from roundscope.plans.correlation import paired_metrics, sliding
+from roundscope.plans.correlation import alerts
 from roundscope.session import materialize
 from roundscope.sources import bindings
-from roundscope.streaming import monitors
-from roundscope.streaming.replay import Replay, file_stream
+from roundscope.streaming import monitors, stateful
+from roundscope.streaming.replay import Replay, end_row, ordered_feed
 
 #: Length of a round of the event binding.
 LENGTH = "1 day"
+#: Parts in which a stored table is fed to a stream.
+FEED_PARTS = 3
 
 
 def replay_events(
     spark: SparkSession, sf: str, max_files: int | None = None
 ) -> tuple[Replay, DataFrame]:
-    """The events table as a stream of messages with an event time."""
+    """The events table as a stream of messages with an event time, in several micro-batches.
+
+    The table is fed in time order; with ``max_files`` its own files are, as many at a time.
+    """
     stored = bindings.load(spark, sf, "events")
-    # A pattern that matches one name: the table may be a single file, which a plain stream
-    # path may not be.
-    replay = Replay(spark, f"{sf}/{{events}}.parquet", stored.schema, max_files)
+    ended = not max_files
+    if max_files:
+        # A pattern that matches one name: the table may be a single file, which a plain stream
+        # path may not be.
+        path = f"{sf}/{{events}}.parquet"
+    else:
+        path, max_files = ordered_feed(stored, "ts", FEED_PARTS)
+    replay = Replay(spark, path, stored.schema, max_files, ended)
     messages = bindings.event_messages(replay.rows, stored)
     return replay, messages.withColumn("ts", F.timestamp_micros("ts_us"))
 
 
+def configured_jobs(spark: SparkSession, sf: str) -> DataFrame:
+    """The job dimension: a row per ranked name, with the rounds that are planned for each."""
+    names = bindings.ranked_names(bindings.load(spark, sf, "events"), "event_type")
+    planned = names.table.select(
+        F.col("number").alias("job_id"), F.lit(S.N_ROUNDS - 1).alias("round_id")
+    )
+    return bindings.event_jobs(planned)
+
+
+def planned_rounds(spark: SparkSession, sf: str) -> DataFrame:
+    """Schedule of the configured jobs; no message is read for it."""
+    return schedule(configured_jobs(spark, sf), S.TIMEOUT_US, F.lit(S.EXPECTED_ROUND))
+
+
 def stream_scan_events(spark: SparkSession, sf: str) -> DataFrame:
     replay, messages = replay_events(spark, sf)
     return replay.to_table(messages.filter(F.col("seq").isNotNull()).drop("ts"))
@@ -77,54 +103,105 @@ def stream_tumbling_counts(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def stream_inactivity_alerts(spark: SparkSession, sf: str) -> DataFrame:
-    """Alerts from the stream; the reason needs the final total and is joined afterwards."""
+    """Rounds that stall or never come, noticed by timers that the schedule arms."""
     replay, messages = replay_events(spark, sf)
-    totals = materialize(
-        events(spark, sf).groupBy(*ROUND).agg(F.count(F.lit(1)).alias("total")), "round-totals"
+    plan = materialize(planned_rounds(spark, sf), "planned-rounds")
+    told = replay.to_table(stateful.monitor_rounds(messages, on(replay, plan), S.TIMEOUT_US))
+    return told.filter("kind = 'alert'").select(
+        *ROUND, "detected_us", "observed", "expected", "reason"
     )
-    path = f"{replay.root}/markers"
-    event_schedule(totals).select(
-        *ROUND, F.timestamp_micros("start_us").alias("ts"), "expected"
-    ).write.parquet(path)
-    markers = file_stream(spark, path, spark.read.parquet(path).schema)
-    timeout = f"{S.TIMEOUT_US} microseconds"
-    fired = replay.to_table(
-        monitors.inactivity_sessions(messages, markers, timeout), local_sessions=True
+
+
+def stream_deadline_alerts(spark: SparkSession, sf: str) -> DataFrame:
+    """Rounds below their total at the deadline; the outer join itself emits the absent ones."""
+    replay, messages = replay_events(spark, sf)
+    ahead = planned_rounds(spark, sf).select(
+        *ROUND, F.timestamp_micros("start_us").alias("ts"), "deadline_us", "expected"
     )
-    total = F.coalesce("total", F.lit(0))
-    return fired.join(totals, ROUND, "left").select(
-        *ROUND, "detected_us", "observed", "expected",
-        F.when(F.col("observed") == 0, F.lit("missing-round"))
-        .when(total >= F.col("expected"), F.lit("premature-timeout"))
-        .otherwise(F.lit("missing-pairs"))
-        .alias("reason"),
+    # The plan is known ahead of time; one row at its end leaves the watermark to the messages. It
+    # expects nothing, so it is no alert (and no null, which the scan would drop).
+    last = end_row(spark, ahead.schema).fillna(0, ["expected"])
+    planned = replay.side_stream(ahead.unionByName(last), "planned")
+    return replay.to_table(stateful.deadline_alerts(messages, planned, LENGTH))
+
+
+def on(replay: Replay, table: DataFrame) -> DataFrame:
+    """A stored table in the session of a stream."""
+    return replay.session.read.schema(table.schema).parquet(*table.inputFiles())
+
+
+def directed_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    """All pairs of different jobs, in both directions, as the configured ones."""
+    n = configured_jobs(spark, sf).count()
+    job_a, job_b = bindings.whole(F.col("id"), max(n, 1)), F.col("id") % max(n, 1)
+    return spark.range(n * n).select(
+        job_a.cast("int").alias("job_a"), job_b.cast("int").alias("job_b")
+    ).filter("job_a != job_b")
+
+
+def correlated(
+    spark: SparkSession, sf: str, pairs: DataFrame, max_files: int | None = None
+) -> DataFrame:
+    """Alerts of the given directed pairs, scored round by round in a ring per pair."""
+    replay, messages = replay_events(spark, sf, max_files)
+    usual = usual_counts(round_metrics(spark, sf))
+    scores = replay.to_table(stateful.sliding_scores(
+        monitors.round_metrics(messages, LENGTH), on(replay, usual),
+        on(replay, materialize(pairs, "pairs")), S.CORR_WINDOW, S.RETIRE_US, S.DAY_US,
+        S.EVENT_START_US,
+    )).withColumn("score", half_even(F.col("score"), 6)).withColumn(
+        "detected_us", round_start_us() + F.lit(S.DAY_US)
+    )
+    return correlate.correlation_alerts(scores, S.CORR_THRESHOLD, S.EXPORT_LATENCY_US).select(
+        *PAIR, "round_id", "detected_us", "score"
     )
 
 
 def stream_corr_alerts(
     spark: SparkSession, sf: str, max_files: int | None = None
 ) -> DataFrame:
-    """Rounds close by watermark; each batch scores its new rounds against the last ones kept.
+    """What a job usually sends is known beforehand, from the stored table."""
+    return correlated(spark, sf, directed_pairs(spark, sf), max_files)
 
-    What a job usually sends is known beforehand, from the stored table.
-    """
-    replay, messages = replay_events(spark, sf, max_files)
-    usual = usual_counts(round_metrics(spark, sf))
 
-    def score(rows: DataFrame) -> DataFrame:
-        scores = sliding(rows)
-        return correlate.correlation_alerts(scores, S.CORR_THRESHOLD, S.EXPORT_LATENCY_US)
+def stream_configured_pair(spark: SparkSession, sf: str) -> DataFrame:
+    """One configured pair: the latency of one job against the activity of another."""
+    victim, other = S.CONFIGURED_PAIR
+    pair = spark.range(1).select(F.lit(victim).alias("job_a"), F.lit(other).alias("job_b"))
+    return correlated(spark, sf, pair)
 
-    step = monitors.SlidingCorrelator(
-        replay.root, lambda closed: paired_metrics(closed, usual), score, S.CORR_WINDOW
+
+def stream_episode_detection(spark: SparkSession, sf: str) -> DataFrame:
+    """First alert of each pair in each episode of its victim, from a join of two streams."""
+    metrics = round_metrics(spark, sf)
+    stored = alerts(metrics).select(
+        *PAIR, "round_id", "detected_us", F.timestamp_micros(round_start_us()).alias("ts")
     )
-    replay.for_each_batch(monitors.round_metrics(messages, LENGTH), step, "append")
-    return spark.read.parquet(step.alerts).select(
-        *PAIR, "round_id", "detected_us", "score"
+    path, files = ordered_feed(materialize(stored, "alerts"), "ts", FEED_PARTS)
+    replay = Replay(spark, path, spark.read.parquet(path).schema, files, ended=True)
+    jobs = configured_jobs(spark, sf)
+    intervals = episodes(jobs).select(
+        F.col("job_id").alias("job_a"), "start_round", "end_round",
+        F.timestamp_micros(round_start_us("start_round")).alias("start"),
+        F.timestamp_micros(round_start_us("end_round")).alias("end"),
+    )
+    ahead = intervals.unionByName(end_row(spark, intervals.schema, "start"))
+    hits = replay.to_table(stateful.alerts_in_episodes(
+        replay.rows, replay.side_stream(ahead, "episodes"),
+        f"{S.CORR_WINDOW} days", f"{S.N_ROUNDS} days",
+    ))
+    first = F.min(F.struct("detected_us", "round_id")).alias("_first")
+    return hits.groupBy(*PAIR, "start_round", "end_round").agg(
+        first, F.count(F.lit(1)).alias("detections")
+    ).select(
+        *PAIR, "start_round", "end_round", "detections",
+        F.col("_first.round_id").alias("alert_round"), F.col("_first.detected_us"),
+        ((F.col("_first.detected_us") - round_start_us("start_round")) / 1000.0).alias("ttd_ms"),
     )
 
 
 QUERIES = named(
-    stream_scan_events, stream_distinct, stream_inactivity_alerts, stream_corr_alerts,
-    stream_q1_latency, stream_q2_counts, stream_tumbling_counts, stream_q3_straggler,
+    stream_scan_events, stream_distinct, stream_inactivity_alerts, stream_deadline_alerts,
+    stream_corr_alerts, stream_configured_pair, stream_episode_detection, stream_q1_latency,
+    stream_q2_counts, stream_tumbling_counts, stream_q3_straggler,
 )
