@@ -882,6 +882,14 @@ SELECT {EVENT_START_US} + CAST(round_id AS BIGINT) * {DAY_US} AS start_us, job_i
 FROM pk GROUP BY round_id, job_id""",
     "stream_inactivity_alerts": ORACLES["q4_inactivity_alerts"],
     "stream_corr_alerts": ORACLES["q5_corr_alerts"],
+    "stream_scheduled_rounds": with_(PK, f"""planned AS (
+  SELECT job_id, CAST(r AS INTEGER) AS round_id,
+         {EVENT_START_US} + job_id * {S.HOUR_US} + r * {S.GAP_DURATION_US + S.GAP_US} AS start_us
+  FROM (SELECT DISTINCT job_id, unnest(range({S.GAP_ROUNDS})) AS r FROM pk WHERE job_id >= 0))""") + f"""
+SELECT p.job_id, p.round_id, min(ts_us) AS first_us, max(ts_us) AS last_us, count(ts_us) AS n
+FROM planned p LEFT JOIN pk ON pk.job_id = p.job_id
+  AND ts_us >= start_us AND ts_us < start_us + {S.GAP_DURATION_US}
+GROUP BY ALL""",
     "stream_deadline_alerts": ORACLES["q4_failures_from_counts"],
     "stream_episode_detection": ORACLES["episode_first_detection"],
     "stream_configured_pair": f"""SELECT * FROM ({ORACLES["q5_corr_alerts"]})

@@ -16,6 +16,8 @@ N_JOBS, N_ROUNDS, N_WORKERS, N_CHUNKS = 5, 30, 8, 2
 N_LINE_WORKERS = 16
 
 TIMEOUT_US = 2 * HOUR_US
+#: A schedule with gaps: length of a round, gap after it, rounds per job.
+GAP_DURATION_US, GAP_US, GAP_ROUNDS = 9 * HOUR_US + 30, 3 * HOUR_US - 7, 61
 SWEEP_TIMEOUTS_US = (HOUR_US // 2, HOUR_US, 2 * HOUR_US, 3 * HOUR_US)
 
 CORR_WINDOW = 8

@@ -112,6 +112,27 @@ def stream_inactivity_alerts(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def shifted_jobs(spark: SparkSession, sf: str) -> DataFrame:
+    """The configured jobs on another schedule: each starts later than the one before it, and its
+    rounds have gaps between them."""
+    return configured_jobs(spark, sf).select(
+        "job_id", "n_workers", "n_chunks", F.lit(S.GAP_ROUNDS).alias("n_rounds"),
+        (F.col("start_offset_us") + F.col("job_id") * F.lit(S.HOUR_US)).alias("start_offset_us"),
+        F.lit(S.GAP_DURATION_US).alias("round_duration_us"),
+        F.lit(S.GAP_US).alias("inter_round_gap_us"),
+    )
+
+
+def stream_scheduled_rounds(spark: SparkSession, sf: str) -> DataFrame:
+    """Totals of rounds with offsets and gaps, each emitted when it is over, the absent ones too."""
+    replay, messages = replay_events(spark, sf)
+    jobs = materialize(shifted_jobs(spark, sf), "jobs")
+    plan = materialize(schedule(jobs), "planned-rounds")
+    placed = stateful.scheduled(messages, on(replay, jobs))
+    told = replay.to_table(stateful.monitor_rounds(placed, on(replay, plan), S.TIMEOUT_US))
+    return told.filter("kind = 'round'").select(*ROUND, "first_us", "last_us", "n")
+
+
 def stream_deadline_alerts(spark: SparkSession, sf: str) -> DataFrame:
     """Rounds below their total at the deadline; the outer join itself emits the absent ones."""
     replay, messages = replay_events(spark, sf)
@@ -202,6 +223,6 @@ def stream_episode_detection(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES = named(
     stream_scan_events, stream_distinct, stream_inactivity_alerts, stream_deadline_alerts,
-    stream_corr_alerts, stream_configured_pair, stream_episode_detection, stream_q1_latency,
+    stream_scheduled_rounds, stream_corr_alerts, stream_configured_pair, stream_episode_detection, stream_q1_latency,
     stream_q2_counts, stream_tumbling_counts, stream_q3_straggler,
 )

@@ -18,8 +18,6 @@ from roundscope.session import work_path
 
 #: Time of the row that ends a finite replay.
 END_OF_TIME = "2999-01-01 00:00:00"
-#: Sessions of one task's rows are merged before the shuffle, so a busy round sends few rows.
-LOCAL_SESSION_MERGE = "spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition"
 
 
 def file_stream(
@@ -40,7 +38,7 @@ def end_row(spark: SparkSession, schema: T.StructType, time: str = "ts") -> Data
 
 
 def stream_session(spark: SparkSession, files: int) -> SparkSession:
-    """A session of its own for a stream: state in RocksDB, local merging of sessions.
+    """A session of its own for a stream: its state in RocksDB.
 
     State has as many partitions as shuffles of the caller, or two per file of a small table.
     """
@@ -53,7 +51,6 @@ def stream_session(spark: SparkSession, files: int) -> SparkSession:
         "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     )
     session.conf.set("spark.sql.streaming.stateStore.rocksdb.allowFAllocate", "false")
-    session.conf.set(LOCAL_SESSION_MERGE, "true")
     return session
 
 

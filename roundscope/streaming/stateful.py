@@ -47,9 +47,16 @@ def scheduled(messages: DataFrame, jobs: DataFrame) -> DataFrame:
 
 
 def stream_buckets(messages: DataFrame, width_us: int) -> DataFrame:
-    """First and last time and count per round and time bucket, each when its bucket closes."""
+    """First and last time and count per round and time bucket, each when its bucket closes.
+
+    Messages that are not ``inside`` any round count for the watermark alone. The filter names ``ts``,
+    as it would else be moved ahead of the watermark.
+    """
+    timed = messages.withWatermark("ts", LATENESS)
+    if "inside" in messages.columns:
+        timed = timed.filter(F.col("inside") | F.col("ts").isNull())
     return (
-        messages.withWatermark("ts", LATENESS)
+        timed
         .groupBy(F.window("ts", f"{width_us} microseconds"), *ROUND)
         .agg(F.min("ts_us").alias("first_us"), F.max("ts_us").alias("last_us"),
              F.count(F.lit(1)).alias("n"))
