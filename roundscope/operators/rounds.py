@@ -49,9 +49,23 @@ def usual(table: DataFrame, value: str) -> DataFrame:
     return table.groupBy("job_id").agg(F.median(value).alias("usual"))
 
 
+#: Room for an arrival number below a time in one whole number of 38 digits.
+_ARRIVALS = 10**19
+
+
+def packed_order(later_first: bool = False) -> Column:
+    """Time, then arrival, as one number of fixed width, so that aggregates over it can hash.
+
+    ``later_first`` turns arrivals around: among equal times the earlier arrival ranks higher.
+    """
+    time = F.col("ts_us").cast("decimal(18,0)") * F.lit(str(_ARRIVALS)).cast("decimal(20,0)")
+    arrival = F.lit(2**63 - 1) - F.col("seq") if later_first else F.col("seq")
+    return (time + arrival.cast("decimal(19,0)")).cast("decimal(38,0)")
+
+
 def arrival_rank() -> Column:
     """Orders messages by time; among equal times the earlier arrival ranks higher."""
-    return F.struct(F.col("ts_us"), (-F.col("seq")).alias("arrival"))
+    return packed_order(later_first=True)
 
 
 def straggler(messages: DataFrame) -> DataFrame:
@@ -88,28 +102,24 @@ def straggler(messages: DataFrame) -> DataFrame:
     return single.unionByName(first)
 
 
-def _extreme_row(messages: DataFrame, keys: list[str], pick, order: list[Column]) -> DataFrame:
-    """The row of each key that ``pick`` (min or max) chooses by ``order``, as a full row.
+def _extreme_row(messages: DataFrame, keys: list[str], pick: Callable, order: Column) -> DataFrame:
+    """The row of each key that ``pick`` (``min_by`` or ``max_by``) chooses, as a full row.
 
-    An aggregate over the packed row: each task sends one row per key, whatever the key's size.
+    One hash aggregate per column over plain numbers: each task sends one row per key, whatever the
+    key's size, and no message is sorted. Time and arrival together must name a message.
     """
-    rest = [c for c in messages.columns if c not in keys]
-    packed = F.struct(*[o.alias(f"_o{i}") for i, o in enumerate(order)], *rest)
-    return (
-        messages.groupBy(*keys)
-        .agg(pick(packed).alias("_row"))
-        .select(*[F.col(c) if c in keys else F.col(f"_row.{c}") for c in messages.columns])
-    )
+    chosen = [pick(c, order).alias(c) for c in messages.columns if c not in keys]
+    return messages.groupBy(*keys).agg(*chosen).select(*messages.columns)
 
 
 def worker_tail(messages: DataFrame) -> DataFrame:
     """Last message of each worker in each round; the first arrival wins ties."""
-    return _extreme_row(messages, WORKER, F.max, [F.col("ts_us"), -F.col("seq")])
+    return _extreme_row(messages, WORKER, F.max_by, arrival_rank())
 
 
 def distinct_first(messages: DataFrame, keys: list[str]) -> DataFrame:
     """First message per key."""
-    return _extreme_row(messages, keys, F.min, [F.col("ts_us"), F.col("seq")])
+    return _extreme_row(messages, keys, F.min_by, packed_order())
 
 
 def distinct_pairs(messages: DataFrame) -> DataFrame:
@@ -193,20 +203,30 @@ def merge_ordered(streams: list[DataFrame]) -> DataFrame:
     return merged.orderBy("ts_us", "stream_id", "seq")
 
 
-def reduce_by_key(df: DataFrame, keys: list[str], value: str, reducer: str) -> DataFrame:
-    """Keyed reduction with a named reducer, mapped to mergeable built-in aggregates.
+def named_reducers(value: str) -> dict[str, list[Column]]:
+    """Mergeable built-in aggregates by name.
 
-    ``arg_max`` reads ``value`` as the ordering and returns the worker, ``set_union`` returns
-    the distinct values as a sorted array (for bounded domains such as expected pairs).
+    ``arg_max`` orders messages by arrival and returns the worker, ``set_union`` returns the distinct
+    values as a sorted array (for bounded domains such as expected pairs).
     """
-    reducers: dict[str, list[Column]] = {
+    return {
         "sum": [F.sum(value).alias("value")],
         "count": [F.count(value).alias("value")],
         "min_max": [F.min(value).alias("lo"), F.max(value).alias("hi")],
         "arg_max": [F.max_by("worker_id", arrival_rank()).alias("value")],
         "set_union": [F.array_sort(F.collect_set(value)).alias("value")],
     }
-    return df.groupBy(*keys).agg(*reducers[reducer])
+
+
+def reduce_by_key(df: DataFrame, keys: list[str], value: str, reducer: str) -> DataFrame:
+    """Keyed reduction with one named reducer."""
+    return df.groupBy(*keys).agg(*named_reducers(value)[reducer])
+
+
+def reduce_by_key_all(df: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """All named reducers in one pass, each as a struct under its name."""
+    every = [F.struct(*columns).alias(name) for name, columns in named_reducers(value).items()]
+    return df.groupBy(*keys).agg(*every)
 
 
 def fold_by_key(
@@ -217,15 +237,20 @@ def fold_by_key(
     merge: Callable[[Column, Column], Column],
     finish: Callable[[Column], Column],
     piece_rows: int = 4096,
-    levels: int = 2,
+    levels: int | None = None,
 ) -> DataFrame:
     """Keyed fold with a caller-supplied associative ``merge``, applied in ``order``.
 
     ``lift`` turns a row into an accumulator. A key is cut into pieces of ``piece_rows``
     consecutive ``order`` values (a unique non-negative integer), pieces are folded, then
     pieces of pieces, so no task holds a whole key however many rows it has: after L levels
-    one array holds at most ``max(order) / piece_rows ** L`` accumulators.
+    one array holds at most ``max(order) / piece_rows ** L`` accumulators. Without ``levels`` the
+    tree is as deep as the largest order value asks for, so that no array is longer than a piece.
     """
+    if levels is None:
+        levels, reach = 0, (df.agg(F.max(order)).first()[0] or 0) + 1
+        while reach > piece_rows:
+            levels, reach = levels + 1, -(-reach // piece_rows)
     step = df.select(*keys, F.col(order).cast("bigint").alias("_pos"), lift.alias("_acc"))
     for level in range(levels + 1):
         piece = [] if level == levels else [F.floor(F.col("_pos") / piece_rows).alias("_piece")]

@@ -882,6 +882,17 @@ SELECT {EVENT_START_US} + CAST(round_id AS BIGINT) * {DAY_US} AS start_us, job_i
 FROM pk GROUP BY round_id, job_id""",
     "stream_inactivity_alerts": ORACLES["q4_inactivity_alerts"],
     "stream_corr_alerts": ORACLES["q5_corr_alerts"],
+    "reduce_by_key_named": with_(PK) + """
+SELECT job_id, round_id, CAST(sum(chunk_id) AS BIGINT) AS total, count(chunk_id) AS n,
+       min(chunk_id) AS lo, max(chunk_id) AS hi,
+       arg_max(worker_id, (ts_us, -seq)) AS last_worker,
+       array_to_string(list_sort(list(DISTINCT chunk_id)), ',') AS chunks
+FROM pk GROUP BY ALL""",
+    "fold_in_order": with_(PK) + f"""
+SELECT job_id, round_id, list_reduce(
+  list_prepend(1::BIGINT, list(worker_id::BIGINT ORDER BY seq)),
+  lambda x, digit: (x * {S.FOLD_BASE} + digit) % {S.FOLD_PRIME}) AS digest
+FROM pk GROUP BY ALL""",
     "stream_scheduled_rounds": with_(PK, f"""planned AS (
   SELECT job_id, CAST(r AS INTEGER) AS round_id,
          {EVENT_START_US} + job_id * {S.HOUR_US} + r * {S.GAP_DURATION_US + S.GAP_US} AS start_us

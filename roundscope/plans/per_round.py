@@ -197,6 +197,33 @@ def reduce_by_key_fold(spark: SparkSession, sf: str) -> DataFrame:
     ).withColumnRenamed("value", "latency_us")
 
 
+def reduce_by_key_named(spark: SparkSession, sf: str) -> DataFrame:
+    """Every named reducer over the chunks of a round's messages."""
+    reduced = rounds.reduce_by_key_all(events(spark, sf), ROUND, "chunk_id")
+    return reduced.select(
+        *ROUND, F.col("sum.value").alias("total"), F.col("count.value").alias("n"),
+        F.col("min_max.lo").alias("lo"), F.col("min_max.hi").alias("hi"),
+        F.col("arg_max.value").alias("last_worker"),
+        F.array_join(F.col("set_union.value").cast("array<string>"), ",").alias("chunks"),
+    )
+
+
+def fold_in_order(spark: SparkSession, sf: str) -> DataFrame:
+    """A fold whose merge may not be turned around: workers in order of arrival, as digits.
+
+    An accumulator is the step ``x -> m * x + a`` that its messages make together.
+    """
+    base, prime = F.lit(S.FOLD_BASE), F.lit(S.FOLD_PRIME)
+    step = F.struct(base.cast("bigint").alias("m"), F.col("worker_id").cast("bigint").alias("a"))
+    return rounds.fold_by_key(
+        events(spark, sf), ROUND, "seq", step,
+        merge=lambda x, y: F.struct(
+            (x["m"] * y["m"] % prime).alias("m"), ((x["a"] * y["m"] + y["a"]) % prime).alias("a")
+        ),
+        finish=lambda acc: (acc["m"] + acc["a"]) % prime,
+    ).withColumnRenamed("value", "digest")
+
+
 # --- expected schedule ---------------------------------------------------------------------
 
 def q4_failures_from_counts(spark: SparkSession, sf: str) -> DataFrame:
@@ -257,5 +284,6 @@ QUERIES = named(
     map_events, round_schedule, rounds_in_episode, safe_numeric, q1_round_latency,
     q2_worker_counts, q2_lossy_worker, q2_gap_rounds, q3_straggler, q3_tail_gap,
     q4_incomplete_rounds, q4_conversation_gaps, distinct_first, reduce_by_key_fold,
+    reduce_by_key_named, fold_in_order,
     q4_failures_from_counts, q4_inactivity_alerts, q4_inactivity_default_time, timeout_sweep,
 )

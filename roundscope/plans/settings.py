@@ -53,5 +53,7 @@ INTERFERENCE_THRESHOLD = 0.75
 
 TAIL_GAP_US = 10 * 60_000_000
 CONTROL_GAP = 1
+#: Base and modulus of an ordered fold.
+FOLD_BASE, FOLD_PRIME = 31, 1_000_003
 LONG_CHARS = 1000
 JOB_COUNTS = (1, 2, 4)

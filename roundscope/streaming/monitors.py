@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from roundscope.operators.rounds import ROUND, WORKER, arrival_rank
+from roundscope.operators.rounds import ROUND, WORKER, arrival_rank, packed_order
 
 #: How late a message may be; fixed value of the replays.
 LATENESS = "1 hour"
@@ -58,7 +58,6 @@ def distinct_first(messages: DataFrame, keys: list[str], length: str) -> DataFra
     Deduplication by aggregation: the first row is a partial aggregate, while a streaming
     ``dropDuplicates`` would shuffle every row of a busy key and keep whichever came first.
     """
-    rest = [c for c in messages.columns if c not in ("ts", "ts_us", "seq", *keys)]
-    return by_round(messages, keys, length).agg(
-        F.min(F.struct("ts_us", "seq", *rest)).alias("_first")
-    ).select(*keys, "_first.*")
+    rest = [c for c in messages.columns if c not in ("ts", *keys)]
+    first = [F.min_by(c, packed_order()).alias(c) for c in rest]
+    return by_round(messages, keys, length).agg(*first).select(*keys, *rest)

@@ -32,6 +32,12 @@ def test_one_shuffle_with_partial_aggregation(spark, name):
     assert text.count("Exchange") == 1 and "partial_" in text
 
 
+@pytest.mark.parametrize("name", ["distinct_first", "round_tail", "q1_round_latency"])
+def test_messages_are_not_sorted(spark, name):
+    """Orders are numbers of fixed width, so rows are picked by hashing."""
+    assert "SortAggregate" not in plan(catalog.BATCH[name](spark, SF_DIR))
+
+
 def test_estimates_need_no_shuffle_of_keys(spark):
     """Keys keep the partitioning of their counts; only the bounded cell table moves."""
     text = plan(catalog.BATCH["sketch_point_estimate"](spark, SF_DIR))
