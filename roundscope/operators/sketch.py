@@ -52,14 +52,24 @@ def sketch_table(
     )
 
 
+def with_levels(weighted: DataFrame, levels: int, key: str = "key") -> DataFrame:
+    """A row per level that a key enters, from 0 up to its sampled one."""
+    return weighted.withColumn(
+        "level", F.explode(F.sequence(F.lit(0), sampling_level(F.col(key), levels)))
+    )
+
+
+def merge_tables(tables: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """One sketch per value of ``by`` from any number of partial ones: cells add up."""
+    return tables.groupBy(*(by or []), "depth_row", "idx").agg(F.sum("v").alias("v"))
+
+
 def level_tables(
     weighted: DataFrame, levels: int, key: str = "key", weight: str = "cnt",
     width: int = WIDTH, depth: int = DEPTH, seed: int = SEED,
 ) -> DataFrame:
     """Cells of a hierarchy of sketches; a key enters every level up to its sampled one."""
-    leveled = weighted.withColumn(
-        "level", F.explode(F.sequence(F.lit(0), sampling_level(F.col(key), levels)))
-    )
+    leveled = with_levels(weighted, levels, key)
     return sketch_table(leveled, key, weight, width, depth, F.col("level") + seed, by=["level"])
 
 

@@ -88,8 +88,8 @@ def all_counts(messages: str, workers: int) -> str:
   GROUP BY ALL)"""
 
 
-#: Workers below the median of their job; the lowest count of a round first.
-BELOW = "below AS (SELECT * FROM c JOIN (SELECT job_id, median(cnt) AS usual FROM c GROUP BY 1) USING (job_id) WHERE cnt < usual)"
+#: Workers far below the median of their job; the lowest count of a round first.
+BELOW = f"below AS (SELECT * FROM c JOIN (SELECT job_id, median(cnt) AS usual FROM c GROUP BY 1) USING (job_id) WHERE cnt < usual - {S.SHORT_DEVIATIONS} * sqrt(usual))"
 JOBS = """jobs AS (SELECT job_id, CAST(max(round_id) + 3 AS INTEGER) AS n_rounds FROM pk GROUP BY 1)"""
 SCHED = f"""sched AS (
   SELECT job_id, CAST(r AS INTEGER) AS round_id,
@@ -893,6 +893,12 @@ SELECT job_id, round_id, list_reduce(
   list_prepend(1::BIGINT, list(worker_id::BIGINT ORDER BY seq)),
   lambda x, digit: (x * {S.FOLD_BASE} + digit) % {S.FOLD_PRIME}) AS digest
 FROM pk GROUP BY ALL""",
+    "stream_sketch_table": ORACLES["sketch_table"],
+    "stream_sketch_estimate": ORACLES["sketch_point_estimate"],
+    "stream_sketch_levels": ORACLES["sketch_levels"],
+    "stream_state_entries": with_(PK, CNT, KEYED, sketch("s", "keyed", S.SKETCH_WIDTH)) + """
+SELECT 'dataflow' AS system, count(*) AS entries FROM cnt
+UNION ALL SELECT 'dataflow_windowed', 0 UNION ALL SELECT 'sketch', count(*) FROM s_t""",
     "stream_scheduled_rounds": with_(PK, f"""planned AS (
   SELECT job_id, CAST(r AS INTEGER) AS round_id,
          {EVENT_START_US} + job_id * {S.HOUR_US} + r * {S.GAP_DURATION_US + S.GAP_US} AS start_us

@@ -137,11 +137,18 @@ def q2_worker_counts(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def q2_lossy_worker(spark: SparkSession, sf: str) -> DataFrame:
-    """Silent workers count as well; a worker falls short of what its job's workers usually send."""
+    """Workers far below what their job's workers usually send; silent ones count as well.
+
+    A healthy worker's count varies by about the root of what is usual, so it falls short only
+    ``SHORT_DEVIATIONS`` of them below.
+    """
     counts = materialize(
         rounds.complete_counts(rounds.worker_counts(events(spark, sf)), S.N_WORKERS), "all-counts"
     )
-    jobs = rounds.usual(counts, "cnt").withColumnRenamed("usual", "expected_chunks")
+    usual = F.col("usual")
+    jobs = rounds.usual(counts, "cnt").select(
+        "job_id", (usual - S.SHORT_DEVIATIONS * F.sqrt(usual)).alias("expected_chunks")
+    )
     return rounds.lossy_worker(counts, jobs)
 
 

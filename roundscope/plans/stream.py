@@ -7,13 +7,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from roundscope.functions.numeric import half_even
-from roundscope.operators import correlate
+from roundscope.operators import correlate, sketch
 from roundscope.operators.schedule import episodes, schedule
 from roundscope.plans import settings as S
 from roundscope.plans.base import (
-    PAIR, ROUND, WORKER, named, round_metrics, round_start_us, usual_counts,
+    PAIR, ROUND, WORKER, event_counts, keyed, named, round_metrics, round_start_us, usual_counts,
 )
 from roundscope.plans.correlation import alerts
+from roundscope.plans.sketches import KEY_COLUMNS
 from roundscope.session import materialize
 from roundscope.sources import bindings
 from roundscope.streaming import monitors, stateful
@@ -112,6 +113,58 @@ def stream_inactivity_alerts(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def stream_sketch_table(spark: SparkSession, sf: str) -> DataFrame:
+    """One sketch per day, merged afterwards."""
+    replay, messages = replay_events(spark, sf)
+    daily = replay.to_table(monitors.sketch_tables(messages, WORKER, LENGTH, S.SKETCH_WIDTH))
+    return sketch.merge_tables(daily)
+
+
+def stream_sketch_estimate(spark: SparkSession, sf: str) -> DataFrame:
+    """Estimates read from merged daily sketches."""
+    counts = keyed(event_counts(spark, sf))
+    cells = materialize(stream_sketch_table(spark, sf), "sketch-cells")
+    return sketch.point_estimates(counts, cells, [*WORKER, "cnt"], width=S.SKETCH_WIDTH)
+
+
+def stream_sketch_levels(spark: SparkSession, sf: str) -> DataFrame:
+    replay, messages = replay_events(spark, sf)
+    daily = replay.to_table(monitors.sketch_tables(
+        messages, KEY_COLUMNS["job_worker"], LENGTH, S.SKETCH_WIDTH, S.SKETCH_LEVELS
+    ))
+    return sketch.merge_tables(daily, ["level"])
+
+
+def stream_state_entries(spark: SparkSession, sf: str) -> DataFrame:
+    """State measured in the checkpoints of streams that have taken in everything.
+
+    Exact counts without a horizon keep every key, closed rounds keep none, and a sketch that is
+    never closed keeps its cells; ``state_totals`` has what the models say.
+    """
+    found = None
+    for model in ("dataflow", "dataflow_windowed", "sketch"):
+        replay, messages = replay_events(spark, sf)
+        real = messages.filter("seq is not null")
+        if model == "dataflow":
+            plan = real.groupBy(*WORKER).agg(F.count(F.lit(1)).alias("cnt"))
+        elif model == "dataflow_windowed":
+            plan = monitors.worker_counts(messages, LENGTH)
+        else:
+            # One row per message: its key is hashed as it comes.
+            single = keyed(real.select(*WORKER, F.lit(1).alias("cnt")))
+            plan = sketch.sketch_table(single, width=S.SKETCH_WIDTH)
+        replay.for_each_batch(plan, lambda rows, batch_id: rows.write.format("noop").mode(
+            "overwrite").save(), "update")
+        held = replay.state()
+        if model == "dataflow_windowed":
+            # But for the row that ended the replay.
+            held = held.filter("key.worker_id is not null")
+        entries = held.agg(F.count(F.lit(1)).alias("entries"))
+        one = materialize(entries.select(F.lit(model).alias("system"), "entries"), "state-entries")
+        found = one if found is None else found.unionByName(one)
+    return found
+
+
 def shifted_jobs(spark: SparkSession, sf: str) -> DataFrame:
     """The configured jobs on another schedule: each starts later than the one before it, and its
     rounds have gaps between them."""
@@ -223,6 +276,7 @@ def stream_episode_detection(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES = named(
     stream_scan_events, stream_distinct, stream_inactivity_alerts, stream_deadline_alerts,
-    stream_scheduled_rounds, stream_corr_alerts, stream_configured_pair, stream_episode_detection, stream_q1_latency,
+    stream_scheduled_rounds, stream_sketch_table, stream_sketch_estimate, stream_sketch_levels,
+    stream_state_entries, stream_corr_alerts, stream_configured_pair, stream_episode_detection, stream_q1_latency,
     stream_q2_counts, stream_tumbling_counts, stream_q3_straggler,
 )

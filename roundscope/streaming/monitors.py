@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from roundscope.functions.hashing import key_text
+from roundscope.operators import sketch
 from roundscope.operators.rounds import ROUND, WORKER, arrival_rank, packed_order
 
 #: How late a message may be; fixed value of the replays.
@@ -61,3 +63,22 @@ def distinct_first(messages: DataFrame, keys: list[str], length: str) -> DataFra
     rest = [c for c in messages.columns if c not in ("ts", *keys)]
     first = [F.min_by(c, packed_order()).alias(c) for c in rest]
     return by_round(messages, keys, length).agg(*first).select(*keys, *rest)
+
+
+def sketch_tables(
+    messages: DataFrame, columns: list[str], length: str, width: int, levels: int | None = None,
+) -> DataFrame:
+    """The sketch of each window over keys made of ``columns``, as cells, when the window closes.
+
+    Messages are counted per key first, so a key is hashed once per window; the cells of a window
+    are state of fixed size. Sketches of windows add up to that of the whole stream.
+    """
+    counts = by_round(messages, columns, length).agg(F.count(F.lit(1)).alias("cnt"))
+    weighted = counts.withColumn("key", key_text(*map(F.col, columns)))
+    if levels:
+        leveled = sketch.with_levels(weighted, levels)
+        by, seed = ["window", "level"], F.col("level") + sketch.SEED
+    else:
+        leveled, by, seed = weighted, ["window"], sketch.SEED
+    cells = sketch.sketch_table(leveled, width=width, seed=seed, by=by)
+    return cells.withColumn("start_us", F.unix_micros("window.start")).drop("window")

@@ -146,3 +146,9 @@ class Replay:
             .foreachBatch(step)
             .start()
         )
+
+    def state(self, operator: int = 0) -> DataFrame:
+        """Entries that an operator of the last run holds in its checkpoint: ``key``, ``value``."""
+        return self.session.read.format("statestore").option("operatorId", operator).load(
+            f"{self.root}/checkpoint"
+        ).select("key", "value")
