@@ -31,6 +31,8 @@ STATS = (
 )
 
 ROUNDS = 200
+#: Bytes of text that votes are taken from at once.
+PIECE_BYTES = 512 << 10
 #: Rules that may also speak for a document; the others vote against it or abstain.
 TWO_SIDED = ("length", "word_length")
 #: What is believed before any document is seen: the chance of a vote against, of none and of one
@@ -106,7 +108,7 @@ def document_stats(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [part.split()[0] for part in STATS.split(",")]
-        for piece in slices(batches, "text"):
+        for piece in slices(batches, "text", PIECE_BYTES):
             found = block_stats(Block(piece.column("text")))
             yield pa.RecordBatch.from_arrays(
                 [piece.column("doc_id").cast(pa.int64())]
@@ -122,7 +124,7 @@ def with_stats(docs: DataFrame, name: str) -> DataFrame:
     fields = T.StructType.fromDDL(STATS).fields[1:]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for piece in slices(batches, "text"):
+        for piece in slices(batches, "text", PIECE_BYTES):
             found = block_stats(Block(piece.column("text")))
             stats = pa.StructArray.from_arrays(
                 [pa.array(found[f.name].astype(np.int64)) for f in fields],

@@ -6,9 +6,9 @@ Registers of similar sets agree often, so bands of them are buckets of candidate
 pair, how many registers are larger on either side gives the likelihood of each similarity, and
 pairs whose best estimate is hopeless go no further. The rest are compared on their full sets.
 
-Documents with equal shingle sets are one class from the start. Within a bucket each class is
-compared with one centre, the class that meets most others in its buckets: the text that copies were
-made from. Classes that no link has joined yet are compared with the classes of other components,
+Documents with equal shingle sets are one class from the start. Each bucket has a centre, the class
+that meets most others in its buckets: the text that copies were made from. A class is compared with
+the most met of its centres, and with the others only where that has not joined them. Classes that no link has joined yet are compared with the classes of other components,
 but only where a link is possible: a shingle that no other open class has is in no intersection, so
 the rest of the two sets bounds their similarity. Links between components are all found while
 pairs inside one, and pairs that cannot be linked, are not made.
@@ -39,6 +39,8 @@ SCALE, TOP = 1.02, 4095
 #: A pair goes on if its estimated similarity is not this far (in similarity) below the threshold:
 #: over five standard deviations of the estimate, which is 0.04 at 0.85 with 80 registers.
 SLACK = 0.25
+#: Bytes of text whose shingles are made at once.
+PIECE_BYTES = 512 << 10
 #: Members of one centre that are compared in one group.
 GROUP = 500
 
@@ -108,7 +110,7 @@ def sketches(docs: DataFrame, bands: int = BANDS) -> DataFrame:
     """Per document: size of its shingle set, a digest of the set, and its registers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for piece in slices(batches, "text"):
+        for piece in slices(batches, "text", PIECE_BYTES):
             sets = shingle_sets(piece.column("text"))
             registers = sketch(sets, bands * ROWS)
             yield pa.RecordBatch.from_arrays(
@@ -195,7 +197,7 @@ def full_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """``class, shingles`` of the wanted classes, taken from the text of one document of each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for piece in slices(batches, "text"):
+        for piece in slices(batches, "text", PIECE_BYTES):
             sets = shingle_sets(piece.column("text"))
             same = [digest(s) == c.as_py() for s, c in zip(sets, piece.column("class"))]
             kept = [i for i, ok in enumerate(same) if ok]
@@ -210,7 +212,7 @@ def full_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     sets = rows.select("class", "text").mapInArrow(run, "class binary, shingles binary")
 
     def nameless(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for piece in slices(batches, "text"):
+        for piece in slices(batches, "text", PIECE_BYTES):
             found = [s for s in shingle_sets(piece.column("text")) if len(s)]
             yield pa.RecordBatch.from_arrays(
                 [pa.array([digest(s) for s in found], pa.binary()),
@@ -320,17 +322,35 @@ def near_duplicates(docs: DataFrame, hundredths: int = 85) -> DataFrame:
     members = materialize(banded.join(shared, "bucket"), "bucket-members")
     met = members.groupBy("class").agg(F.sum("n").alias("met"))
     centres = members.join(met, "class").groupBy("bucket").agg(
-        F.max(F.struct("met", "class"))["class"].alias("a")
-    )
+        F.max(F.struct("met", F.col("class").alias("a"))).alias("centre")
+    ).select("bucket", "centre.*")
     least = hundredths / 100 - SLACK
-    first = materialize(estimated(
+    led = materialize(
         members.join(centres, "bucket").filter(F.col("class") != F.col("a"))
-        .select("a", F.col("class").alias("b")).distinct(), classes, least,
-    ), "candidates")
+        .select("met", "a", F.col("class").alias("b")), "led-classes",
+    )
+    # Each class meets one centre at first, the one that meets most others.
+    one_each = led.groupBy("b").agg(F.max(F.struct("met", "a"))["a"].alias("a")).select("a", "b")
+    first = materialize(estimated(one_each, classes, least), "candidates")
     wanted = members.select("class").distinct().join(classes.select("class", "doc_id"), "class")
     sets = materialize(full_sets(docs, wanted), "shingle-sets")
     links = materialize(verified(first, sets, hundredths), "links")
     roots = materialize(components(links), "roots")
+
+    def apart(pairs: DataFrame) -> DataFrame:
+        """Pairs that lie in different components so far."""
+        for name in ("a", "b"):
+            root = roots.select(F.col("node").alias(name), F.col("root").alias(f"root_{name}"))
+            pairs = pairs.join(root, name, "left")
+        own = [F.coalesce(F.col(f"root_{name}"), F.col(name)) for name in ("a", "b")]
+        return pairs.filter(own[0] != own[1]).select("a", "b")
+
+    # Then the centres of its other buckets that it is not linked with yet.
+    others = led.select("a", "b").distinct().join(one_each, ["a", "b"], "left_anti")
+    other = materialize(estimated(apart(others), classes, least), "candidates")
+    links = materialize(links.union(verified(other, sets, hundredths)), "links")
+    roots = materialize(components(links), "roots")
+    first = one_each.union(others)
     # Classes of one bucket that are in different components, and have not been compared yet.
     placed = members.join(
         roots.withColumnRenamed("node", "class"), "class", "left"
