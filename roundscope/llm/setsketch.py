@@ -321,40 +321,38 @@ def near_duplicates(docs: DataFrame, hundredths: int = 85) -> DataFrame:
     shared = banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     members = materialize(banded.join(shared, "bucket"), "bucket-members")
     met = members.groupBy("class").agg(F.sum("n").alias("met"))
-    centres = members.join(met, "class").groupBy("bucket").agg(
+    centres = materialize(members.join(met, "class").groupBy("bucket").agg(
         F.max(F.struct("met", F.col("class").alias("a"))).alias("centre")
-    ).select("bucket", "centre.*")
+    ).select("bucket", "centre.*"), "bucket-centres")
     least = hundredths / 100 - SLACK
-    led = materialize(
-        members.join(centres, "bucket").filter(F.col("class") != F.col("a"))
-        .select("met", "a", F.col("class").alias("b")), "led-classes",
-    )
     # Each class meets one centre at first, the one that meets most others.
-    one_each = led.groupBy("b").agg(F.max(F.struct("met", "a"))["a"].alias("a")).select("a", "b")
+    one_each = members.join(centres, "bucket").filter(F.col("class") != F.col("a")).groupBy(
+        F.col("class").alias("b")
+    ).agg(F.max(F.struct("met", "a"))["a"].alias("a")).select("a", "b")
     first = materialize(estimated(one_each, classes, least), "candidates")
     wanted = members.select("class").distinct().join(classes.select("class", "doc_id"), "class")
     sets = materialize(full_sets(docs, wanted), "shingle-sets")
     links = materialize(verified(first, sets, hundredths), "links")
     roots = materialize(components(links), "roots")
 
-    def apart(pairs: DataFrame) -> DataFrame:
-        """Pairs that lie in different components so far."""
-        for name in ("a", "b"):
-            root = roots.select(F.col("node").alias(name), F.col("root").alias(f"root_{name}"))
-            pairs = pairs.join(root, name, "left")
-        own = [F.coalesce(F.col(f"root_{name}"), F.col(name)) for name in ("a", "b")]
-        return pairs.filter(own[0] != own[1]).select("a", "b")
-
-    # Then the centres of its other buckets that it is not linked with yet.
-    others = led.select("a", "b").distinct().join(one_each, ["a", "b"], "left_anti")
-    other = materialize(estimated(apart(others), classes, least), "candidates")
+    def placed_classes() -> DataFrame:
+        return members.select("bucket", "class").join(
+            roots.withColumnRenamed("node", "class"), "class", "left"
+        ).select("bucket", "class", F.coalesce("root", "class").alias("root"))
+
+    # Then the centres of its other buckets, where it is not linked with them yet.
+    led = centres.select("bucket", "a").join(
+        roots.select(F.col("node").alias("a"), F.col("root").alias("root_a")), "a", "left"
+    ).select("bucket", "a", F.coalesce("root_a", "a").alias("root_a"))
+    others = materialize(placed_classes().join(led, "bucket").filter(
+        F.col("root") != F.col("root_a")
+    ).select("a", F.col("class").alias("b")).distinct(), "other-centres")
+    other = materialize(estimated(others, classes, least), "candidates")
     links = materialize(links.union(verified(other, sets, hundredths)), "links")
     roots = materialize(components(links), "roots")
-    first = one_each.union(others)
+    first = first.union(others)
     # Classes of one bucket that are in different components, and have not been compared yet.
-    placed = members.join(
-        roots.withColumnRenamed("node", "class"), "class", "left"
-    ).select("bucket", "class", F.coalesce("root", "class").alias("root"))
+    placed = placed_classes()
     mixed = placed.groupBy("bucket").agg(
         F.min("root").alias("low"), F.max("root").alias("high")
     ).filter("low != high").select("bucket")
