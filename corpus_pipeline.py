@@ -59,8 +59,8 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("bpe", tokens),
 ]
 
-#: SQL can express neither the learned rule weights nor the merges; a test compares the rows with a
-#: plain version of every stage.
+#: SQL can express neither the learned rule weights nor the merges. Tests compare the operators behind
+#: the stages with plain versions; the stages together have no such test yet.
 ORACLE_SQL = None
 
 
