@@ -169,8 +169,9 @@ def score_straggler(spark: SparkSession, sf: str) -> DataFrame:
     messages of a worker alike, so the last message per worker is found once
     and the delays are applied to those few rows.
     """
-    last = events(spark, sf).groupBy(*WORKER).agg(F.max(rounds.arrival_rank()).alias("_last"))
-    tails = last.select(*WORKER, "_last.ts_us", "_last.arrival")
+    tails = rounds.worker_tail(events(spark, sf).select(*WORKER, "ts_us", "seq")).select(
+        *WORKER, "ts_us", (-F.col("seq")).alias("arrival")
+    )
     grid = tails.select("*", every_seed(
         straggler=lambda seed: mask.seeded_worker(seed, "straggler", S.N_WORKERS)
     )).select("*", every(S.DELAYS_MS, "delay_ms"))
