@@ -1,10 +1,11 @@
 """Quality rules that vote or abstain, weighed by expectation-maximisation.
 
-No rule decides alone. Each one says good (1), bad (-1) or nothing (0) of a document; how often
-each vote falls on good and on bad documents is estimated from all documents without labels, and
-the posterior probability of being good replaces the demand that all rules pass. Documents with the
-same votes are alike to the model, so it sees one row for each pattern of votes: at most
-three to the number of rules, however many documents there are.
+No rule decides alone. Each one says good (1), bad (-1) or nothing (0) of a document; how often a
+rule that speaks is right about good and about bad documents is estimated from all documents
+without labels, and the posterior probability of being good replaces the demand that all rules
+pass. A rule that turns down many documents which the others praise is found to be unreliable and is
+overruled. Documents with the same votes are alike to the model, so it sees one row for each pattern
+of votes: at most three to the number of rules, however many documents there are.
 """
 
 from __future__ import annotations
@@ -33,13 +34,11 @@ STATS = (
 ROUNDS = 200
 #: Bytes of text that votes are taken from at once.
 PIECE_BYTES = 512 << 10
-#: Rules that may also speak for a document; the others vote against it or abstain.
-TWO_SIDED = ("length", "word_length")
-#: What is believed before any document is seen: the chance of a vote against, of none and of one
-#: in favour, on good and on bad documents. It weighs as much as this share of all documents.
-BELIEF_GOOD, BELIEF_BAD = (0.0005, 0.9995, 0.0), (0.3, 0.7, 0.0)
-BELIEF_GOOD_TWO, BELIEF_BAD_TWO = (0.0005, 0.1995, 0.8), (0.3, 0.35, 0.35)
-BELIEF_SHARE = 0.5
+#: Before any document is seen, a rule is taken to be right about this share of the good and of the
+#: bad documents it speaks of. That weighs as much as ``PSEUDO`` documents and no more.
+BELIEF_GOOD, BELIEF_BAD, PSEUDO = 0.9, 0.5, 4
+#: First guess of being good by the number of votes against: none, one, or two and more that agree.
+FIRST_GUESS = (0.9, 0.6, 0.1)
 
 
 def _repeated(text: np.ndarray, values: np.ndarray) -> np.ndarray:
@@ -136,39 +135,40 @@ def with_stats(docs: DataFrame, name: str) -> DataFrame:
     return docs.mapInArrow(run, schema)
 
 
-def _vote(bad: Column, good: Column | None = None) -> Column:
+def _vote(bad: Column, good: Column) -> Column:
     """-1, 1 or, where neither holds, 0."""
-    vote = F.when(bad, F.lit(-1))
-    return (vote if good is None else vote.when(good, F.lit(1))).otherwise(F.lit(0))
+    return F.when(bad, F.lit(-1)).when(good, F.lit(1)).otherwise(F.lit(0))
 
 
 def rules(stat: Callable[[str], Column] = F.col) -> dict[str, Column]:
     """The vote of each rule as a column of -1, 0 or 1; ``stat`` gives the column of a figure.
 
-    A text without symbols is no better for it, so rules that look for one kind of junk abstain
-    where they find none; only length and word length speak for a document.
+    Every rule can speak for a document as well as against it, and abstains between the two bounds
+    or where a text is too short to tell. ``variety`` compares logarithms of the numbers of distinct
+    and of all words, as their plain ratio falls with the length of any text.
     """
 
     def ratio(part: str, whole: str) -> Column:
         return stat(part) / F.greatest(stat(whole), F.lit(1))
 
-    words = stat("n_words")
+    words, lines = stat("n_words"), stat("n_lines")
     mean_word = ratio("word_chars", "n_words")
     symbols = ratio("n_symbols", "n_words")
     marks = ratio("n_symbols", "word_chars")
     dup_lines = ratio("n_dup_lines", "n_lines")
     repeats = ratio("n_repeat_words", "n_words")
     upper = ratio("n_upper", "n_letters")
-    distinct = ratio("n_distinct", "n_words")
+    variety = F.log(F.greatest(stat("n_distinct"), F.lit(1))) / F.log(F.greatest(words, F.lit(2)))
+    long = words >= 10
     return {
-        "length": _vote(words < 10, words >= 30),
-        "word_length": _vote((mean_word < 2) | (mean_word > 15), mean_word.between(3, 10)),
-        "symbols": _vote(symbols > 0.2),
-        "marks": _vote((words >= 10) & (marks > 0.03)),
-        "dup_lines": _vote((stat("n_lines") >= 6) & (dup_lines > 0.4)),
-        "repeats": _vote(repeats > 0.2),
-        "capitals": _vote((words >= 10) & (upper > 0.4)),
-        "variety": _vote((words >= 20) & (distinct < 0.2) & (words < 2000)),
+        "length": _vote(words < 50, words >= 100),
+        "word_length": _vote((mean_word < 3) | (mean_word > 10), mean_word.between(4, 8)),
+        "symbols": _vote(symbols > 0.1, long & (symbols < 0.02)),
+        "marks": _vote(long & (marks > 0.03), long & (marks < 0.005)),
+        "dup_lines": _vote((lines >= 4) & (dup_lines > 0.3), (lines >= 4) & (dup_lines < 0.1)),
+        "repeats": _vote(repeats > 0.2, (words >= 30) & (repeats < 0.05)),
+        "capitals": _vote(long & (upper > 0.3), long & (upper < 0.1)),
+        "variety": _vote((words >= 20) & (variety < 0.75), (words >= 20) & (variety > 0.85)),
     }
 
 
@@ -176,34 +176,30 @@ def _failed(stat: Callable[[str], Column]) -> Column:
     return (stat("n_words") < 10) | (100 * stat("n_repeat_words") > 20 * stat("n_words"))
 
 
-def fit(
-    patterns: np.ndarray, counts: np.ndarray, two_sided: list[bool]
-) -> tuple[float, np.ndarray]:
+def fit(patterns: np.ndarray, counts: np.ndarray) -> tuple[float, np.ndarray]:
     """Share of good documents, and log-odds of each rule's three votes, by EM.
 
-    ``patterns`` has a row of votes for each pattern, ``counts`` how many documents show it. The
-    first guess doubts documents with any vote against them, as most kinds of junk break one rule
-    or two. Estimates are maxima a posteriori under the beliefs above; they keep good and bad from
-    changing places and one frequent kind of junk from passing as good. The fit depends on the
-    shares of the patterns only, so it is the same at every size.
+    ``patterns`` has a row of votes for each pattern, ``counts`` how many documents show it. Given
+    whether a document is good, rules that speak are right independently of each other; a rule that
+    abstains tells nothing. The first guess doubts documents that two rules agree against, and
+    leaves open what a single rule says; from there on estimated accuracies decide.
     """
     n_rules = patterns.shape[1]
-    total = counts.sum()
-    if not total:
+    if not counts.sum():
         return 0.5, np.zeros((n_rules, 3))
-    onehot = np.stack([patterns == v for v in (-1, 0, 1)], axis=2).astype(float)
-    counts = counts / total
-    belief_good = np.array([BELIEF_GOOD_TWO if two else BELIEF_GOOD for two in two_sided])
-    belief_bad = np.array([BELIEF_BAD_TWO if two else BELIEF_BAD for two in two_sided])
-    good = np.where((patterns < 0).any(axis=1), 0.1, 0.9)
+    against, favour = (patterns < 0).astype(float), (patterns > 0).astype(float)
+    good = np.asarray(FIRST_GUESS)[np.minimum(against.sum(axis=1), 2).astype(int)]
     for _ in range(ROUNDS):
-        share = np.clip((counts * good).sum(), 0.02, 0.98)
-        right = np.tensordot(counts * good, onehot, 1) + BELIEF_SHARE * belief_good
-        wrong = np.tensordot(counts * (1 - good), onehot, 1) + BELIEF_SHARE * belief_bad
-        right /= right.sum(axis=1, keepdims=True)
-        wrong /= wrong.sum(axis=1, keepdims=True)
-        odds = np.log(np.maximum(right, 1e-12)) - np.log(np.maximum(wrong, 1e-12))
-        logit = math.log(share / (1 - share)) + np.tensordot(onehot, odds, 2)
+        share = ((counts * good).sum() + 2) / (counts.sum() + 4)
+        heard = (counts * good) @ (against + favour)
+        right = ((counts * good) @ favour + BELIEF_GOOD * PSEUDO) / (heard + PSEUDO)
+        heard = (counts * (1 - good)) @ (against + favour)
+        caught = ((counts * (1 - good)) @ against + BELIEF_BAD * PSEUDO) / (heard + PSEUDO)
+        odds = np.stack([
+            np.log(1 - right) - np.log(caught), np.zeros(n_rules),
+            np.log(right) - np.log(1 - caught),
+        ], axis=1)
+        logit = math.log(share / (1 - share)) + against @ odds[:, 0] + favour @ odds[:, 2]
         now = 1 / (1 + np.exp(-logit))
         if np.abs(now - good).max() < 1e-9:
             break
@@ -218,9 +214,7 @@ def estimate(stats: DataFrame) -> tuple[float, dict[str, tuple[float, ...]]]:
     seen = stats.groupBy(*[v.alias(n) for n, v in votes.items()]).count().collect()
     seen = sorted(tuple(r) for r in seen)
     patterns = np.array([r[:-1] for r in seen], int).reshape(-1, len(votes))
-    share, odds = fit(
-        patterns, np.array([r[-1] for r in seen], float), [n in TWO_SIDED for n in votes]
-    )
+    share, odds = fit(patterns, np.array([r[-1] for r in seen], float))
     return float(share), {n: tuple(o) for n, o in zip(votes, odds.tolist())}
 
 
@@ -253,7 +247,10 @@ def label(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
 
 
 def filter_documents(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """The rows that the rules keep, with the columns they came with.
+    """The rows that the rules keep (see :func:`label`), with the columns they came with.
+
+    Rows with a null or empty text go; repeated rows and rows without a doc_id are judged like any
+    other; an empty table stays empty. Columns of any name pass through.
 
     The figures are taken twice, once to fit the model and once beside the text, as that moves no
     text between executors.

@@ -132,6 +132,34 @@ def quality(text: str | None) -> tuple:
     )
 
 
+def em_posteriors(votes: list[tuple], rounds: int) -> list[float]:
+    """Chance of being good of each document, by two-coin EM document by document."""
+    good = [(0.9, 0.6, 0.1)[min(sum(v < 0 for v in row), 2)] for row in votes]
+    for _ in range(rounds):
+        share = (sum(good) + 2) / (len(votes) + 4)
+        sums = []
+        for rule in range(len(votes[0])):
+            spoken = [(row[rule], g) for row, g in zip(votes, good) if row[rule]]
+            yes_good = sum(g for v, g in spoken if v > 0) + 3.6
+            no_bad = sum(1 - g for v, g in spoken if v < 0) + 2
+            sums.append((
+                yes_good / (sum(g for _, g in spoken) + 4),
+                no_bad / (sum(1 - g for _, g in spoken) + 4),
+            ))
+        before, good = good, []
+        for row in votes:
+            ratio = share / (1 - share)
+            for vote, (right, caught) in zip(row, sums):
+                if vote > 0:
+                    ratio *= right / (1 - caught)
+                elif vote < 0:
+                    ratio *= (1 - right) / caught
+            good.append(ratio / (1 + ratio))
+        if max(abs(a - b) for a, b in zip(before, good)) < 1e-9:
+            break
+    return good
+
+
 def backoff_scores(rows) -> list[tuple]:
     """doc_id, words, shortened, unseen, log score by counts of the other rows."""
     docs = [(i, words(t)) for i, t in rows]

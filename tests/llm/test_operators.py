@@ -6,6 +6,7 @@ import base64
 import os
 import random
 
+import numpy as np
 import plain
 import public_tokenizers
 import pytest
@@ -272,6 +273,33 @@ def test_quality_verdicts_agree_with_labels(spark):
     assert share[True] > 0.95 and share[False] < 0.2
 
 
+def test_quality_is_not_all_must_pass(spark):
+    out = rules.label(queries.table(spark, SF_DIR, "documents")).filter(~F.col("base_failed"))
+    votes = [c for c in out.columns if c.startswith("vote_")]
+    rows = [r.asDict() for r in out.select(*votes, "kept", "posterior").collect()]
+    rejected = [r for r in rows if min(r[v] for v in votes) < 0]
+    # Documents that one unreliable rule turns down while the others speak for them stay.
+    assert any(r["kept"] for r in rejected)
+    assert all(not r["kept"] for r in rejected if sum(r[v] < 0 for v in votes) >= 3)
+
+
+def test_quality_posterior_equals_plain_em(spark):
+    out = rules.label(queries.table(spark, SF_DIR, "documents"))
+    votes = [c for c in out.columns if c.startswith("vote_")]
+    rows = out.select(*votes, "posterior").collect()
+    expected = plain.em_posteriors([tuple(r)[:-1] for r in rows], rules.ROUNDS)
+    for row, wanted in zip(rows, expected, strict=True):
+        assert abs(row["posterior"] - wanted) < 1e-6
+
+
+def test_unreliable_rule_is_overruled():
+    # Rules 1 to 3 agree; rule 4 rejects a third of what they praise.
+    patterns = np.array([[1, 1, 1, 1], [1, 1, 1, -1], [-1, -1, -1, -1], [-1, -1, -1, 1]])
+    share, odds = rules.fit(patterns, np.array([400.0, 200.0, 60.0, 30.0]))
+    assert abs(share - 602 / 694) < 0.01
+    assert abs(odds[3]).max() < 0.2 < 2 < abs(odds[:3, [0, 2]]).min()
+
+
 def test_backoff_scores(edge_docs, edge_rows):
     docs, rows = twice(edge_docs, edge_rows)
     found = [
