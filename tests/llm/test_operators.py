@@ -297,7 +297,8 @@ def test_unreliable_rule_is_overruled():
     patterns = np.array([[1, 1, 1, 1], [1, 1, 1, -1], [-1, -1, -1, -1], [-1, -1, -1, 1]])
     share, odds = rules.fit(patterns, np.array([400.0, 200.0, 60.0, 30.0]))
     assert abs(share - 602 / 694) < 0.01
-    assert abs(odds[3]).max() < 0.2 < 2 < abs(odds[:3, [0, 2]]).min()
+    # Right about two thirds of either kind: its word is worth log 2, that of the others much more.
+    assert abs(odds[3]).max() < 0.75 and abs(odds[:3, [0, 2]]).min() > 3
 
 
 def test_backoff_scores(edge_docs, edge_rows):
