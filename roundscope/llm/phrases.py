@@ -25,6 +25,8 @@ from roundscope.llm.blocks import ALNUM, Block, slices
 from roundscope.session import materialize, work_path
 
 SEGMENT_BYTES = 4 << 20
+#: Bytes of text that are looked at once where nothing is stored.
+PIECE_BYTES = 512 << 10
 WINDOW = 10
 #: Words of test items that a search takes along at once; more items are searched in more passes.
 QUERY_WORDS = 200_000
@@ -374,7 +376,7 @@ def without_hits(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         shared = context.broadcast(windows)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            for piece in slices(batches, "text", SEGMENT_BYTES):
+            for piece in slices(batches, "text", PIECE_BYTES):
                 clean = np.ones(piece.num_rows, bool)
                 clean[list(_hits(Segment.of(piece.column("text")), shared.value))] = False
                 yield piece.filter(pa.array(clean))
