@@ -12,6 +12,9 @@ from pyspark.sql import DataFrame, SparkSession
 #: Row bound under which a side whose size follows from parameters alone is broadcast.
 BROADCAST_ROW_LIMIT = 1_000_000
 
+#: Whether a query's shuffle files go when it ends, not when its plan is forgotten.
+_DROP_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 _local_root: str | None = None
 _shipped: set[str] = set()
 
@@ -75,10 +78,18 @@ def work_path(spark: SparkSession, label: str) -> str:
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` once as a table in the shared folder and read it back, cutting lineage."""
+    """Write ``df`` once as a table in the shared folder and read it back, cutting lineage.
+
+    Nothing reads the shuffles of that write again, so Spark drops their files when it has ended.
+    """
     spark = df.sparkSession
     path = work_path(spark, label)
-    df.write.parquet(path)
+    before = spark.conf.get(_DROP_SHUFFLES, "false")
+    spark.conf.set(_DROP_SHUFFLES, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_DROP_SHUFFLES, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
