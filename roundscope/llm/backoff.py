@@ -6,6 +6,10 @@ them back in the order the block listed its n-grams in, so that the block can jo
 n-grams of its documents, and sum scores per document. An n-gram is one entry per block and table
 however frequent it is; the number of partitions follows the size of the corpus.
 
+Widths go upwards, a table each. An n-gram is sent only where both its halves of one word less occur
+in another document; any other is in no other document, so nothing is lost. What a table sends back
+is kept until the scores are made, its shuffle is not.
+
 A document is scored by the counts of all others: what it contributes itself is taken off first.
 """
 
@@ -27,14 +31,15 @@ BLOCK_BYTES = 4 << 20
 BACKOFF = 0.4
 ORDER = 2
 #: Bytes of text for each partition of a count table.
-PARTITION_BYTES = 4 << 20
+PARTITION_BYTES = 16 << 20
 PARTITIONS = 16
 
 _PACKED = (
     "block bigint, doc_ids binary, known binary, sizes binary, packed binary, n_bytes bigint, "
     "n_words bigint"
 )
-_ENTRIES = "block bigint, width int, part int, hashes binary, counts binary"
+_ENTRIES = "block bigint, part int, hashes binary, counts binary"
+_TOTALS = "block bigint, width int, part int, totals binary"
 
 
 def _names(schema: str) -> list[str]:
@@ -78,85 +83,154 @@ def _unpack(row: dict) -> Block:
     return block
 
 
-def ngrams(block: Block, width: int) -> tuple[Words, np.ndarray, np.ndarray]:
-    """Words of the block, first word of each n-gram, and its hash."""
+def _part(hashes: np.ndarray, parts: int) -> np.ndarray:
+    """Sorted hashes fall into partitions in order."""
+    return ((hashes >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
+
+
+def _squeeze(values: np.ndarray) -> bytes:
+    """Integers of eight bytes, compressed by place: high bytes are mostly zero."""
+    planes = np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8).T)
+    return pa.Codec("zstd", 1).compress(planes.tobytes(), asbytes=True)
+
+
+def _expand(packed: bytes | pa.Buffer, n: int) -> np.ndarray:
+    raw = pa.Codec("zstd").decompress(packed, 8 * n, asbytes=True)
+    planes = np.frombuffer(raw, np.uint8).reshape(8, n)
+    return np.ascontiguousarray(planes.T).reshape(-1).view("<u8")
+
+
+def _sizes(hashes: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
+    """Partitions that sorted hashes fall into, and where each begins (one more edge at the end)."""
+    own = _part(hashes, parts)
+    edges = np.flatnonzero(np.diff(own, prepend=-1))
+    return own[edges], np.append(edges, len(own))
+
+
+def _wanted(words: Words, hashes: np.ndarray, width: int, alive: np.ndarray | None):
+    """First word and hash of the n-grams that can occur in another document.
+
+    ``alive`` marks where an n-gram of one word less begins that another document has; an n-gram
+    whose two shorter halves are not both such is in no other document either.
+    """
+    n = max(len(hashes) - width + 1, 0)
+    at = np.flatnonzero(words.text[:n] == words.text[width - 1 :])
+    if alive is not None:
+        at = at[alive[at] & alive[at + 1]]
+    return at, hashes[at] if width == 1 else words.run_hash(hashes, at, width)
+
+
+def _elsewhere(words, at, hashes, tables: dict[int, bytes], parts: int) -> np.ndarray:
+    """How often other documents have each n-gram, from the totals of its partitions."""
+    distinct, entry = np.unique(hashes, return_inverse=True)
+    own, edges = _sizes(distinct, parts)
+    total = [
+        _expand(tables[p], int(n)) for p, n in zip(own.tolist(), np.diff(edges))
+    ] or [np.zeros(0, np.uint64)]
+    total = np.concatenate(total)[entry].astype(np.int64)
+    return total - _per_text(words, at, entry, len(distinct) + 1)
+
+
+def _counts_elsewhere(
+    block: Block, upto: int, tables: dict[int, dict[int, bytes]], parts: int
+) -> tuple[Words, np.ndarray, list[np.ndarray]]:
+    """Words, their hashes, and for each width up to ``upto`` the count in other documents of the
+    n-gram that begins at each word."""
     words = block.words(UNSPACED)
     hashes = words.hashes()
-    if width == 1:
-        return words, np.arange(len(hashes)), hashes
-    return words, *words.windows(hashes, width)
+    found: list[np.ndarray] = []
+    for width in range(1, upto + 1):
+        at, grams = _wanted(words, hashes, width, found[-1] > 0 if found else None)
+        counts = np.zeros(len(hashes) + 1, np.int64)
+        counts[at] = _elsewhere(words, at, grams, tables.get(width, {}), parts)
+        found.append(counts)
+    return words, hashes, found
+
+
+def _with_tables(blocks: DataFrame, totals: DataFrame | None) -> DataFrame:
+    """The blocks, each with the totals of its n-grams so far."""
+    empty = F.array().cast("array<struct<width:int,part:int,totals:binary>>")
+    if totals is None:
+        return blocks.withColumn("tables", empty)
+    per_block = totals.groupBy("block").agg(
+        F.collect_list(F.struct("width", "part", "totals")).alias("tables")
+    )
+    return blocks.join(per_block, "block", "left").withColumn("tables", F.coalesce("tables", empty))
 
 
-def _part(hashes: np.ndarray, parts: int) -> np.ndarray:
-    """Sorted hashes fall into partitions in order."""
-    return ((hashes >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
+def _records(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[dict, Block, dict]]:
+    for batch in batches:
+        for row in range(batch.num_rows):
+            record = {c: batch.column(c)[row].as_py() for c in batch.schema.names}
+            tables: dict[int, dict[int, bytes]] = {}
+            for t in record.pop("tables"):
+                tables.setdefault(t["width"], {})[t["part"]] = t["totals"]
+            yield record, _unpack(record), tables
+
 
+def _entries(rows: DataFrame, width: int, parts: int) -> DataFrame:
+    """What each block sends to the count table of one width, a row for each partition it meets."""
 
-def _entries(blocks: DataFrame, order: int, parts: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = pa.Codec("zstd", 1)
-        for batch in batches:
-            for row in range(batch.num_rows):
-                record = {c: batch.column(c)[row].as_py() for c in batch.schema.names}
-                block = _unpack(record)
-                for width in range(1, order + 1):
-                    distinct, counts = np.unique(ngrams(block, width)[2], return_counts=True)
-                    edges = np.searchsorted(_part(distinct, parts), np.arange(parts + 1))
-                    out = []
-                    for part in np.flatnonzero(np.diff(edges)).tolist():
-                        own = slice(edges[part], edges[part + 1])
-                        steps = np.diff(distinct[own], prepend=np.uint64(0))
-                        out.append((part, steps.tobytes(), codec.compress(
-                            counts[own].astype("<u4").tobytes(), asbytes=True)))
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(len(out), record["block"])),
-                         pa.array(np.full(len(out), width, np.int32)),
-                         pa.array([p for p, _, _ in out], pa.int32()),
-                         pa.array([h for _, h, _ in out], pa.binary()),
-                         pa.array([c for _, _, c in out], pa.binary())], _names(_ENTRIES),
-                    )
-
-    return blocks.mapInArrow(run, _ENTRIES)
-
-
-def _totals(entries: DataFrame) -> DataFrame:
+        for record, block, tables in _records(batches):
+            words, hashes, found = _counts_elsewhere(block, width - 1, tables, parts)
+            grams = _wanted(words, hashes, width, found[-1] > 0 if found else None)[1]
+            distinct, counts = np.unique(grams, return_counts=True)
+            own, edges = _sizes(distinct, parts)
+            spans = [slice(*edges[i : i + 2]) for i in range(len(own))]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.full(len(own), record["block"])), pa.array(own.astype(np.int32)),
+                 pa.array([_squeeze(np.diff(distinct[s], prepend=np.uint64(0))) for s in spans],
+                          pa.binary()),
+                 pa.array([np.int64(s.stop - s.start).tobytes() + codec.compress(
+                     counts[s].astype("<u4").tobytes(), asbytes=True) for s in spans],
+                     pa.binary())], _names(_ENTRIES),
+            )
+
+    return rows.mapInArrow(run, _ENTRIES)
+
+
+def _totals(entries: DataFrame, width: int) -> DataFrame:
     """The entries with the counts of the whole corpus in place of their block's."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = pa.Codec("zstd", 1)
+        codec = pa.Codec("zstd")
         key = None
         held: list[tuple[int, np.ndarray, np.ndarray]] = []
 
         def table() -> pa.RecordBatch:
-            hashes = np.concatenate([h for _, h, _ in held])
-            distinct, place = np.unique(hashes, return_inverse=True)
+            distinct, place = np.unique(
+                np.concatenate([h for _, h, _ in held]), return_inverse=True
+            )
             counts = np.concatenate([c for _, _, c in held])
             total = np.bincount(place, counts, len(distinct)).astype("<u8")[place]
             stops = np.cumsum([len(h) for _, h, _ in held])[:-1]
-            packed = [codec.compress(t.tobytes(), asbytes=True) for t in np.split(total, stops)]
             done = pa.RecordBatch.from_arrays(
                 [pa.array([b for b, _, _ in held]),
-                 pa.array(np.full(len(held), key[0], np.int32)),
-                 pa.array(np.full(len(held), key[1], np.int32)), pa.array(packed, pa.binary())],
-                ["block", "width", "part", "totals"],
+                 pa.array(np.full(len(held), width, np.int32)),
+                 pa.array(np.full(len(held), key, np.int32)),
+                 pa.array([_squeeze(t) for t in np.split(total, stops)], pa.binary())],
+                _names(_TOTALS),
             )
             held.clear()
             return done
 
         for batch in batches:
-            for block, width, part, steps, counts in zip(*batch.columns):
-                now = (width.as_py(), part.as_py())
+            for block, part, steps, counts in zip(*batch.columns):
+                now = part.as_py()
                 if now != key and held:
                     yield table()
                 key = now
-                hashes = np.cumsum(np.frombuffer(steps.as_buffer(), "<u8"), dtype=np.uint64)
-                raw = codec.decompress(counts.as_buffer(), 4 * len(hashes), asbytes=True)
+                packed = counts.as_py()
+                n = int.from_bytes(packed[:8], "little")
+                raw = codec.decompress(packed[8:], 4 * n, asbytes=True)
+                hashes = np.cumsum(_expand(steps.as_buffer(), n), dtype=np.uint64)
                 held.append((block.as_py(), hashes, np.frombuffer(raw, "<u4")))
         if held:
             yield table()
 
-    dealt = entries.repartition("width", "part").sortWithinPartitions("width", "part")
-    return dealt.mapInArrow(run, "block bigint, width int, part int, totals binary")
+    return entries.repartition("part").sortWithinPartitions("part").mapInArrow(run, _TOTALS)
 
 
 def _per_text(words: Words, at: np.ndarray, entry: np.ndarray, n: int) -> np.ndarray:
@@ -183,80 +257,57 @@ def score(docs: DataFrame, order: int = ORDER) -> DataFrame:
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(PARTITIONS, -(-size // PARTITION_BYTES))
     blocks = packed_blocks(docs)
-    totals = _totals(_entries(blocks, order, parts)).groupBy("block").agg(
-        F.collect_list(F.struct("width", "part", "totals")).alias("tables")
-    )
+    totals = None
+    for width in range(1, order + 1):
+        now = materialize(
+            _totals(_entries(_with_tables(blocks, totals), width, parts), width), "ngram-totals"
+        )
+        totals = now if totals is None else totals.union(now)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = pa.Codec("zstd")
-        for batch in batches:
-            for row in range(batch.num_rows):
-                record = {c: batch.column(c)[row].as_py() for c in batch.schema.names}
-                block = _unpack(record)
-                tables: dict[int, dict[int, bytes]] = {}
-                for t in record["tables"] or ():
-                    tables.setdefault(t["width"], {})[t["part"]] = t["totals"]
-                logs, backoffs, unseen, words = _score_block(
-                    block, order, parts, tables, codec, record["n_total"]
-                )
-                ids = np.frombuffer(record["doc_ids"], np.int64)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids, mask=~np.frombuffer(record["known"], bool)),
-                     pa.array(words.count), pa.array(backoffs), pa.array(unseen), pa.array(logs)],
-                    _names(SCORE),
-                )
+        for record, block, tables in _records(batches):
+            words, _, found = _counts_elsewhere(block, order, tables, parts)
+            logs, backoffs, unseen = _score_block(words, found, record["n_total"])
+            ids = np.frombuffer(record["doc_ids"], np.int64)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(ids, mask=~np.frombuffer(record["known"], bool)),
+                 pa.array(words.count), pa.array(backoffs), pa.array(unseen), pa.array(logs)],
+                _names(SCORE),
+            )
 
     n_total = blocks.agg(F.sum("n_words")).first()[0] or 0
-    rows = blocks.join(totals, "block", "left").withColumn("n_total", F.lit(n_total))
+    rows = _with_tables(blocks, totals).withColumn("n_total", F.lit(n_total))
     return rows.mapInArrow(run, SCORE).withColumn(
         "perplexity",
         F.when(F.col("n_words") > 0, F.exp(-F.col("log_score") / F.col("n_words"))),
     )
 
 
-def _score_block(block, order, parts, tables, codec, n_total):
-    """Sums for each text of a block, from the corpus counts of its n-grams."""
-    per_width = []
-    for width in range(1, order + 1):
-        words, at, hashes = ngrams(block, width)
-        distinct, entry = np.unique(hashes, return_inverse=True)
-        own_parts = _part(distinct, parts)
-        total = [
-            np.frombuffer(codec.decompress(
-                tables[width][p], 8 * int((own_parts == p).sum()), asbytes=True), "<u8")
-            for p in np.unique(own_parts).tolist()
-        ]
-        total = np.concatenate(total)[entry].astype(np.int64) if total else entry
-        per_width.append((at, total - _per_text(words, at, entry, len(distinct) + 1)))
-    n_words = len(words.text)
+def _score_block(words: Words, found: list[np.ndarray], n_total: int):
+    """Sums for each text of a block, given the counts elsewhere of the n-grams at each word."""
+    order = len(found)
+    n_words, n = len(words.text), words.block.n
     position = np.arange(n_words) - words.first[words.text]
-    # Counts elsewhere of the n-gram that ends at a word, and of its history.
     logs = np.zeros(n_words)
     done = np.zeros(n_words, bool)
     backed = np.zeros(n_words, np.int64)
     for width in range(order, 0, -1):
-        at, elsewhere = per_width[width - 1]
+        at = np.flatnonzero(found[width - 1][:n_words] > 0) if width > 1 else np.arange(n_words)
         end = at + width - 1
+        at, end = at[~done[end]], end[~done[end]]
+        elsewhere = found[width - 1][at]
         if width > 1:
-            history = np.zeros(n_words, np.int64)
-            history[per_width[width - 2][0]] = per_width[width - 2][1]
-            history = history[at]
+            history = found[width - 2][at]
         else:
-            others = np.maximum(n_total - words.count, 1)
-            history = others[words.text[end]]
+            history = np.maximum(n_total - words.count, 1)[words.text[end]]
             elsewhere = np.maximum(elsewhere, 1)
-        good = (elsewhere > 0) & ~done[end]
-        full = np.minimum(position[end], order - 1)
-        steps = full - (width - 1)
-        logs[end[good]] = (
-            np.log(elsewhere[good]) - np.log(history[good]) + steps[good] * np.log(BACKOFF)
-        )
-        backed[end[good]] = steps[good] > 0
-        done[end[good]] = True
-    _, single = per_width[0]
-    n = block.n
+        steps = np.minimum(position[end], order - 1) - (width - 1)
+        logs[end] = np.log(elsewhere) - np.log(history) + steps * np.log(BACKOFF)
+        backed[end] = steps > 0
+        done[end] = True
+    single = found[0][:n_words]
     return (
         np.bincount(words.text, logs, n).astype(float),
         np.bincount(words.text, backed, n).astype(np.int64),
-        np.bincount(words.text, single <= 0, n).astype(np.int64), words,
+        np.bincount(words.text, single <= 0, n).astype(np.int64),
     )

@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from roundscope.llm import cotrain, phrases, pii, queries, setsketch
+from roundscope.llm import backoff, cotrain, phrases, pii, queries, setsketch
 
 DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 
@@ -59,6 +59,18 @@ def test_backoff_query_scores_by_four_words_of_history(spark, tmp_path):
         assert row["log_score"] == pytest.approx(total, abs=1e-6)
 
 
+def test_backoff_loses_no_count_to_pruning(spark):
+    """Texts of few words in many blocks, so that n-grams end at every width, some within one text."""
+    draw = np.random.default_rng(5)
+    texts = [" ".join(f"w{i}" for i in draw.integers(0, 6, draw.integers(0, 40))) for _ in range(60)]
+    texts += [texts[3], "a b a b a b a b", "only here only here only here", texts[7] + " a b"]
+    docs = documents(spark, texts).repartition(7)
+    found = backoff.score(docs, 5).orderBy("doc_id").collect()
+    for row, (short, total) in zip(found, backoff_scores(texts, 5), strict=True):
+        assert row["n_backoff"] == short
+        assert row["log_score"] == pytest.approx(total, abs=1e-6)
+
+
 def test_pipeline_links_near_copies_from_a_similarity_of_80(spark):
     base = [f"w{i}" for i in range(100)]
 
