@@ -168,14 +168,44 @@ def _records(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[dict, Block, d
             yield record, _unpack(record), tables
 
 
+def _alive(words, hashes, width: int, tables: dict[int, bytes], parts: int) -> np.ndarray:
+    """Where an n-gram begins that another document has, by the totals of this width.
+
+    Among these are the marks of the width before, by which the block chose what to send.
+    """
+    before = None
+    for part, packed in tables.items():
+        if part < 0:
+            raw = pa.Codec("zstd").decompress(packed, len(hashes) // 8 + 1, asbytes=True)
+            before = np.unpackbits(np.frombuffer(raw, np.uint8), count=len(hashes) + 1) > 0
+    at, grams = _wanted(words, hashes, width, before)
+    alive = np.zeros(len(hashes) + 1, bool)
+    alive[at] = _elsewhere(words, at, grams, tables, parts) > 0
+    return alive
+
+
+def _marks(block: int, alive: np.ndarray, parts: int) -> pa.RecordBatch:
+    """The marks as an entry of a part below 0, which comes back as it is; dealt over all parts."""
+    marks = pa.Codec("zstd", 1).compress(np.packbits(alive).tobytes(), asbytes=True)
+    return pa.RecordBatch.from_arrays(
+        [pa.array([block]), pa.array([-1 - (block >> 32) % parts], pa.int32()),
+         pa.array([marks], pa.binary()), pa.array([b""], pa.binary())], _names(_ENTRIES),
+    )
+
+
 def _entries(rows: DataFrame, width: int, parts: int) -> DataFrame:
     """What each block sends to the count table of one width, a row for each partition it meets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = pa.Codec("zstd", 1)
         for record, block, tables in _records(batches):
-            words, hashes, found = _counts_elsewhere(block, width - 1, tables, parts)
-            grams = _wanted(words, hashes, width, found[-1] > 0 if found else None)[1]
+            words = block.words(UNSPACED)
+            hashes = words.hashes()
+            alive = None
+            if width > 1:
+                alive = _alive(words, hashes, width - 1, tables.get(width - 1, {}), parts)
+                yield _marks(record["block"], alive, parts)
+            grams = _wanted(words, hashes, width, alive)[1]
             distinct, counts = np.unique(grams, return_counts=True)
             own, edges = _sizes(distinct, parts)
             spans = [slice(*edges[i : i + 2]) for i in range(len(own))]
@@ -219,6 +249,13 @@ def _totals(entries: DataFrame, width: int) -> DataFrame:
         for batch in batches:
             for block, part, steps, counts in zip(*batch.columns):
                 now = part.as_py()
+                if now < 0:
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([block.as_py()]), pa.array([width], pa.int32()),
+                         pa.array([now], pa.int32()), pa.array([steps.as_py()], pa.binary())],
+                        _names(_TOTALS),
+                    )
+                    continue
                 if now != key and held:
                     yield table()
                 key = now
@@ -235,9 +272,12 @@ def _totals(entries: DataFrame, width: int) -> DataFrame:
 
 def _per_text(words: Words, at: np.ndarray, entry: np.ndarray, n: int) -> np.ndarray:
     """How often each n-gram's text has this n-gram."""
-    key = words.text[at] * np.int64(n) + entry
-    _, place, own = np.unique(key, return_inverse=True, return_counts=True)
-    return own[place]
+    own = np.ones(len(entry), np.int64)
+    again = np.flatnonzero(np.bincount(entry, minlength=n)[entry] > 1)
+    key = words.text[at[again]] * np.int64(n) + entry[again]
+    _, place, many = np.unique(key, return_inverse=True, return_counts=True)
+    own[again] = many[place]
+    return own
 
 
 SCORE = "doc_id bigint, n_words bigint, n_backoff bigint, n_unseen bigint, log_score double"
@@ -257,12 +297,13 @@ def score(docs: DataFrame, order: int = ORDER) -> DataFrame:
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(PARTITIONS, -(-size // PARTITION_BYTES))
     blocks = packed_blocks(docs)
-    totals = None
+    totals = now = None
     for width in range(1, order + 1):
         now = materialize(
-            _totals(_entries(_with_tables(blocks, totals), width, parts), width), "ngram-totals"
+            _totals(_entries(_with_tables(blocks, now), width, parts), width), "ngram-totals"
         )
-        totals = now if totals is None else totals.union(now)
+        counts = now.filter("part >= 0")
+        totals = counts if totals is None else totals.union(counts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for record, block, tables in _records(batches):
