@@ -8,10 +8,12 @@ pairs whose best estimate is hopeless go no further. The rest are compared on th
 
 Documents with equal shingle sets are one class from the start. Each bucket has a centre, the class
 that meets most others in its buckets: the text that copies were made from. A class is compared with
-the most met of its centres, and with the others only where that has not joined them. Classes that no link has joined yet are compared with the classes of other components,
-but only where a link is possible: a shingle that no other open class has is in no intersection, so
-the rest of the two sets bounds their similarity. Links between components are all found while
-pairs inside one, and pairs that cannot be linked, are not made.
+the most met of its centres, and with the others only where that has not joined them. Classes that
+no link has joined yet are told from the classes of other components by what sets them apart from a
+centre of theirs: two that are linked, though not both with the centre, have some of these
+differences in common. Rare differences come first, and only as many are looked at as one in common
+must be among. Links between components are all found while pairs inside one, and nearly all pairs
+that cannot be linked, are not made.
 """
 
 from __future__ import annotations
@@ -43,6 +45,9 @@ SLACK = 0.25
 PIECE_BYTES = 512 << 10
 #: Members of one centre that are compared in one group.
 GROUP = 500
+#: Shingles are counted in so many cells (as a power of 2) to tell rare ones from common ones. Only
+#: the order of differences depends on it, no result.
+CELL_BITS = 16
 
 _RANDOM = np.random.Generator(np.random.PCG64(7_2024))
 _DRAWN = [
@@ -272,33 +277,100 @@ def verified(pairs: DataFrame, sets: DataFrame, hundredths: int) -> DataFrame:
     return streamed.mapInArrow(run, "a binary, b binary").distinct()
 
 
-def shared_sizes(sets: DataFrame, wanted: DataFrame) -> DataFrame:
-    """``class, n_shingles, n_shared`` of the wanted classes.
+def _cell(shingles: np.ndarray) -> np.ndarray:
+    return (shingles * _SPREAD[0]) >> np.uint64(64 - CELL_BITS)
 
-    ``n_shared`` is how many shingles of a class occur in another wanted class too; no intersection
-    of two of them is larger.
+
+def commonness(sets: DataFrame) -> np.ndarray:
+    """How many shingles of all sets fall in each of ``2 ** CELL_BITS`` cells."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros(1 << CELL_BITS, np.int64)
+        for batch in batches:
+            for piece in slices([batch], "shingles", PIECE_BYTES):
+                values = np.frombuffer(b"".join(piece.column("shingles").to_pylist()), "<u8")
+                seen += np.bincount(_cell(values), minlength=len(seen))
+        filled = np.flatnonzero(seen)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(filled), pa.array(seen[filled])], ["cell", "n"]
+        )
+
+    counted = sets.select("shingles").mapInArrow(run, "cell bigint, n bigint").groupBy(
+        "cell"
+    ).agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(1 << CELL_BITS, np.int64)
+    out[counted.column("cell").to_numpy()] = counted.column("n").to_numpy()
+    return out
+
+
+def edits(centred: DataFrame, sets: DataFrame, hundredths: int) -> DataFrame:
+    """``meet, class, root, n, x, left``: the first differences of each class from its centres.
+
+    ``centred`` has ``class, root, a``, a class, its component and a centre. Differences are the
+    shingles in one set only, rare ones first; ``meet`` stands for one of them and the centre, ``x``
+    is their number, ``left`` how many there are from this one on, ``n`` the size of the class's set.
+    Two classes with a link differ in at most ``(100 - hundredths) / (100 + hundredths)`` of the sum
+    of their sizes, so those left out cannot be the first that they have in common.
     """
+    common = sets.sparkSession.sparkContext.broadcast(commonness(sets))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for key, shingles in zip(batch.column("key"), batch.column("shingles")):
-                values = np.frombuffer(shingles.as_buffer(), "<i8")
+            for piece in slices([batch], "shingles", PIECE_BYTES):
+                met, many, sizes, left = [], [], [], []
+                for key, own, centre in zip(*(
+                    piece.column(c) for c in ("key", "shingles", "centre")
+                )):
+                    mine, other = (np.frombuffer(x.as_buffer(), "<u8") for x in (own, centre))
+                    added = np.setdiff1d(mine, other, assume_unique=True)
+                    removed = np.setdiff1d(other, mine, assume_unique=True)
+                    # What most classes have, few have removed.
+                    added = added[np.lexsort((added, common.value[_cell(added)]))]
+                    removed = removed[np.lexsort((removed, -common.value[_cell(removed)]))]
+                    differ = np.concatenate([added, removed])
+                    first = differ[: len(mine) * (100 - hundredths) // hundredths + 1]
+                    met.append((first * _SPREAD[1]).view(np.int64) ^ np.int64(key.as_py()))
+                    many.append(len(first))
+                    sizes.append((len(mine), len(differ)))
+                    left.append(len(differ) - np.arange(len(first)))
+                at = np.repeat(np.arange(piece.num_rows), many)
+                n, x = np.array(sizes, np.int64).reshape(-1, 2)[at].T
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(values), pa.array(np.full(len(values), key.as_py(), np.int64))],
-                    ["shingle", "key"],
+                    [pa.array(np.concatenate(met)), piece.column("class").take(pa.array(at)),
+                     piece.column("root").take(pa.array(at)), pa.array(n), pa.array(x),
+                     pa.array(np.concatenate(left))],
+                    ["meet", "class", "root", "n", "x", "left"],
                 )
 
-    key = F.xxhash64("class").alias("key")
-    one_each = sets.join(wanted.select("class"), "class", "left_semi")
-    alone = one_each.select(key, "shingles").mapInArrow(run, "shingle bigint, key bigint").groupBy(
-        "shingle"
-    ).agg(F.min("key").alias("key"), F.max("key").alias("last")).filter("key = last").groupBy(
-        "key"
-    ).agg(F.count(F.lit(1)).alias("alone"))
-    return wanted.withColumn("key", key).join(alone, "key", "left").select(
-        "class", "n_shingles",
-        (F.col("n_shingles") - F.coalesce("alone", F.lit(0))).alias("n_shared"),
+    both = centred.join(sets, "class").join(
+        sets.select(F.col("class").alias("a"), F.col("shingles").alias("centre")), "a"
+    )
+    return both.select(
+        F.xxhash64("a").alias("key"), "class", F.xxhash64("root").alias("root"), "shingles", "centre"
+    ).mapInArrow(
+        run, "meet bigint, class binary, root bigint, n bigint, x bigint, left bigint"
+    )
+
+
+def alike(edited: DataFrame, hundredths: int) -> DataFrame:
+    """The pairs ``a, b`` of classes in different components whose differences from one centre
+    leave a link possible: enough of them would have to be common to both."""
+
+    def side(name: str) -> DataFrame:
+        return edited.select("meet", *[
+            F.col(c).alias(f"{c}_{name}") for c in ("class", "root", "n", "x", "left")
+        ])
+
+    both = 100 + hundredths
+    # Twice the common differences that a link takes, in units of ``both``.
+    needed = both * (F.col("x_a") + F.col("x_b")) - (100 - hundredths) * (
+        F.col("n_a") + F.col("n_b")
     )
+    return side("a").join(side("b"), "meet").filter(
+        (F.col("class_a") < F.col("class_b")) & (F.col("root_a") != F.col("root_b"))
+        & (2 * both * F.least("left_a", "left_b") >= needed)
+        & (100 * F.least("n_a", "n_b") >= hundredths * F.greatest("n_a", "n_b"))
+    ).select(F.col("class_a").alias("a"), F.col("class_b").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, hundredths: int = 85) -> DataFrame:
@@ -352,27 +424,17 @@ def near_duplicates(docs: DataFrame, hundredths: int = 85) -> DataFrame:
     roots = materialize(components(links), "roots")
     first = first.union(others)
     # Classes of one bucket that are in different components, and have not been compared yet.
-    placed = placed_classes()
-    mixed = placed.groupBy("bucket").agg(
+    rest = placed_classes().join(centres.select("bucket", "a"), "bucket").filter(
+        F.col("class") != F.col("a")
+    )
+    mixed = rest.groupBy("bucket").agg(
         F.min("root").alias("low"), F.max("root").alias("high")
     ).filter("low != high").select("bucket")
-    open_rows = materialize(placed.join(mixed, "bucket"), "open-buckets")
-    sizes = shared_sizes(
-        sets, open_rows.select("class").distinct().join(classes, "class")
-        .select("class", "n_shingles"),
-    ).filter(100 * F.col("n_shared") >= hundredths * F.col("n_shingles"))
-    possible = materialize(open_rows.join(sizes, "class"), "open-buckets")
-
-    def side(name: str) -> DataFrame:
-        return possible.select("bucket", *[
-            F.col(c).alias(f"{c}_{name}") for c in ("class", "root", "n_shingles", "n_shared")
-        ])
-
-    common = F.least("n_shared_a", "n_shared_b")
-    across = side("a").join(side("b"), "bucket").filter(
-        (F.col("class_a") < F.col("class_b")) & (F.col("root_a") != F.col("root_b"))
-        & (100 * common >= hundredths * (F.col("n_shingles_a") + F.col("n_shingles_b") - common))
-    ).select(F.col("class_a").alias("a"), F.col("class_b").alias("b")).distinct().join(
+    centred = materialize(
+        rest.join(mixed, "bucket").select("class", "root", "a").distinct(), "open-classes"
+    )
+    edited = materialize(edits(centred, sets, hundredths), "edits")
+    across = alike(edited, hundredths).join(
         first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")),
         ["a", "b"], "left_anti",
     )

@@ -96,6 +96,35 @@ def test_bands_suffice_at_the_threshold_of_the_pipeline():
     assert setsketch.bands_for(85) == setsketch.BANDS == 20
 
 
+def test_pairs_of_near_copies_grow_with_their_number_and_lose_no_link(spark, monkeypatch):
+    """Copies of one text, each too far from it, of which few share so much that they are linked."""
+    draw = np.random.default_rng(11)
+    base = [f"w{i}" for i in range(150)]
+    places = draw.permutation(np.repeat(np.arange(2, 148), 2))
+
+    def edited():
+        words = list(base)
+        for i in draw.choice(200, 3, replace=False):
+            words[places[i]] = f"x{i}"
+        return " ".join(words)
+
+    texts = [" ".join(base), *(edited() for _ in range(240))]
+    plainly = plain.near(list(enumerate(texts)))
+    assert len({row[2] for row in plainly}) > 100 and any(0 < row[2] < row[0] for row in plainly)
+    compared, estimated = [], setsketch.estimated
+
+    def counting(pairs, *rest):
+        compared.append(pairs.count())
+        return estimated(pairs, *rest)
+
+    monkeypatch.setattr(setsketch, "estimated", counting)
+    out = setsketch.near_duplicates(documents(spark, texts)).orderBy("doc_id").collect()
+    found = [(r["doc_id"], r["n_shingles"], r["component_id"], r["kept"]) for r in out]
+    assert found == sorted(plainly)
+    # All pairs are 28,680.
+    assert sum(compared) < 20 * len(texts)
+
+
 def test_co_training_learns_from_documents_outside_every_sample(spark, monkeypatch):
     """A kind of junk that no sampled document holds is known to the text view by its sources."""
     monkeypatch.setattr(cotrain, "LABELLED", 200)
