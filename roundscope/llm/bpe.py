@@ -22,9 +22,11 @@ from pyspark.sql import DataFrame
 
 from roundscope.llm.blocks import joined
 
-BLOCK_BYTES = 6 << 20
+BLOCK_BYTES = 2 << 20
 #: Words that a task remembers before it starts afresh; memory, not results, depends on it.
 KNOWN_WORDS = 200_000
+#: Rows that are decoded at once.
+DECODED_ROWS = 128
 
 #: Up to so many places of a pair are joined one by one, more as arrays; the result is the same.
 FEW_PLACES = 10
@@ -299,13 +301,8 @@ def _vocabulary(shared) -> Vocabulary:
     return _known[id(tokens)]
 
 
-def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
-    """``doc_id`` and ``ids`` of each row, without special tokens.
-
-    Null and empty texts have no ids; every row gives a row, repeated ones too; other columns are
-    not looked at. ``pattern`` cuts a text into words, which are encoded each on its own.
-    """
-    shared = _shared(docs, path)
+def _encoder(shared, pattern: str):
+    """What a task does to batches with ``doc_id`` and ``text``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _vocabulary(shared)
@@ -324,18 +321,17 @@ def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
                 names=["doc_id", "ids"],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, ids array<int>")
+    return run
 
 
-def decode(encoded: DataFrame, path: str) -> DataFrame:
-    """The rows of :func:`encode` with the bytes that their ids stand for, as ``decoded``."""
-    shared = _shared(encoded, path)
+def _decoder(shared):
+    """What a task does to batches with ``doc_id`` and ``ids``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         merges = _vocabulary(shared).merges
         for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
-                piece = batch.slice(at, 1024)
+            for at in range(0, batch.num_rows, DECODED_ROWS):
+                piece = batch.slice(at, DECODED_ROWS)
                 ids = piece.column("ids")
                 flat = ids.flatten().to_numpy(zero_copy_only=False)
                 stops = np.append(0, np.cumsum(pc.list_value_length(ids).to_numpy(
@@ -349,4 +345,37 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
                     [piece.column("doc_id"), ids, decoded], names=["doc_id", "ids", "decoded"]
                 )
 
-    return encoded.mapInArrow(run, "doc_id bigint, ids array<int>, decoded binary")
+    return run
+
+
+_ENCODED = "doc_id bigint, ids array<int>"
+_DECODED = f"{_ENCODED}, decoded binary"
+
+
+def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
+    """``doc_id`` and ``ids`` of each row, without special tokens.
+
+    Null and empty texts have no ids; every row gives a row, repeated ones too; other columns are
+    not looked at. ``pattern`` cuts a text into words, which are encoded each on its own.
+    """
+    return docs.select("doc_id", "text").mapInArrow(
+        _encoder(_shared(docs, path), pattern), _ENCODED
+    )
+
+
+def decode(encoded: DataFrame, path: str) -> DataFrame:
+    """The rows of :func:`encode` with the bytes that their ids stand for, as ``decoded``."""
+    return encoded.mapInArrow(_decoder(_shared(encoded, path)), _DECODED)
+
+
+def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
+    """The rows of :func:`encode`, decoded again in the same Python worker.
+
+    :func:`decode` after :func:`encode` gives the same rows, but holds the vocabulary in two workers
+    for each task.
+    """
+    shared = _shared(docs, path)
+    encoder, decoder = _encoder(shared, pattern), _decoder(shared)
+    return docs.select("doc_id", "text").mapInArrow(
+        lambda batches: decoder(encoder(batches)), _DECODED
+    )

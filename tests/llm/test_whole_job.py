@@ -7,12 +7,13 @@ from collections import Counter
 
 import numpy as np
 import plain
+import public_tokenizers
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from roundscope.llm import backoff, cotrain, phrases, pii, queries, setsketch
+from roundscope.llm import backoff, bpe, cotrain, phrases, pii, queries, setsketch
 
 DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 
@@ -125,6 +126,23 @@ def test_pairs_of_near_copies_grow_with_their_number_and_lose_no_link(spark, mon
     assert sum(compared) < 20 * len(texts)
 
 
+def test_tokens_take_one_python_worker_for_each_task(spark):
+    """Encoding and its check hold the vocabulary once, and more rows than are decoded at once agree."""
+    texts = ["", "One text, 12 words.", "\u00e9t\u00e9 \u2014 \u6c34 \U0001f600", *(f"row {i} of  many\n" * (i % 5) for i in range(300))]
+    docs = documents(spark, texts).coalesce(1)
+    out = corpus_pipeline.tokens(spark, docs, "")
+    assert out._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    path = public_tokenizers.path(corpus_pipeline.VOCABULARY)
+    apart = bpe.decode(bpe.encode(docs, path, public_tokenizers.PATTERN), path)
+    known = {r["doc_id"]: (r["ids"], bytes(r["decoded"])) for r in apart.collect()}
+    found = out.collect()
+    assert len(found) == len(texts)
+    for r in found:
+        ids, decoded = known[r["doc_id"]]
+        assert r["ids"] == ids and decoded == texts[r["doc_id"]].encode()
+        assert r["decoded_sha256"] == plain.sha(texts[r["doc_id"]])
+
+
 def test_co_training_learns_from_documents_outside_every_sample(spark, monkeypatch):
     """A kind of junk that no sampled document holds is known to the text view by its sources."""
     monkeypatch.setattr(cotrain, "LABELLED", 200)
