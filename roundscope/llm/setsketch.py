@@ -27,8 +27,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from roundscope.llm.blocks import UNSPACED, Block, slices
-from roundscope.llm.components import components
-from roundscope.session import materialize
+from roundscope.llm.components import stars
+from roundscope.session import broadcast_if_bounded, materialize
 
 SHINGLE = 5
 ROWS = 4
@@ -48,6 +48,9 @@ GROUP = 500
 #: Shingles are counted in so many cells (as a power of 2) to tell rare ones from common ones. Only
 #: the order of differences depends on it, no result.
 CELL_BITS = 16
+#: Wanted documents are marked in so many cells (as a power of 2, 2 MB of bits in rows of 4 KB) before
+#: texts are shuffled to them. What passes is joined exactly, so no result depends on them.
+MARK_BITS, MARKS_A_ROW = 24, 15
 
 _RANDOM = np.random.Generator(np.random.PCG64(7_2024))
 _DRAWN = [
@@ -195,7 +198,29 @@ def estimated(pairs: DataFrame, classes: DataFrame, least: float) -> DataFrame:
             best = likeliest((r_a > r_b).sum(1), (r_a < r_b).sum(1), n_a, n_b, r_a.shape[1])
             yield batch.select(["a", "b"]).filter(pa.array(best >= least))
 
-    return pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(run, "a binary, b binary")
+    return pairs.join(side("b"), "b").join(side("a"), "a").mapInArrow(run, "a binary, b binary")
+
+
+def marked(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose ``doc_id`` shares its cell with one of ``wanted``: all that are
+    wanted, and of the others about the share of cells that are marked."""
+
+    def spot(df: DataFrame) -> DataFrame:
+        cell = F.shiftrightunsigned(F.xxhash64(F.col("doc_id").cast("bigint")), 64 - MARK_BITS)
+        return df.withColumns({
+            "_row": F.shiftright(cell, MARKS_A_ROW),
+            "_bit": cell.bitwiseAND(F.lit((1 << MARKS_A_ROW) - 1)),
+        })
+
+    marks = spot(wanted.select("doc_id")).groupBy("_row").agg(
+        F.bitmap_construct_agg("_bit").alias("_marks")
+    )
+    byte = F.substring("_marks", (F.col("_bit") / 8).cast("int") + 1, F.lit(1))
+    met = F.getbit(F.conv(F.hex(byte), 16, 10).cast("bigint"), F.pmod("_bit", F.lit(8)))
+    near = spot(docs).join(
+        broadcast_if_bounded(marks, 1 << (MARK_BITS - MARKS_A_ROW)), "_row"
+    )
+    return near.filter(met == 1).select(*[f"`{c}`" for c in docs.columns])
 
 
 def full_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -212,7 +237,9 @@ def full_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 ["class", "shingles"],
             )
 
-    rows = docs.select("doc_id", "text").join(wanted.select("doc_id", "class"), "doc_id")
+    rows = marked(docs.select("doc_id", "text"), wanted).join(
+        wanted.select("doc_id", "class"), "doc_id"
+    )
     # A doc_id that repeats with one text gives one set more than once.
     sets = rows.select("class", "text").mapInArrow(run, "class binary, shingles binary")
 
@@ -236,7 +263,8 @@ def verified(pairs: DataFrame, sets: DataFrame, hundredths: int) -> DataFrame:
     """The pairs ``a, b`` with ``100 * intersection >= hundredths * union`` on full sets.
 
     The partners of a class ``a`` come to it in groups of about ``GROUP``, each led by the set of
-    ``a`` itself, and stream past it: no group has to fit anywhere as a whole.
+    ``a`` itself, and stream past it: no group has to fit anywhere as a whole. A pair may come out
+    more than once.
     """
     groups = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("n")).select(
         "a", F.ceil(F.col("n") / GROUP).cast("int").alias("groups")
@@ -274,7 +302,7 @@ def verified(pairs: DataFrame, sets: DataFrame, hundredths: int) -> DataFrame:
             )
 
     streamed = rows.repartition("a", "part").sortWithinPartitions("a", "part", "rank")
-    return streamed.mapInArrow(run, "a binary, b binary").distinct()
+    return streamed.mapInArrow(run, "a binary, b binary")
 
 
 def _cell(shingles: np.ndarray) -> np.ndarray:
@@ -404,8 +432,13 @@ def near_duplicates(docs: DataFrame, hundredths: int = 85) -> DataFrame:
     first = materialize(estimated(one_each, classes, least), "candidates")
     wanted = members.select("class").distinct().join(classes.select("class", "doc_id"), "class")
     sets = materialize(full_sets(docs, wanted), "shingle-sets")
-    links = materialize(verified(first, sets, hundredths), "links")
-    roots = materialize(components(links), "roots")
+    links = materialize(verified(first, sets, hundredths).distinct(), "links")
+    # A class has one centre here, which may have one too. Two classes with one root are in one
+    # component; of two in one component that have not, some are compared without need.
+    centre = links.select(F.col("b").alias("node"), F.col("a").alias("root"))
+    roots = materialize(centre.join(
+        links.select(F.col("b").alias("root"), F.col("a").alias("next")), "root", "left"
+    ).select("node", F.coalesce("next", "root").alias("root")), "roots")
 
     def placed_classes() -> DataFrame:
         return members.select("bucket", "class").join(
@@ -420,8 +453,8 @@ def near_duplicates(docs: DataFrame, hundredths: int = 85) -> DataFrame:
         F.col("root") != F.col("root_a")
     ).select("a", F.col("class").alias("b")).distinct(), "other-centres")
     other = materialize(estimated(others, classes, least), "candidates")
-    links = materialize(links.union(verified(other, sets, hundredths)), "links")
-    roots = materialize(components(links), "roots")
+    hung = stars(links.unionByName(verified(other, sets, hundredths)))
+    roots = hung.select(F.col("a").alias("node"), F.col("b").alias("root"))
     first = first.union(others)
     # Classes of one bucket that are in different components, and have not been compared yet.
     rest = placed_classes().join(centres.select("bucket", "a"), "bucket").filter(
@@ -439,10 +472,9 @@ def near_duplicates(docs: DataFrame, hundredths: int = 85) -> DataFrame:
         ["a", "b"], "left_anti",
     )
     second = materialize(estimated(across, classes, least), "candidates")
-    more = verified(second, sets, hundredths)
-    joined = materialize(components(links.union(more)), "roots")
+    joined = stars(hung.unionByName(verified(second, sets, hundredths)))
     named = classes.select("class", "doc_id").join(
-        joined.withColumnRenamed("node", "class"), "class", "left"
+        joined.select(F.col("a").alias("class"), F.col("b").alias("root")), "class", "left"
     ).withColumn("root", F.coalesce("root", "class"))
     ids = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     labels = named.join(ids, "root").select("class", "component_id")

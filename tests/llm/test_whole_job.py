@@ -13,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from roundscope.llm import backoff, bpe, cotrain, phrases, pii, queries, setsketch
+from roundscope.llm import backoff, bpe, components, cotrain, phrases, pii, queries, setsketch
 
 DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 
@@ -126,6 +126,43 @@ def test_pairs_of_near_copies_grow_with_their_number_and_lose_no_link(spark, mon
     assert sum(compared) < 20 * len(texts)
 
 
+def test_few_texts_beside_the_wanted_ones_are_shuffled_for_full_sets(spark, monkeypatch):
+    texts = [f"text {i} of some six words" for i in range(3000)]
+    docs = documents(spark, texts).withColumn("doc_id", F.col("doc_id").cast("int"))
+    rows = setsketch.sketches(docs)
+    wanted = rows.filter("doc_id % 100 = 0").select("doc_id", "class")
+    passed, marked = [], setsketch.marked
+
+    def counting(*tables):
+        passed.extend(r["doc_id"] for r in marked(*tables).collect())
+        return marked(*tables)
+
+    monkeypatch.setattr(setsketch, "marked", counting)
+    sets = setsketch.full_sets(docs, wanted).collect()
+    assert {r["class"] for r in sets} == {r["class"] for r in wanted.collect()}
+    assert len(sets) == 30 and {*range(0, 3000, 100)} <= {*passed} and len(passed) < 60
+
+
+def test_components_end_without_a_round_that_changes_nothing(spark, monkeypatch):
+    written, materialize = [], components.materialize
+    monkeypatch.setattr(
+        components, "materialize", lambda df, label: written.append(label) or materialize(df, label)
+    )
+    hung = [(a, 10 * (a // 10)) for a in range(200) if a % 10]
+    found = components.components(spark.createDataFrame(hung, "a bigint, b bigint"))
+    assert dict(map(tuple, found.collect())) == {a: 10 * (a // 10) for a in range(200)}
+    assert len(written) == 1
+    draw = np.random.default_rng(5)
+    edges = [tuple(map(int, draw.integers(0, 300, 2))) for _ in range(170)]
+    least = {x: x for edge in edges for x in edge if edge[0] != edge[1]}
+    for _ in least:
+        for a, b in edges:
+            if a != b:
+                least[a] = least[b] = min(least[a], least[b])
+    found = components.components(spark.createDataFrame(edges, "a bigint, b bigint"))
+    assert dict(map(tuple, found.collect())) == least
+
+
 def test_tokens_take_one_python_worker_for_each_task(spark):
     """Encoding and its check hold the vocabulary once, and more rows than are decoded at once agree."""
     texts = ["", "One text, 12 words.", "\u00e9t\u00e9 \u2014 \u6c34 \U0001f600", *(f"row {i} of  many\n" * (i % 5) for i in range(300))]
