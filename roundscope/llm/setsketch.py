@@ -48,8 +48,8 @@ GROUP = 500
 #: Shingles are counted in so many cells (as a power of 2) to tell rare ones from common ones. Only
 #: the order of differences depends on it, no result.
 CELL_BITS = 16
-#: Wanted documents are marked in so many cells (as a power of 2, 2 MB of bits in rows of 4 KB) before
-#: texts are shuffled to them. What passes is joined exactly, so no result depends on them.
+#: Wanted documents or classes are marked in so many cells (as a power of 2, 2 MB of bits in rows of
+#: 4 KB) before texts or sets are shuffled to them. What passes is joined exactly, so no result depends on them.
 MARK_BITS, MARKS_A_ROW = 24, 15
 
 _RANDOM = np.random.Generator(np.random.PCG64(7_2024))
@@ -201,26 +201,27 @@ def estimated(pairs: DataFrame, classes: DataFrame, least: float) -> DataFrame:
     return pairs.join(side("b"), "b").join(side("a"), "a").mapInArrow(run, "a binary, b binary")
 
 
-def marked(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose ``doc_id`` shares its cell with one of ``wanted``: all that are
-    wanted, and of the others about the share of cells that are marked."""
+def marked(df: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
+    """The rows of ``df`` whose ``key`` shares its cell with one of ``wanted``: all that are wanted,
+    and of the others about the share of cells that are marked."""
+    kind = wanted.schema[key].dataType
 
-    def spot(df: DataFrame) -> DataFrame:
-        cell = F.shiftrightunsigned(F.xxhash64(F.col("doc_id").cast("bigint")), 64 - MARK_BITS)
-        return df.withColumns({
+    def spot(rows: DataFrame) -> DataFrame:
+        cell = F.shiftrightunsigned(F.xxhash64(F.col(key).cast(kind)), 64 - MARK_BITS)
+        return rows.withColumns({
             "_row": F.shiftright(cell, MARKS_A_ROW),
             "_bit": cell.bitwiseAND(F.lit((1 << MARKS_A_ROW) - 1)),
         })
 
-    marks = spot(wanted.select("doc_id")).groupBy("_row").agg(
+    marks = spot(wanted.select(key)).groupBy("_row").agg(
         F.bitmap_construct_agg("_bit").alias("_marks")
     )
     byte = F.substring("_marks", (F.col("_bit") / 8).cast("int") + 1, F.lit(1))
     met = F.getbit(F.conv(F.hex(byte), 16, 10).cast("bigint"), F.pmod("_bit", F.lit(8)))
-    near = spot(docs).join(
+    near = spot(df).join(
         broadcast_if_bounded(marks, 1 << (MARK_BITS - MARKS_A_ROW)), "_row"
     )
-    return near.filter(met == 1).select(*[f"`{c}`" for c in docs.columns])
+    return near.filter(met == 1).select(*[f"`{c}`" for c in df.columns])
 
 
 def full_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -237,7 +238,7 @@ def full_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 ["class", "shingles"],
             )
 
-    rows = marked(docs.select("doc_id", "text"), wanted).join(
+    rows = marked(docs.select("doc_id", "text"), wanted, "doc_id").join(
         wanted.select("doc_id", "class"), "doc_id"
     )
     # A doc_id that repeats with one text gives one set more than once.
@@ -277,7 +278,8 @@ def verified(pairs: DataFrame, sets: DataFrame, hundredths: int) -> DataFrame:
         "a", F.pmod(F.xxhash64("b"), F.col("groups")).cast("int").alias("part"),
         F.col("b").alias("class"), F.lit(1).alias("rank"),
     )
-    rows = led.union(partners).join(sets, "class").select("a", "part", "rank", "class", "shingles")
+    both = pairs.select(F.col("a").alias("class")).union(pairs.select("b"))
+    rows = led.union(partners).join(marked(sets, both, "class"), "class").select("a", "part", "rank", "class", "shingles")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         leader, lead = None, np.zeros(0, np.uint64)
@@ -370,9 +372,10 @@ def edits(centred: DataFrame, sets: DataFrame, hundredths: int) -> DataFrame:
                     ["meet", "class", "root", "n", "x", "left"],
                 )
 
-    both = centred.join(sets, "class").join(
-        sets.select(F.col("class").alias("a"), F.col("shingles").alias("centre")), "a"
+    of_centres = marked(sets, centred.select(F.col("a").alias("class")), "class").select(
+        F.col("class").alias("a"), F.col("shingles").alias("centre")
     )
+    both = centred.join(marked(sets, centred, "class"), "class").join(of_centres, "a")
     return both.select(
         F.xxhash64("a").alias("key"), "class", F.xxhash64("root").alias("root"), "shingles", "centre"
     ).mapInArrow(
