@@ -65,3 +65,15 @@ def test_every_worker_below_the_usual_count_is_short(spark, duck, sent):
     found = frame.select("job_id", "round_id", "worker_id", "cnt").collect()
     assert sorted(map(tuple, found)) == SHORT
     assert same_as_sql(duck, "q2_lossy_worker", sent, frame) == ""
+
+
+def test_result_rows_name_every_short_worker_after_csv(spark, duck, sent):
+    """Both result tables come back whole: a latency for each round, a row for each short worker."""
+    frame = entry_points.ROUND_QUERIES["results_csv_roundtrip"](spark, sent)
+    low = frame.filter("query = 'Q2' and latency_us is null")
+    found = low.select("job_id", "round_id", "worker_id", "cnt").collect()
+    assert sorted(map(tuple, found)) == SHORT
+    latency = frame.filter("query = 'Q1' and latency_us is not null and worker_id is null")
+    assert latency.count() == len(SENT)
+    assert frame.count() == len(SENT) + len(SHORT)
+    assert same_as_sql(duck, "results_csv_roundtrip", sent, frame) == ""
